@@ -117,8 +117,9 @@ def customer_360(store: Store, base_df: DataFrame, ranks: DataFrame, cuts: DataF
         "value_score": S.fixed(100 * c("_pct"), 2, inner=10), "r_score": quintile(c("cd_recency_desc")),
         "f_score": F.least(c("txn_count"), F.lit(5)).cast("int"), "m_score": quintile(c("pr_total"))})
     scored = scored.withColumn("rfm_code", F.concat(c("r_score"), c("f_score"), c("m_score")))
-    full = scored.join(F.broadcast(cuts)).withColumns({
-        "is_high_value": F.coalesce(c("latest_balance").cast("double") >= c("latest_balance_p90"), F.lit(False))
-        | (c("total_txn_value").cast("double") >= c("total_txn_value_p90")),
-        "is_low_engagement": c("engagement_score") < c("engagement_p25")})
-    return store.save("customer_360", full.drop("_pct", "composite", *cuts.columns))
+    cut = lambda name: cuts.select(name).scalar()
+    full = scored.withColumns({
+        "is_high_value": F.coalesce(c("latest_balance").cast("double") >= cut("latest_balance_p90"), F.lit(False))
+        | (c("total_txn_value").cast("double") >= cut("total_txn_value_p90")),
+        "is_low_engagement": c("engagement_score") < cut("engagement_p25")})
+    return store.save("customer_360", full.drop("_pct", "composite"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import pair_columns
+from ..functions.scalars import fixed, pair_columns
 from ..sources.store import Saved, Store
 from .skew import lookup_join
 
@@ -42,19 +42,21 @@ def row_numbers(store: Store, name: str, df: DataFrame, order: list[Column], col
 
 
 def distribution(store: Store, name: str, df: DataFrame, measures: list[str], by: list[str] | None = None,
-                 counts: dict[str, Column] | None = None) -> Saved:
+                 counts: dict[str, Column] | None = None, weight: Column | None = None) -> Saved:
     """One row per (measure, group, value): ``n`` copies at positions ``first``..``last`` of ``total``.
 
     ``measures`` are numeric columns of ``df`` (NULLs are left out). ``by`` splits into groups (non-null columns),
     each ranked alone.
-    ``counts`` adds conditional counts per value; their conditions may read any column of ``df``.
+    ``counts`` adds conditional counts per value; their conditions may read any column of ``df``. ``weight`` is the
+    number of copies a row stands for.
     """
     by, counts = by or [], counts or {}
     keys = ["measure", *by]
     flags = [c.alias(k) for k, c in counts.items()]
-    tall = df.select(*by, *flags, F.inline(pair_columns(measures))).where(F.col("value").isNotNull())
+    tall = df.select(*by, *flags, (weight if weight is not None else F.lit(1)).alias("_copies"),
+                     F.inline(pair_columns(measures))).where(F.col("value").isNotNull())
     tallied = tall.groupBy(*keys, "value").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(k)).alias(k) for k in counts])
+        F.sum("_copies").alias("n"), *[F.count_if(F.col(k)).alias(k) for k in counts])
     placed = _placed(store, f"{name}_sorted", tallied, [F.col(k).asc_nulls_first() for k in keys] + [F.col("value")])
     running = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     ended = _with_offsets(placed, F.col("n")).withColumn("_end", F.col("_before") + F.sum("n").over(running))
@@ -90,6 +92,15 @@ def quantiles(dist: Saved, wanted: dict[str, tuple[str, float]], by: list[str] |
     return hit.groupBy(*(by or [])).agg(*columns)
 
 
+def weighted_summary(store: Store, name: str, df: DataFrame, column: str, copies: str, by: list[str]) -> DataFrame:
+    """Per group: rows, mean and median of a column whose rows stand for several copies."""
+    dist = distribution(store, name, df, [column], by=by, weight=F.col(copies))
+    medians = quantiles(dist, {f"median_{column}": (column, 0.5)}, by)
+    worth = F.sum(F.col("value").cast("decimal(38,6)") * F.col("n")).cast("double")
+    means = dist.df.groupBy(*by).agg(F.sum("n").alias("rows"), fixed(worth / F.sum("n"), 2).alias(f"mean_{column}"))
+    return means.join(medians, by)
+
+
 # Rank functions of a value from its positions.
 def rank_of() -> Column:
     return F.col("first")

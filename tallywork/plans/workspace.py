@@ -6,8 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.labels import THEMES
-from ..operators import cleaning, features, model, opportunity
+from ..operators import cleaning, cube, features, model, opportunity, publish, quality, segments
 from ..params import Params
 from ..sources import staging as src
 from ..sources.lookups import LOCATION_VARIANTS
@@ -16,11 +15,14 @@ from ..sources.store import Saved, Store
 
 class Workspace:
     def __init__(self, spark: SparkSession, staging: DataFrame, params: Params | None = None, variants=None,
+                 segment_config: dict | None = None, centroids: dict[str, list] | None = None, starts: int = 10,
                  store_root: str | None = None, broadcast_rows: int | None = None):
         self.spark, self.staging, self.params = spark, staging, params or Params()
         self.store = Store(spark, store_root)
         self.variants = src.variants_table(spark, LOCATION_VARIANTS if variants is None else variants)
         self.broadcast_rows = broadcast_rows
+        self.segment_config = segment_config or src.segment_config()
+        self.centroids, self.starts = centroids, starts
 
     # cleaning
     @cached_property
@@ -118,3 +120,94 @@ class Workspace:
     @cached_property
     def sensitivity(self) -> DataFrame:
         return opportunity.sensitivity(self.store, self.customer_360, self.opportunity, self.params)
+
+    # segments
+    @cached_property
+    def segment_definition(self) -> DataFrame:
+        return src.segment_definitions(self.spark, self.segment_config)
+
+    @cached_property
+    def _segmentation(self):
+        return segments.segment(self.store, self.customer_360, self.segment_config, self.segment_definition,
+                                self.params, self.centroids, self.starts)
+
+    @property
+    def customer_segment(self) -> DataFrame:
+        return self._segmentation[0].df
+
+    @property
+    def segment_fits(self) -> dict:
+        return self._segmentation[1]
+
+    @property
+    def scaled_features(self) -> dict[str, DataFrame]:
+        return self._segmentation[2]
+
+    @cached_property
+    def segment_profile(self) -> DataFrame:
+        return segments.profile(self.store, "segment_name", self.view, "segment_name")
+
+    def check_segments(self) -> None:
+        """Stops when a cluster has no definition or no longer fits its name."""
+        lost = [r.cluster_key for r in segments.missing_definitions(self.customer_segment).collect()]
+        if lost:
+            raise ValueError(f"no segment definition for clusters {sorted(lost)}")
+        by_key = segments.profile(self.store, "cluster_key", self.view, "cluster_key")
+        broken = segments.broken_names(by_key, self.segment_definition)
+        if broken:
+            raise ValueError(f"segment profiles no longer fit their names: {broken}")
+
+    # publish
+    @cached_property
+    def view(self) -> DataFrame:
+        """Features, segment and opportunity of each customer, written once for all reports."""
+        joined = publish.customer_view(self.customer_360, self.customer_segment, self.opportunity)
+        return self.store.save("customer_view", joined).df
+
+    @cached_property
+    def agg_daily_city(self) -> DataFrame:
+        return self.store.save("agg_daily_city", publish.daily_city(self.fact, self.dim_customer)).df
+
+    @cached_property
+    def agg_hour_weekday(self) -> DataFrame:
+        return self.store.save("agg_hour_weekday", publish.hour_weekday(self.fact)).df
+
+    @cached_property
+    def agg_city_summary(self) -> DataFrame:
+        return self.store.save("agg_city_summary", publish.city_summary(self.store, self.view)).df
+
+    @cached_property
+    def agg_segment_summary(self) -> DataFrame:
+        return self.store.save("agg_segment_summary", publish.segment_summary(self.store, self.view)).df
+
+    @cached_property
+    def agg_theme_segment(self) -> DataFrame:
+        return self.store.save("agg_theme_segment", publish.theme_segment(self.view)).df
+
+    @cached_property
+    def kpis(self) -> DataFrame:
+        return self.store.save("kpis", publish.kpis(self.view, self.value_places)).df
+
+    @cached_property
+    def dq_log(self) -> DataFrame:
+        counts = quality.measured(self.spark, self.classified, self.fact, self.dim_customer, self.dim_location,
+                                  self.customer_360, self.params)
+        return self.store.save("dq_log", quality.scorecard(self.spark, counts)).df
+
+    # cube
+    @cached_property
+    def top_cities(self) -> DataFrame:
+        value = features.F.sum("total_txn_value")
+        return self.store.save("top_cities", cube.top_values(self.view, "clean_city", value, self.params.top_cities)).df
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        return self.store.save("cube", cube.cube(self.view, self.top_cities)).df
+
+    @cached_property
+    def wide_cube(self) -> DataFrame:
+        return self.store.save("wide_cube", cube.wide_cube(self.view, self.top_cities)).df
+
+    @cached_property
+    def priority_list(self) -> DataFrame:
+        return self.store.save("priority_list", cube.priority_list(self.view, self.params.priority_rows)).df

@@ -16,7 +16,7 @@ SEGMENTS_FILE = Path(__file__).with_name("segments.json")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All-text CSV with header, no row lost. ``src_row`` orders rows by file and place in it."""
+    """All-text CSV with header, no row lost; an empty field is NULL. ``src_row`` orders rows by file and place."""
     raw = (spark.read.schema(RAW_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
            .option("enforceSchema", True).csv(path).withColumn("_place", F.monotonically_increasing_id()))
     # Input splits of one file are read as partitions by size, not by place; the block start restores file order.
@@ -25,9 +25,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_audit(staging: DataFrame) -> DataFrame:
-    """Rows and an order-free fingerprint of a load."""
+    """Rows, bytes of text and an order-free fingerprint of a load."""
     line = F.xxhash64(*[F.coalesce(F.col(c), F.lit("\u0000")) for c in RAW_COLUMNS]).cast("decimal(38,0)")
-    return staging.agg(F.count(F.lit(1)).alias("rows_loaded"), F.sum(line).cast("string").alias("fingerprint"))
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in RAW_COLUMNS), F.lit(0))
+    return staging.agg(F.count(F.lit(1)).alias("rows_loaded"), F.sum(size).alias("text_bytes"),
+                       F.sum(line).cast("string").alias("fingerprint"))
 
 
 def file_audit(staging: DataFrame) -> DataFrame:

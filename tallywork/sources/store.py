@@ -39,9 +39,12 @@ class Store:
         self.spark = spark
         run = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
         self.root = f"{(root or shared_root(spark)).rstrip('/')}/tallywork/{run}"
+        self._saves = 0
 
     def save(self, name: str, df: DataFrame, by: str | None = None) -> Saved:
-        path = f"{self.root}/{re.sub(r'[^A-Za-z0-9_]', '_', name)}"
+        # A name saved again gets a new path: frames read from the first one stay valid.
+        self._saves += 1
+        path = f"{self.root}/{self._saves:04d}_{re.sub(r'[^A-Za-z0-9_]', '_', name)}"
         seen = Observation()
         writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
         if by:
