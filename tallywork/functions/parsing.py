@@ -4,20 +4,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The accepted shapes.
-DMY = r"^\d{1,2}/\d{1,2}/(\d{2}|\d{4})\z"
+DMY = r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})\z"
 HHMMSS = r"^\d{1,6}\z"
 NUMBER = r"^-?\d+(\.\d+)?([eE][-+]?\d+)?\z"
 CUSTOMER_ID = r"^C[0-9]+\z"
 MONEY = "decimal(18,2)"
 
 
+def turned_dmy(text: Column) -> Column:
+    """d/m/y text as y-m-d in one regex pass; text of another shape comes back trimmed."""
+    return F.regexp_replace(F.trim(text), DMY, "$3-$2-$1")
+
+
+def turned_date(text: Column, turned: Column, pivot: int) -> Column:
+    """Date of a turned text. ``turned`` is read several times, so make it a column of its own first."""
+    century = F.when(F.substring(turned, 1, 2) <= f"{pivot:02d}", "20").otherwise("19")
+    dated = F.when(F.substring(turned, 3, 1) == "-", F.concat(century, turned)).otherwise(turned)
+    return F.when(turned != F.trim(text), dated.try_cast("date"))
+
+
 def parse_dmy(text: Column, pivot: int) -> Column:
     """d/m/yy or d/m/yyyy to a date. Two-digit years up to the pivot are 20yy, the others 19yy."""
-    clean = F.trim(text)
-    day, month, year = (F.split_part(clean, F.lit("/"), F.lit(i)) for i in (1, 2, 3))
-    century = F.when(year.try_cast("int") <= pivot, F.lit("20")).otherwise(F.lit("19"))
-    full_year = F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year)
-    return F.when(clean.rlike(DMY), F.concat_ws("-", full_year, month, day).try_cast("date"))
+    return turned_date(text, turned_dmy(text), pivot)
 
 
 def parse_hhmmss(text: Column) -> Column:

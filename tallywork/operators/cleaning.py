@@ -16,25 +16,28 @@ COPY_KEYS = ("customer_id", "dob", "gender", "clean_city", "balance", "txn_date"
 
 
 def typed(staging: DataFrame, p: Params) -> DataFrame:
-    """Parsed columns beside the raw text."""
+    """Parsed columns beside the raw text. The turned dates are a projection of their own, so each regex runs once."""
     c = F.col
+    staging = staging.select("src_row", *RAW_COLUMNS, P.turned_dmy(c("transaction_date")).alias("_day"),
+                             P.turned_dmy(c("customer_dob")).alias("_dob"))
     return staging.select(
         "src_row", *RAW_COLUMNS,
         F.trim(c("transaction_id")).alias("txn_id"), F.trim(c("customer_id")).alias("cust_id"),
-        P.parse_dmy(c("transaction_date"), p.txn_year_pivot).alias("txn_date"),
-        P.parse_dmy(c("customer_dob"), p.dob_year_pivot).alias("dob_parsed"),
+        P.turned_date(c("transaction_date"), c("_day"), p.txn_year_pivot).alias("txn_date"),
+        P.turned_date(c("customer_dob"), c("_dob"), p.dob_year_pivot).alias("dob_parsed"),
         P.parse_hhmmss(c("transaction_time")).alias("txn_sec"),
         P.to_money(c("transaction_amount")).alias("amount"),
         P.to_money(c("cust_account_balance")).alias("balance_parsed"),
         P.norm_location(c("cust_location")).alias("location_norm"))
 
 
-def mark_repeats(store: Store, rows: DataFrame, broadcast_rows: int | None = None) -> DataFrame:
-    """Adds ``is_repeat``: a row whose id occurred on an earlier row. Only repeated ids are joined back."""
-    named = rows.where(F.col("txn_id") != "")
+def mark_repeats(store: Store, rows: DataFrame, staging: DataFrame) -> DataFrame:
+    """Adds ``is_repeat``: a row whose id occurred on an earlier row. Ids are counted on the two columns that needs,
+    and only repeated ones are joined back."""
+    named = staging.select("src_row", F.trim("transaction_id").alias("txn_id")).where(F.col("txn_id") != "")
     repeated = repeated_keys(store, "repeated_ids", named, {"txn_id": F.col("txn_id")},
                              {"first_row": F.min("src_row")})
-    marked = lookup_join(rows, repeated, ["txn_id"], "n", F.xxhash64("src_row"), broadcast_rows)
+    marked = lookup_join(rows, repeated, ["txn_id"], "n", F.xxhash64("src_row"))
     return marked.withColumn("is_repeat", F.coalesce(F.col("src_row") > F.col("first_row"), F.lit(False))) \
         .drop("first_row")
 
@@ -64,9 +67,9 @@ def first_failing(pairs: list[tuple[str, Column]]) -> Column:
     return chain
 
 
-def classify(store: Store, staging: DataFrame, p: Params, broadcast_rows: int | None = None) -> Saved:
+def classify(store: Store, staging: DataFrame, p: Params) -> Saved:
     """Every staging row typed, with its reject reason; partitioned by reason so clean reads skip rejects."""
-    rows = mark_repeats(store, typed(staging, p), broadcast_rows)
+    rows = mark_repeats(store, typed(staging, p), staging)
     return store.save("classified", rows.withColumn("reject_reason", first_failing(rules(p))), by="reject_reason")
 
 
@@ -97,13 +100,13 @@ def clean(classified: DataFrame, variants: DataFrame, p: Params) -> DataFrame:
         (~F.coalesce(gender, F.lit("")).isin("M", "F", "")).alias("gender_other_value"))
 
 
-def mark_copies(store: Store, rows: DataFrame, broadcast_rows: int | None = None) -> DataFrame:
+def mark_copies(store: Store, rows: DataFrame) -> DataFrame:
     """Adds ``is_possible_duplicate``: the same business columns under another id, NULLs equal. The columns are
     compared as one digest, so the join has a single never-null key."""
     digest = F.sha2(F.to_json(F.struct(*COPY_KEYS)), 256)
     keyed = rows.withColumn("_copy", digest)
     groups = repeated_keys(store, "copies", keyed, {"_copy": F.col("_copy")}, {"_copied": F.lit(True)})
-    marked = lookup_join(keyed, groups, ["_copy"], "n", F.col("transaction_id"), broadcast_rows)
+    marked = lookup_join(keyed, groups, ["_copy"], "n", F.col("transaction_id"))
     return marked.withColumn("is_possible_duplicate", F.coalesce("_copied", F.lit(False))).drop("_copy", "_copied")
 
 

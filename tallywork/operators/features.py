@@ -91,7 +91,7 @@ def thresholds(dist: Saved, amounts: Saved) -> DataFrame:
     return cuts.withColumn("txn_amount_p95", p95)
 
 
-def customer_ranks(store: Store, base_df: DataFrame, dist: Saved, broadcast_rows: int | None = None) -> Saved:
+def customer_ranks(store: Store, base_df: DataFrame, dist: Saved) -> Saved:
     """Every rank a later stage needs, from one tall pass over the customers."""
     wanted = {
         "pct_total_value": ("total_txn_value", R.percent_rank_of()), "pr_total": ("total_txn_value", R.cume_dist_of()),
@@ -99,18 +99,16 @@ def customer_ranks(store: Store, base_df: DataFrame, dist: Saved, broadcast_rows
         "cd_recency_desc": ("recency_days", R.cume_dist_desc_of()),
         "pr_engagement": ("engagement_score", R.cume_dist_of()),
         "pr_ratio": ("txn_to_balance_ratio", R.cume_dist_of())}
-    seen = R.ranked(base_df, "customer_id", RANKED[:-1], dist, wanted, broadcast_rows)
+    seen = R.ranked(base_df, "customer_id", RANKED[:-1], dist, wanted)
     # Customers whose balance is unknown are placed by value alone.
     both = 0.5 * F.col("pct_avg_balance") + 0.5 * F.col("pct_total_value")
     return store.save("customer_ranks", seen.withColumn("composite", F.coalesce(both, F.col("pct_total_value"))))
 
 
-def customer_360(store: Store, base_df: DataFrame, ranks: DataFrame, cuts: DataFrame, p: Params,
-                 broadcast_rows: int | None = None) -> Saved:
+def customer_360(store: Store, base_df: DataFrame, ranks: DataFrame, cuts: DataFrame, p: Params) -> Saved:
     c = F.col
     dist = R.distribution(store, "composite", ranks, ["composite"])
-    placed = R.ranked(ranks, "customer_id", ["composite"], dist, {"_pct": ("composite", R.percent_rank_of())},
-                      broadcast_rows)
+    placed = R.ranked(ranks, "customer_id", ["composite"], dist, {"_pct": ("composite", R.percent_rank_of())})
     quintile = lambda x: F.ceil(x * 5).cast("int")
     scored = base_df.join(ranks, "customer_id").join(placed, "customer_id")
     scored = scored.withColumns({

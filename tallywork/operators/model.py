@@ -40,7 +40,8 @@ def dim_location(store: Store, clean: DataFrame, p: Params) -> Saved:
     spellings = clean.groupBy("clean_city", "raw_location").agg(F.count(F.lit(1)).alias("n"))
     cities = spellings.groupBy("clean_city").agg(
         F.count("raw_location").cast("int").alias("raw_variants_count"), F.sum("n").alias("txns"))
-    numbered = row_numbers(store, "cities_sorted", cities, [F.col("clean_city")], "location_key")
+    named = store.save("cities", cities)
+    numbered = row_numbers(store, "cities_sorted", named, [F.col("clean_city")], "location_key")
     return store.save("dim_location", numbered.select(
         F.col("location_key").cast("int"), "clean_city", "raw_variants_count",
         S.city_tier(F.col("clean_city"), p.tier_1_metros, p.metro_satellites).alias("city_tier"), "txns"))
@@ -50,14 +51,13 @@ def amount_distribution(store: Store, clean: DataFrame) -> Saved:
     return distribution(store, "amounts", clean, ["amount"])
 
 
-def fact(clean: DataFrame, locations: Saved, amounts: Saved, broadcast_rows: int | None = None) -> DataFrame:
+def fact(clean: DataFrame, locations: Saved, amounts: Saved) -> DataFrame:
     """Clean rows with derived keys and bands, and the high-value flag against the exact P95 amount."""
     c = F.col
     hour = F.floor(c("txn_sec") / 3600).cast("int")
     p95 = quantiles(amounts, {"p95": ("amount", 0.95)}).scalar()
-    places = Saved(locations.df.select("clean_city", c("location_key").alias("txn_location_key"), "txns"),
-                   locations.rows)
-    return lookup_join(clean, places, ["clean_city"], "txns", c("transaction_id"), broadcast_rows).select(
+    places = locations.of(locations.df.select("clean_city", c("location_key").alias("txn_location_key"), "txns"))
+    return lookup_join(clean, places, ["clean_city"], "txns", c("transaction_id")).select(
         "*", S.order_key(c("txn_date"), c("txn_sec"), c("txn_seq")).alias("order_key"),
         S.date_key(c("txn_date")).alias("date_key"), hour.alias("txn_hour"), S.time_band(hour).alias("time_band"),
         weekday_name(c("txn_date")).alias("day_of_week"), S.amount_band(c("amount")).alias("amount_band"),
@@ -98,8 +98,7 @@ def resolved_attributes(rows: DataFrame) -> DataFrame:
     return per_value.groupBy("customer_id").agg(*picks)
 
 
-def dim_customer(store: Store, rows: DataFrame, locations: Saved, p: Params,
-                 broadcast_rows: int | None = None) -> Saved:
+def dim_customer(store: Store, rows: DataFrame, locations: Saved, p: Params) -> Saved:
     c = F.col
     one = resolved_attributes(rows).select(
         "customer_id", c("dob").cast("date").alias("dob"), F.coalesce("gender", F.lit("Unknown")).alias("gender"),
@@ -120,8 +119,8 @@ def dim_customer(store: Store, rows: DataFrame, locations: Saved, p: Params,
         "dob_conflict", "gender_conflict", "location_conflict", F.nullif(flags, F.lit("")).alias("dq_flag"))
     # A resolved city always comes from the rows, so it is in dim_location unless it is UNKNOWN and no row is.
     # ``txns`` bounds the customers of a city from above, so it still finds every hot city.
-    places = Saved(locations.df.select("clean_city", "location_key", "city_tier", "txns"), locations.rows)
-    joined = lookup_join(shaped, places, ["clean_city"], "txns", c("customer_id"), broadcast_rows)
+    places = locations.of(locations.df.select("clean_city", "location_key", "city_tier", "txns"))
+    joined = lookup_join(shaped, places, ["clean_city"], "txns", c("customer_id"))
     return store.save("dim_customer", joined.where(c("location_key").isNotNull()))
 
 

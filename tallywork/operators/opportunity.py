@@ -90,18 +90,18 @@ def tier_of(rank: Column, total: Column, p: Params) -> Column:
     return chain.otherwise("Watch")
 
 
-def prioritised(store: Store, customers: DataFrame, p: Params) -> DataFrame:
+def prioritised(store: Store, customers: Saved, p: Params) -> DataFrame:
     """Customers with fits, the unrounded score, priority rank and tier."""
-    scored = with_fits(customers, p).withColumn("_score", best_score(dict(p.weights), p))
+    scored = with_fits(customers.df, p).withColumn("_score", best_score(dict(p.weights), p))
     order = [F.desc("_score"), F.desc("value_score"), F.asc("customer_id")]
-    keys = scored.select("customer_id", "_score", "value_score")
+    keys = customers.of(scored.select("customer_id", "_score", "value_score"))
     numbered = R.row_numbers(store, "priority_sorted", keys, order, "priority_rank")
-    total = customers.agg(F.count(F.lit(1))).scalar()
+    total = customers.df.agg(F.count(F.lit(1))).scalar()
     placed = numbered.select("customer_id", "priority_rank", tier_of(F.col("priority_rank"), total, p).alias("tier"))
     return scored.join(placed, "customer_id")
 
 
-def opportunity(store: Store, customers: DataFrame, p: Params) -> Saved:
+def opportunity(store: Store, customers: Saved, p: Params) -> Saved:
     """The published table: one row per customer."""
     weights, c = dict(p.weights), F.col
     signals = {f"sig_{t}": c(f"fit_{t}") == 1.0 for t in THEMES}
@@ -141,7 +141,7 @@ def sensitivity(store: Store, customers: DataFrame, opportunities: DataFrame, p:
     tall = rows.select("customer_id", "value_score", F.inline(scores))
     order = [F.asc("scenario_no"), F.desc("score"), F.desc("value_score"), F.asc("customer_id")]
     total = customers.agg(F.count(F.lit(1))).scalar()
-    ranked = R.row_numbers(store, "scenario_sorted", tall, order, "_row") \
+    ranked = R.row_numbers(store, "scenario_sorted", store.save("scenarios", tall), order, "_row") \
         .select("customer_id", "scenario_no", (F.col("_row") - F.col("scenario_no") * total).alias("rank"))
     pairs = ranked.join(opportunities.select("customer_id", "priority_rank"), "customer_id")
     gap = (F.col("rank") - F.col("priority_rank")).cast("decimal(19,0)")

@@ -49,8 +49,7 @@ def city_summary(store: Store, view: DataFrame) -> DataFrame:
     c = F.col
     known = view.where(c("clean_city") != "UNKNOWN")
     spread = R.distribution(store, "city_balances", known, ["avg_balance"], by=["clean_city"])
-    medians = store.save("city_medians", R.quantiles(spread, {"median_avg_balance": ("avg_balance", 0.5)},
-                                                     ["clean_city"]))
+    medians = R.quantiles(spread, {"median_avg_balance": ("avg_balance", 0.5)}, ["clean_city"])
     cities = store.save("city_sums", known.groupBy("location_key", "clean_city", "city_tier").agg(
         F.count(F.lit(1)).alias("customers"), F.sum("txn_count").alias("txns"),
         total(c("total_txn_value")).alias("total_value"),
@@ -63,7 +62,7 @@ def city_summary(store: Store, view: DataFrame) -> DataFrame:
     worth = R.distribution(store, "city_values", cities, ["total_value"])
     placed = R.ranked(cities, "location_key", ["total_value"], worth,
                       {"value_rank": ("total_value", c("total") - c("last") + 1)})
-    return cities.join(medians.df, "clean_city", "left").join(placed, "location_key")
+    return cities.join(medians, "clean_city", "left").join(placed, "location_key")
 
 
 def segment_summary(store: Store, view: DataFrame) -> DataFrame:

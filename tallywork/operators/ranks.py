@@ -1,8 +1,8 @@
 """Global ranks and exact quantiles without a single-partition window.
 
-Values are first counted, so ties collapse before any shuffle by value. The distinct values are then range-sorted,
-written with their place (partition number and row within it), and turned into positions by adding one prefix sum
-over the partitions. Every rank function and every exact quantile follows from the first and last position of a value.
+Values are first counted, so ties collapse before any shuffle by value. When many distinct values are left they are
+range-sorted, written with their place (partition number and row within it), and turned into positions by adding one
+prefix sum over the partitions. Every rank function and every exact quantile follows from the first and last position of a value.
 """
 
 from __future__ import annotations
@@ -34,43 +34,60 @@ def _with_offsets(placed: DataFrame, weight: Column) -> DataFrame:
     return placed.join(F.broadcast(parts), "_part")
 
 
-def row_numbers(store: Store, name: str, df: DataFrame, order: list[Column], column: str) -> DataFrame:
-    """Global row_number for an order that is unique per row (include an id), by sort instead of window."""
-    placed = _placed(store, name, df, order)
-    numbered = _with_offsets(placed, F.lit(1))
+def row_numbers(store: Store, name: str, table: Saved, order: list[Column], column: str) -> DataFrame:
+    """Global row_number for an order that is unique per row (include an id). A small table is numbered by one window,
+    a large one by a distributed sort."""
+    if table.small:
+        return table.df.withColumn(column, F.row_number().over(Window.orderBy(*order)))
+    numbered = _with_offsets(_placed(store, name, table.df, order), F.lit(1))
     return numbered.withColumn(column, F.col("_before") + F.col("_place") + 1).drop("_before", "_part", "_place", "_at")
 
 
 def distribution(store: Store, name: str, df: DataFrame, measures: list[str], by: list[str] | None = None,
-                 counts: dict[str, Column] | None = None, weight: Column | None = None) -> Saved:
+                 counts: dict[str, Column] | None = None, weight: Column | None = None, keep: bool = False) -> Saved:
     """One row per (measure, group, value): ``n`` copies at positions ``first``..``last`` of ``total``.
 
     ``measures`` are numeric columns of ``df`` (NULLs are left out). ``by`` splits into groups (non-null columns),
     each ranked alone.
     ``counts`` adds conditional counts per value; their conditions may read any column of ``df``. ``weight`` is the
-    number of copies a row stands for.
+    number of copies a row stands for. ``keep`` writes the result, for a distribution that is read many times.
     """
     by, counts = by or [], counts or {}
     keys = ["measure", *by]
     flags = [c.alias(k) for k, c in counts.items()]
     tall = df.select(*by, *flags, (weight if weight is not None else F.lit(1)).alias("_copies"),
                      F.inline(pair_columns(measures))).where(F.col("value").isNotNull())
-    tallied = tall.groupBy(*keys, "value").agg(
-        F.sum("_copies").alias("n"), *[F.count_if(F.col(k)).alias(k) for k in counts])
-    placed = _placed(store, f"{name}_sorted", tallied, [F.col(k).asc_nulls_first() for k in keys] + [F.col("value")])
+    tallied = store.save(f"{name}_counts", tall.groupBy(*keys, "value").agg(
+        F.sum("_copies").alias("n"), *[F.count_if(F.col(k)).alias(k) for k in counts]))
+    ranked_values = _small_positions if tallied.small else _large_positions
+    final = ranked_values(store, name, tallied, keys, list(counts))
+    return store.save(name, final) if keep else tallied.of(final)
+
+
+def _small_positions(store: Store, name: str, tallied: Saved, keys: list[str], counts: list[str]) -> DataFrame:
+    """Few distinct values: one window per group."""
+    whole = Window.partitionBy(*keys)
+    running = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.sum("n").over(running)
+    return tallied.df.select(*keys, "value", "n", *counts, (last - F.col("n") + 1).alias("first"), last.alias("last"),
+                             F.sum("n").over(whole).alias("total"))
+
+
+def _large_positions(store: Store, name: str, tallied: Saved, keys: list[str], counts: list[str]) -> DataFrame:
+    """Many distinct values: a distributed sort, running sums inside each range and offsets between them."""
+    order = [F.col(k).asc_nulls_first() for k in (*keys, "value")]
+    placed = _placed(store, f"{name}_sorted", tallied.df, order)
     running = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     ended = _with_offsets(placed, F.col("n")).withColumn("_end", F.col("_before") + F.sum("n").over(running))
     totals = ended.groupBy(*keys).agg(
         F.sum("n").alias("total"), F.min(F.col("_end") - F.col("n")).alias("_start"),
         F.count(F.lit(1)).alias("_values"))
-    if by:
-        sizes = store.save(f"{name}_groups", totals)
-        ended = lookup_join(ended, sizes, keys, "_values", F.col("value"))
-    else:
+    if keys == ["measure"]:  # as many rows as measures were asked for
         ended = ended.join(F.broadcast(totals.drop("_values")), "measure")
-    final = ended.select(*keys, "value", "n", *counts, (F.col("_end") - F.col("n") - F.col("_start") + 1).alias("first"),
-                         (F.col("_end") - F.col("_start")).alias("last"), "total")
-    return store.save(name, final)
+    else:
+        ended = lookup_join(ended, store.save(f"{name}_groups", totals), keys, "_values", F.col("value"))
+    return ended.select(*keys, "value", "n", *counts, (F.col("_end") - F.col("n") - F.col("_start") + 1).alias("first"),
+                        (F.col("_end") - F.col("_start")).alias("last"), "total")
 
 
 def quantiles(dist: Saved, wanted: dict[str, tuple[str, float]], by: list[str] | None = None) -> DataFrame:
@@ -122,14 +139,17 @@ def twice_mid_rank_of() -> Column:
     return F.col("first") + F.col("last")
 
 
-def ranked(df: DataFrame, key: str, measures: list[str], dist: Saved, wanted: dict[str, tuple[str, Column]],
-           broadcast_rows: int | None = None) -> DataFrame:
+def positions(df: DataFrame, key: str, measures: list[str], dist: Saved) -> DataFrame:
+    """Tall rows (key, measure, value) with the positions of their value; NULL values are left out."""
+    tall = df.select(key, F.inline(pair_columns(measures))).where(F.col("value").isNotNull())
+    places = dist.of(dist.df.select("measure", "value", "n", "first", "last", "total"))
+    return lookup_join(tall, places, ["measure", "value"], "n", F.col(key))
+
+
+def ranked(df: DataFrame, key: str, measures: list[str], dist: Saved, wanted: dict[str, tuple[str, Column]]) -> DataFrame:
     """One row per key with rank columns; ``wanted`` maps a column to (measure, function of positions).
     A NULL value has a NULL rank."""
-    tall = df.select(key, F.inline(pair_columns(measures)))
-    tall = tall.where(F.col("value").isNotNull())
-    places = Saved(dist.df.select("measure", "value", "n", "first", "last", "total"), dist.rows)
-    seen = lookup_join(tall, places, ["measure", "value"], "n", F.col(key), broadcast_rows)
+    seen = positions(df, key, measures, dist)
     return seen.groupBy(key).agg(*[F.max(F.when(F.col("measure") == m, c)).alias(k) for k, (m, c) in wanted.items()])
 
 

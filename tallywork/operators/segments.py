@@ -50,8 +50,9 @@ def fit_prep(store: Store, name: str, customers: DataFrame, p: Params, use_age:
     """Exact medians and P1/P99 caps, then mean and population deviation of the capped features. Only these few
     numbers reach the driver. Returns the fit and the standardised rows, written once."""
     features = (*p.features, "age") if use_age else p.features
-    medians = R.distribution(store, f"{name}_medians", customers.select("avg_balance", "age"), ["avg_balance", "age"])
-    fill = R.quantiles(medians, {"avg_balance": ("avg_balance", 0.5), "age": ("age", 0.5)}).first().asDict()
+    filled = ["avg_balance", "age"] if use_age else ["avg_balance"]
+    medians = R.distribution(store, f"{name}_medians", customers, filled)
+    fill = R.quantiles(medians, {f: (f, 0.5) for f in filled}).first().asDict()
     raw = store.save(f"{name}_features", raw_features(customers, fill, use_age)).df
     spread = R.distribution(store, f"{name}_spread", raw, list(features))
     wanted = {f"{f}{end}": (f, q) for f in features for end, q in (("_low", 0.01), ("_high", 0.99))}

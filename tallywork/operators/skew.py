@@ -11,17 +11,14 @@ from pyspark.sql import functions as F
 
 from ..sources.store import Saved, Store
 
-BROADCAST_ROWS = 200_000
 HOT_KEYS = 1_000
 SALTS = 1 << 20
 
 
-def lookup_join(left: DataFrame, right: Saved, on: list[str], weight: str, spread: Column,
-                broadcast_rows: int | None = None) -> DataFrame:
+def lookup_join(left: DataFrame, right: Saved, on: list[str], weight: str, spread: Column) -> DataFrame:
     """Left join to ``right`` (unique on the keys). ``weight`` is its column with the number of left rows per key;
     ``spread`` is a left column with many values, which scatters the rows of hot keys."""
-    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    if right.rows <= limit:
+    if right.small:
         return left.join(F.broadcast(right.df.drop(weight)), on, "left")
     carried = [c for c in right.df.columns if c not in on and c != weight]
     total = right.df.agg(F.sum(weight)).scalar()

@@ -105,21 +105,24 @@ def spearman_matrix(store: Store, name: str, df: DataFrame, key: str, features=C
             names.append(label)
         plans[(a, b)] = tuple(names)
     wide = df.select(key, *[v.alias(k) for k, v in columns.items()])
-    dist = R.distribution(store, f"spearman_{name}", wide, list(columns))
-    mid = {k: (k, R.twice_mid_rank_of()) for k in columns}
-    placed = store.save(f"spearman_{name}_ranks", R.ranked(wide, key, list(columns), dist, mid)).df
-    out = []
-    for (a, b), (x, y) in plans.items():
-        both = c(x).isNotNull() & c(y).isNotNull()
-        u, v = (F.when(both, c(z).cast("decimal(19,0)")) for z in (x, y))
-        d = lambda z: z.cast("double")
-        n, su, sv = d(F.count(u)), d(F.sum(u)), d(F.sum(v))
-        suv, suu, svv = d(F.sum(u * v)), d(F.sum(u * u)), d(F.sum(v * v))
-        rho = (n * suv - su * sv) / (F.sqrt(n * suu - su * su) * F.sqrt(n * svv - sv * sv))
-        out.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), n.cast("bigint").alias("n"),
-                            S.fixed(rho, 4, 10).alias("rho")))
-    one = placed.agg(*[s.alias(f"_{i}") for i, s in enumerate(out)])
-    return one.select(F.inline(F.array(*[c(f"_{i}") for i in range(len(out))])))
+    dist = R.distribution(store, f"spearman_{name}", wide, list(columns), keep=True)
+    marks = R.positions(wide, key, list(columns), dist).groupBy(key).agg(F.map_from_entries(F.collect_list(
+        F.struct("measure", R.twice_mid_rank_of().cast("decimal(19,0)").alias("mid")))).alias("mid"))
+    # A row holds one entry per ranked column; its pairs are summed map-side, so one partial row per pair leaves a task.
+    lines = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+                      for i, (x, y) in enumerate(plans.values())])
+    pairs = marks.select("mid", F.inline(lines)).select(
+        "pair", F.try_element_at("mid", c("x")).alias("u"), F.try_element_at("mid", c("y")).alias("v"))
+    u, v, d = c("u"), c("v"), lambda z: z.cast("double")
+    sums = pairs.where(u.isNotNull() & v.isNotNull()).groupBy("pair").agg(
+        d(F.count(u)).alias("n"), d(F.sum(u)).alias("su"), d(F.sum(v)).alias("sv"), d(F.sum(u * v)).alias("suv"),
+        d(F.sum(u * u)).alias("suu"), d(F.sum(v * v)).alias("svv"))
+    n, su, sv = c("n"), c("su"), c("sv")
+    rho = S.ratio(n * c("suv") - su * sv, F.sqrt(n * c("suu") - su * su) * F.sqrt(n * c("svv") - sv * sv))
+    names = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in plans])
+    pair = F.element_at(names, c("pair") + 1)
+    return sums.select(pair[0].alias("feature_a"), pair[1].alias("feature_b"), n.cast("bigint").alias("n"),
+                       S.fixed(rho, 4, 10).alias("rho"))
 
 
 def chi_square_p(statistic: Column, dof: Column) -> Column:

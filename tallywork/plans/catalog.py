@@ -16,10 +16,10 @@ from ..operators import ranks as R
 from ..sources import staging as src
 from ..sources.fixture import PARAMS, VARIANTS, staging
 from . import extracts
-from .questions import QUESTIONS
+from .questions import QUESTIONS, n_rows
 from .workspace import Workspace
 
-c, ONE = F.col, F.count(F.lit(1))
+c = F.col
 CATALOG: dict[str, Callable[[Workspace], DataFrame]] = {}
 # Centres of the fixed segment model that the reports of the fixture use, in standardised feature space.
 CENTROIDS = {"J": [(0.2, 0.9, 0.0, 1.2, -0.8), (0.3, 0.3, 0.8, -0.7, -0.7), (0.3, 0.1, 0.6, -0.6, 0.9),
@@ -138,7 +138,7 @@ def b12(w):
 
 @query("b17_calendar_activity")
 def b17(w):
-    counts = w.fact.groupBy("date_key").agg(ONE.alias("txns"))
+    counts = w.fact.groupBy("date_key").agg(n_rows().alias("txns"))
     return w.dim_date.join(counts, "date_key", "left")
 
 
@@ -149,7 +149,7 @@ def b18(w):
 
 @query("b21_city_tiers")
 def b21(w):
-    return w.dim_customer.groupBy("city_tier").agg(ONE.alias("customers"))
+    return w.dim_customer.groupBy("city_tier").agg(n_rows().alias("customers"))
 
 
 @query("b22_b27_customer_features")
@@ -168,13 +168,13 @@ def b28(w):
 @query("b31_b32_score_bands")
 def b31(w):
     return w.opportunity.groupBy("tier", S.score_band(c("overall_score")).alias("score_band"),
-                                 S.contact_plan(c("overall_score")).alias("contact_plan")).agg(ONE.alias("customers"))
+                                 S.contact_plan(c("overall_score")).alias("contact_plan")).agg(n_rows().alias("customers"))
 
 
 @query("b34_city_buckets")
 def b34(w):
     return cube.with_city_bucket(w.view, w.top_cities).groupBy("city").agg(
-        ONE.alias("customers"), publish.total(c("total_txn_value")).alias("value"))
+        n_rows().alias("customers"), publish.total(c("total_txn_value")).alias("value"))
 
 
 @query("b35_guarded_city_rates")
@@ -218,7 +218,7 @@ def c05(w):
 # ---- joins
 @query("d01_variant_lookup")
 def d01(w):
-    return w.clean.groupBy("raw_location", "clean_city").agg(ONE.alias("rows"))
+    return w.clean.groupBy("raw_location", "clean_city").agg(n_rows().alias("rows"))
 
 
 @query("d02_d11_customer_view")
@@ -273,7 +273,7 @@ def e06(w):
 
 @query("e12_segment_tier_shares")
 def e12(w):
-    return cube.row_shares(cube.cross_tab(w.view, "segment_name", "tier", L.TIER_ORDER, ONE), L.TIER_ORDER)
+    return cube.row_shares(cube.cross_tab(w.view, "segment_name", "tier", L.TIER_ORDER, n_rows()), L.TIER_ORDER)
 
 
 @query("e13_weekday_hour_grid")
@@ -299,7 +299,7 @@ def e16(w):
 # ---- windows and ranks
 @query("f10_moving_mean")
 def f10(w):
-    days = w.dim_date.join(w.fact.groupBy("date_key").agg(ONE.alias("n"), F.sum("amount").alias("v")), "date_key", "left")
+    days = w.dim_date.join(w.fact.groupBy("date_key").agg(n_rows().alias("n"), F.sum("amount").alias("v")), "date_key", "left")
     daily = days.select("date", F.coalesce("n", F.lit(0)).alias("txns"), F.coalesce("v", F.lit(0)).cast("double").alias("value"))
     return stats.moving_mean(daily, ["txns", "value"])
 
@@ -307,9 +307,9 @@ def f10(w):
 @query("f11_global_ranks")
 def f11(w):
     total, numbers = "total_txn_value", R.row_numbers(
-        w.store, "value_numbers", w.customer_360.select("customer_id", "total_txn_value"),
+        w.store, "value_numbers", w.c360_table.of(w.customer_360.select("customer_id", "total_txn_value")),
         [F.asc("total_txn_value"), F.asc("customer_id")], "row_number")
-    n = w.customer_360.agg(ONE).scalar()
+    n = w.customer_360.agg(n_rows()).scalar()
     numbers = numbers.withColumn("ntile_10", R.tile_of(c("row_number"), n, 10))
     placed = R.ranked(w.customer_360, "customer_id", [total, "recency_days"], w.value_places, {
         "value_rank": (total, R.rank_of()), "value_percent_rank": (total, R.percent_rank_of()),
@@ -365,7 +365,7 @@ def k04(w):
         fit = segments.fit_kmeans(points, 5, w.params.seed, starts=3)
     finally:
         points.unpersist()
-    return segments.relabel(fit.transform(points), "J").groupBy("cluster_key").agg(ONE.alias("customers"))
+    return segments.relabel(fit.transform(points), "J").groupBy("cluster_key").agg(n_rows().alias("customers"))
 
 
 @query("k05_k15_segment_table")
@@ -377,7 +377,7 @@ def k05(w):
 def k06(w):
     config = {**w.segment_config, "design": "layered", "k": {"S": 3, "R": 3}}
     rows, _, _ = segments.segment(w.store, w.customer_360, config, w.segment_definition, w.params, starts=1)
-    return rows.df.groupBy("cluster_key", "layer").agg(ONE.alias("customers"))
+    return rows.df.groupBy("cluster_key", "layer").agg(n_rows().alias("customers"))
 
 
 @query("k07_k_grid")
@@ -664,7 +664,7 @@ def p04(w):
 @query("p06_city_concentration")
 def p06(w):
     cities = w.view.where("clean_city <> 'UNKNOWN'").groupBy("clean_city").agg(
-        ONE.alias("customers"), F.sum("total_txn_value").alias("v"))
+        n_rows().alias("customers"), F.sum("total_txn_value").alias("v"))
     whole = w.view.agg(F.sum("total_txn_value")).scalar()
     top = cities.orderBy(F.desc("v"), "clean_city").limit(15)
     place = F.row_number().over(Window.orderBy(F.desc("v"), "clean_city"))
@@ -675,7 +675,7 @@ def p06(w):
 
 @query("p07_weekend_uplift")
 def p07(w):
-    days = w.fact.groupBy("date_key").agg(ONE.alias("n"), F.sum("amount").alias("v")).join(F.broadcast(w.dim_date), "date_key")
+    days = w.fact.groupBy("date_key").agg(n_rows().alias("n"), F.sum("amount").alias("v")).join(F.broadcast(w.dim_date), "date_key")
     weekend = lambda x: F.sum(F.when(c("is_weekend"), c(x)))
     weekday = lambda x: F.sum(F.when(~c("is_weekend"), c(x)))
     off, on = S.ratio(weekend("n"), F.count_if("is_weekend")), S.ratio(weekday("n"), F.count_if(~c("is_weekend")))
@@ -687,7 +687,7 @@ def p07(w):
 
 @query("p08_hour_profile")
 def p08(w):
-    days = w.dim_date.groupBy("day_of_week_num").agg(ONE.alias("days"))
+    days = w.dim_date.groupBy("day_of_week_num").agg(n_rows().alias("days"))
     per_hour = w.agg_hour_weekday.where("txn_hour is not null").join(days, "day_of_week_num")
     return per_hour.select("day_of_week", "txn_hour", S.fixed(S.ratio(c("txns"), c("days")), 4).alias("txns_per_day"))
 
@@ -737,7 +737,7 @@ def p13b(w):
 
 @query("p14_high_value_rates")
 def p14(w):
-    return w.customer_360.groupBy("city_tier").agg(S.percent(F.count_if("is_high_value"), ONE, 1).alias("pct_high_value"))
+    return w.customer_360.groupBy("city_tier").agg(S.percent(F.count_if("is_high_value"), n_rows(), 1).alias("pct_high_value"))
 
 
 @query("p15_score_histogram")
@@ -751,17 +751,17 @@ def p16(w):
         F.struct(F.lit(L.THEME_LABELS[t]).alias("theme"), c(f"fit_{t}").alias("fit")) for t in L.THEMES])))
     hit = c("fit") == 1.0
     return tall.groupBy("theme").agg(
-        F.count_if(hit).alias("flagged"), S.percent(F.count_if(hit), ONE).alias("pct_customers"),
+        F.count_if(hit).alias("flagged"), S.percent(F.count_if(hit), n_rows()).alias("pct_customers"),
         F.count_if(c("fit") == 0.5).alias("near_miss"),
         F.sum(F.when(hit, c("latest_balance"))).cast("double").alias("addressable_balance"))
 
 
 @query("p17_tier_table")
 def p17(w):
-    evidence = [S.percent(F.count_if(c("evidence_level") == e), ONE, 1).alias(f"pct_{e.lower()}") for e in L.EVIDENCE_ORDER]
+    evidence = [S.percent(F.count_if(c("evidence_level") == e), n_rows(), 1).alias(f"pct_{e.lower()}") for e in L.EVIDENCE_ORDER]
     return w.view.groupBy("tier").agg(
-        ONE.alias("customers"), F.min("overall_score").alias("min_score"), F.max("overall_score").alias("max_score"),
-        S.percent(F.count_if("any_signal"), ONE, 1).alias("pct_with_signal"),
+        n_rows().alias("customers"), F.min("overall_score").alias("min_score"), F.max("overall_score").alias("max_score"),
+        S.percent(F.count_if("any_signal"), n_rows(), 1).alias("pct_with_signal"),
         publish.addressable().alias("addressable_balance"), *evidence)
 
 
@@ -771,11 +771,11 @@ def p18(w):
     ticket = R.distribution(w.store, "single_tickets", single, ["avg_txn_value"])
     by_age = R.distribution(w.store, "age_balances", w.customer_360, ["avg_balance"], by=["age_group"])
     medians = R.quantiles(by_age, {"m": ("avg_balance", 0.5)}, ["age_group"])
-    rates = w.customer_360.groupBy("city_tier").agg(S.percent(F.count_if("is_high_value"), ONE, 1).alias("value"))
+    rates = w.customer_360.groupBy("city_tier").agg(S.percent(F.count_if("is_high_value"), n_rows(), 1).alias("value"))
     top = stats.concentration(w.value_places.df, "latest_balance", (0.10,))
     row = lambda df, h, item, value: df.select(F.lit(h).alias("hypothesis"), item.alias("item"), value.cast("double").alias("value"))
     return (row(top, "H1", F.lit("top 10% share of balance"), c("top_10_pct"))
-            .unionByName(row(w.customer_360.agg(S.percent(F.count_if(c("txn_count") == 1), ONE, 1).alias("v")),
+            .unionByName(row(w.customer_360.agg(S.percent(F.count_if(c("txn_count") == 1), n_rows(), 1).alias("v")),
                              "H2", F.lit("single transaction %"), c("v")))
             .unionByName(row(R.quantiles(ticket, {"m": ("avg_txn_value", 0.5)}), "H2", F.lit("median single ticket"),
                              S.fixed(c("m"), 2)))
@@ -790,15 +790,15 @@ def p19(w):
     day = c("txn_hour").between(12, 20)
     hours = w.agg_hour_weekday.where("txn_hour is not null")
     return stats.facts({
-        "single_pct": v.agg(S.percent(F.count_if(c("txn_count") == 1), ONE)),
-        "young_pct": v.agg(S.percent(F.count_if(young), ONE)),
-        "signal_pct": v.agg(S.percent(F.count_if("any_signal"), ONE)),
+        "single_pct": v.agg(S.percent(F.count_if(c("txn_count") == 1), n_rows())),
+        "young_pct": v.agg(S.percent(F.count_if(young), n_rows())),
+        "signal_pct": v.agg(S.percent(F.count_if("any_signal"), n_rows())),
         "tier_a": v.agg(F.count_if(c("tier") == "A")),
         "tier_a_min_score": v.where("tier = 'A'").agg(F.min("overall_score")),
         "afternoon_evening_pct": hours.agg(S.percent(F.sum(F.when(day, c("txns"))), F.sum("txns"))),
         "top_10_pct": stats.concentration(w.value_places.df, "total_txn_value", (0.10,)),
-        "cities": w.dim_location.agg(ONE),
-        "raw_locations": w.classified.groupBy("cust_location").agg(ONE.alias("n")).agg(F.count("cust_location"))})
+        "cities": w.dim_location.agg(n_rows()),
+        "raw_locations": w.classified.groupBy("cust_location").agg(n_rows().alias("n")).agg(F.count("cust_location"))})
 
 
 @query("p19_theme_rates")

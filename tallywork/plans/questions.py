@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import ranks as R
 from ..operators.skew import lookup_join
-from ..sources.store import Saved
 from .workspace import Workspace
 
-c, ONE = F.col, F.count(F.lit(1))
-KNOWN_CITY = c("clean_city") != "UNKNOWN"
+c = F.col
 QUESTIONS: dict[str, tuple[str, Callable[[Workspace], DataFrame]]] = {}
 
 
+def n_rows():
+    return F.count(F.lit(1))
+
+
+def known_city():
+    return F.col("clean_city") != "UNKNOWN"
+
+
 def question(qid: str, title: str):
     def add(fn):
         QUESTIONS[qid] = (title, fn)
@@ -38,9 +44,9 @@ def ranked_top(df: DataFrame, by: str, tie: str, n: int, name: str) -> DataFrame
 
 @question("Q01", "Clean transactions and distinct customers")
 def q01(w: Workspace) -> DataFrame:
-    per = w.fact.groupBy("customer_id").agg(ONE.alias("n"), F.sum("amount").alias("v"))
+    per = w.fact.groupBy("customer_id").agg(n_rows().alias("n"), F.sum("amount").alias("v"))
     clean = w.waterfall.where("step_no = 99").select("rows").scalar()
-    return per.agg(F.sum("n").alias("clean_transactions"), ONE.alias("distinct_customers"),
+    return per.agg(F.sum("n").alias("clean_transactions"), n_rows().alias("distinct_customers"),
                    F.sum("v").cast("double").alias("total_txn_value_inr")).withColumn("waterfall_clean_rows", clean)
 
 
@@ -64,15 +70,15 @@ def q04(w):
 
 @question("Q05", "Cities with the highest transaction value")
 def q05(w):
-    cities = w.customer_360.where(KNOWN_CITY).groupBy("clean_city").agg(
+    cities = w.customer_360.where(known_city()).groupBy("clean_city").agg(
         F.sum("total_txn_value").alias("total_txn_value"), F.sum("txn_count").alias("txns"))
     return ranked_top(cities, "total_txn_value", "clean_city", 25, "city_rank")
 
 
 @question("Q06", "Cities with the most customers")
 def q06(w):
-    cities = w.customer_360.where(KNOWN_CITY).groupBy("clean_city").agg(
-        ONE.alias("customers"), F.sum("total_txn_value").alias("total_txn_value"))
+    cities = w.customer_360.where(known_city()).groupBy("clean_city").agg(
+        n_rows().alias("customers"), F.sum("total_txn_value").alias("total_txn_value"))
     big = cities.where(c("customers") >= w.params.min_city_customers)
     return big.withColumn("value_per_customer", S.fixed(S.ratio(c("total_txn_value"), c("customers")), 2)) \
         .orderBy(F.desc("customers"), "clean_city").limit(25)
@@ -81,7 +87,7 @@ def q06(w):
 @question("Q07", "Share of high-value transactions")
 def q07(w):
     flag = c("is_high_value_txn")
-    one = w.fact.agg(S.percent(F.count_if(flag), ONE).alias("pct_txns_high_value"),
+    one = w.fact.agg(S.percent(F.count_if(flag), n_rows()).alias("pct_txns_high_value"),
                      S.percent(F.sum(F.when(flag, c("amount"))), F.sum("amount")).alias("pct_value_high_value"))
     return one.withColumn("p95_amount_inr", w.thresholds.select("txn_amount_p95").scalar())
 
@@ -102,9 +108,9 @@ def q08(w):
 def q09(w):
     """Amounts are counted per customer first, then spread over both groupings, so a customer with very many rows
     joins as its distinct amounts."""
-    people = Saved(w.base.df.select("customer_id", "gender", "age_group", "txn_count"), w.base.rows)
-    counted = w.fact.groupBy("customer_id", "amount").agg(ONE.alias("copies"))
-    named = lookup_join(counted, people, ["customer_id"], "txn_count", c("amount"), w.broadcast_rows)
+    people = w.base.of(w.base.df.select("customer_id", "gender", "age_group", "txn_count"))
+    counted = w.fact.groupBy("customer_id", "amount").agg(n_rows().alias("copies"))
+    named = lookup_join(counted, people, ["customer_id"], "txn_count", c("amount"))
     groups = F.array(*[F.struct(F.lit(d).alias("dimension"), c(d).alias("group_value")) for d in ("gender", "age_group")])
     tall = named.select("amount", "copies", F.inline(groups))
     made = R.weighted_summary(w.store, "ticket", tall, "amount", "copies", ["dimension", "group_value"])
@@ -115,27 +121,27 @@ def q09(w):
 @question("Q10", "Customers by number of transactions")
 def q10(w):
     label = F.when(c("txn_count") >= 3, "3+").otherwise(c("txn_count").cast("string"))
-    sizes = w.customer_360.groupBy(label.alias("txns_per_customer")).agg(ONE.alias("customers"))
+    sizes = w.customer_360.groupBy(label.alias("txns_per_customer")).agg(n_rows().alias("customers"))
     return sizes.withColumn("pct_customers", S.percent(c("customers"), whole("customers")))
 
 
 def per_day(w) -> DataFrame:
     """One row per day with its calendar columns; the day list is bounded by the window."""
-    days = w.fact.groupBy("date_key").agg(ONE.alias("n"), F.sum("amount").alias("v"))
+    days = w.fact.groupBy("date_key").agg(n_rows().alias("n"), F.sum("amount").alias("v"))
     return days.join(F.broadcast(w.dim_date), "date_key")
 
 
 @question("Q11a", "Monthly counts and values")
 def q11a(w):
     months = per_day(w).groupBy("month_key", "month_name").agg(
-        F.sum("n").alias("txns"), F.sum("v").cast("double").alias("total_value"), ONE.alias("days_in_window"))
+        F.sum("n").alias("txns"), F.sum("v").cast("double").alias("total_value"), n_rows().alias("days_in_window"))
     return months.withColumn("txns_per_day", S.fixed(S.ratio(c("txns"), c("days_in_window")), 0))
 
 
 @question("Q11b", "Weekly counts and values with a running total")
 def q11b(w):
     weeks = per_day(w).groupBy("week_start").agg(
-        F.sum("n").alias("txns"), F.sum("v").cast("double").alias("total_value"), ONE.alias("days_in_week"))
+        F.sum("n").alias("txns"), F.sum("v").cast("double").alias("total_value"), n_rows().alias("days_in_week"))
     upto = Window.orderBy("week_start").rowsBetween(Window.unboundedPreceding, 0)
     return weeks.withColumn("running_txns", F.sum("txns").over(upto))
 
@@ -143,9 +149,9 @@ def q11b(w):
 @question("Q12", "Activity by weekday and by time band")
 def q12(w):
     weekdays = per_day(w).groupBy(c("day_of_week").alias("value"), c("day_of_week_num").alias("sort_key")).agg(
-        F.sum("n").alias("txns"), S.fixed(S.ratio(F.sum("n"), ONE), 0).alias("avg_txns_per_day"))
+        F.sum("n").alias("txns"), S.fixed(S.ratio(F.sum("n"), n_rows()), 0).alias("avg_txns_per_day"))
     bands = w.fact.groupBy(c("time_band").alias("value")).agg(
-        F.min("txn_hour").alias("sort_key"), ONE.alias("txns"), F.lit(None).cast("double").alias("avg_txns_per_day"))
+        F.min("txn_hour").alias("sort_key"), n_rows().alias("txns"), F.lit(None).cast("double").alias("avg_txns_per_day"))
     return weekdays.select(F.lit("day_of_week").alias("dimension"), "*").unionByName(
         bands.select(F.lit("time_band").alias("dimension"), "*"))
 
@@ -160,7 +166,7 @@ def q13(w):
 
 def top_cities(df: DataFrame, measure, n: int) -> DataFrame:
     """Names of the n cities with the largest measure; n rows, so safe to broadcast."""
-    sums = df.where(KNOWN_CITY).groupBy("clean_city").agg(measure.alias("_m"))
+    sums = df.where(known_city()).groupBy("clean_city").agg(measure.alias("_m"))
     return F.broadcast(sums.orderBy(F.desc("_m"), "clean_city").limit(n).select("clean_city"))
 
 
@@ -185,15 +191,15 @@ def q15(w):
 
 @question("Q16", "Recency and value score grid")
 def q16(w):
-    mean = lambda x, k: S.fixed(S.ratio(F.sum(x), ONE), k)
+    mean = lambda x, k: S.fixed(S.ratio(F.sum(x), n_rows()), k)
     return w.customer_360.groupBy("r_score", "m_score").agg(
-        ONE.alias("customers"), mean("recency_days", 1).alias("avg_recency"), mean("txn_count", 2).alias("avg_txns"),
+        n_rows().alias("customers"), mean("recency_days", 1).alias("avg_recency"), mean("txn_count", 2).alias("avg_txns"),
         mean("total_txn_value", 0).alias("avg_value"))
 
 
 @question("Q17", "Customers per balance band")
 def q17(w):
-    sizes = w.customer_360.groupBy(S.balance_band(c("latest_balance")).alias("balance_band")).agg(ONE.alias("customers"))
+    sizes = w.customer_360.groupBy(S.balance_band(c("latest_balance")).alias("balance_band")).agg(n_rows().alias("customers"))
     return sizes.withColumn("pct_customers", S.percent(c("customers"), whole("customers")))
 
 
@@ -208,15 +214,15 @@ def q18(w):
 @question("Q19", "Balances by city tier and in the top-20 cities")
 def q19(w):
     rows = w.customer_360.select("city_tier", "clean_city", "avg_balance")
-    top = top_cities(rows, ONE, 20).select("clean_city", F.lit(True).alias("_top"))
+    top = top_cities(rows, n_rows(), 20).select("clean_city", F.lit(True).alias("_top"))
     marked = rows.join(F.broadcast(top), "clean_city", "left")
     groups = F.array(F.struct(F.lit("city_tier").alias("level"), c("city_tier").alias("name")),
                      F.struct(F.lit("top20_city").alias("level"), F.when(c("_top"), c("clean_city")).alias("name")))
-    tall = w.store.save("balance_groups", marked.select("avg_balance", F.inline(groups)).where(c("name").isNotNull())).df
+    tall = marked.select("avg_balance", F.inline(groups)).where(c("name").isNotNull())
     spread = R.distribution(w.store, "group_balances", tall, ["avg_balance"], by=["level", "name"])
     medians = R.quantiles(spread, {"median_avg_balance": ("avg_balance", 0.5)}, ["level", "name"])
     sums = tall.groupBy("level", "name").agg(
-        ONE.alias("customers"), S.fixed(S.mean_of(c("avg_balance")), 0).alias("mean_avg_balance"))
+        n_rows().alias("customers"), S.fixed(S.mean_of(c("avg_balance")), 0).alias("mean_avg_balance"))
     return sums.join(medians, ["level", "name"], "left")
 
 
@@ -231,15 +237,15 @@ def q20(w):
 @question("Q21", "Share of customers with unknown attributes")
 def q21(w):
     return w.dim_customer.agg(
-        ONE.alias("customers"), S.percent(F.count_if(c("dob").isNull()), ONE).alias("pct_dob_missing_or_invalid"),
-        S.percent(F.count_if(c("gender") == "Unknown"), ONE).alias("pct_gender_unknown"),
-        S.percent(F.count_if(~KNOWN_CITY), ONE).alias("pct_location_unknown"))
+        n_rows().alias("customers"), S.percent(F.count_if(c("dob").isNull()), n_rows()).alias("pct_dob_missing_or_invalid"),
+        S.percent(F.count_if(c("gender") == "Unknown"), n_rows()).alias("pct_gender_unknown"),
+        S.percent(F.count_if(~known_city()), n_rows()).alias("pct_location_unknown"))
 
 
 @question("Q22", "Customers with conflicting attributes")
 def q22(w):
     flags = ("dob_conflict", "gender_conflict", "location_conflict")
-    repeat = w.customer_360.where("txn_count > 1").agg(ONE).scalar()
+    repeat = w.customer_360.where("txn_count > 1").agg(n_rows()).scalar()
     return w.dim_customer.agg(*[F.count_if(f).alias(f"{f}s") for f in flags],
                               F.count_if(c(flags[0]) | c(flags[1]) | c(flags[2])).alias("any_conflict")) \
         .withColumn("repeat_customers", repeat)
@@ -247,7 +253,7 @@ def q22(w):
 
 @question("Q23", "Segment size and value")
 def q23(w):
-    sizes = w.view.groupBy("segment_name").agg(ONE.alias("customers"), F.sum("total_txn_value").alias("v"),
+    sizes = w.view.groupBy("segment_name").agg(n_rows().alias("customers"), F.sum("total_txn_value").alias("v"),
                                                S.fixed(S.mean_of(c("avg_balance")), 0).alias("mean_avg_balance"))
     return sizes.select("segment_name", "customers", S.percent(c("customers"), whole("customers")).alias("pct_customers"),
                         c("v").cast("double").alias("total_value"), S.percent(c("v"), whole("v")).alias("pct_value"),
@@ -260,13 +266,13 @@ def q24(w):
              "insurance": "insurance", "personal_loan": "personal_loan", "reengagement": "reengagement"}
     return w.view.rollup("segment_name").agg(
         *[F.count_if(f"sig_{t}").alias(label) for t, label in names.items()],
-        F.count_if("any_signal").alias("any_signal"), ONE.alias("customers")).orderBy(F.asc_nulls_last("segment_name"))
+        F.count_if("any_signal").alias("any_signal"), n_rows().alias("customers")).orderBy(F.asc_nulls_last("segment_name"))
 
 
 @question("Q25", "Top 20 tier A customers in the top-5 cities")
 def q25(w):
-    rows = w.view.where((c("tier") == "A") & KNOWN_CITY).select("customer_id", "clean_city", "overall_score", "driving_theme")
-    kept = rows.join(top_cities(rows, ONE, 5), "clean_city", "left_semi")
+    rows = w.view.where((c("tier") == "A") & known_city()).select("customer_id", "clean_city", "overall_score", "driving_theme")
+    kept = rows.join(top_cities(rows, n_rows(), 5), "clean_city", "left_semi")
     place = F.row_number().over(Window.partitionBy("clean_city").orderBy(F.desc("overall_score"), "customer_id"))
     return kept.withColumn("rank_in_city", place).where("rank_in_city <= 20").select(
         "clean_city", "rank_in_city", "customer_id", S.fixed(c("overall_score"), 2).alias("overall_score"), "driving_theme")
@@ -276,10 +282,10 @@ def q25(w):
 def q26(w):
     ab = F.count_if(c("tier").isin("A", "B"))
     engagement = S.mean_of(c("engagement_score"))
-    cities = w.view.where(KNOWN_CITY).groupBy("clean_city").agg(
-        ONE.alias("customers"), S.ratio(ab, ONE).alias("share"), engagement.alias("engagement"),
-        S.ratio(F.sum("txn_count"), ONE).alias("txns"))
-    every = w.view.agg(S.ratio(ab, ONE).alias("share"), engagement.alias("engagement"))
+    cities = w.view.where(known_city()).groupBy("clean_city").agg(
+        n_rows().alias("customers"), S.ratio(ab, n_rows()).alias("share"), engagement.alias("engagement"),
+        S.ratio(F.sum("txn_count"), n_rows()).alias("txns"))
+    every = w.view.agg(S.ratio(ab, n_rows()).alias("share"), engagement.alias("engagement"))
     kept = cities.where((c("customers") >= w.params.min_city_customers)
                         & (c("share") > every.select("share").scalar())
                         & (c("engagement") < every.select("engagement").scalar()))

@@ -10,24 +10,32 @@ from ..operators import cleaning, cube, features, model, opportunity, publish, q
 from ..params import Params
 from ..sources import staging as src
 from ..sources.lookups import LOCATION_VARIANTS
-from ..sources.store import Saved, Store
+from ..sources.store import SMALL_ROWS, Saved, Store, spread
 
 
 class Workspace:
     def __init__(self, spark: SparkSession, staging: DataFrame, params: Params | None = None, variants=None,
                  segment_config: dict | None = None, centroids: dict[str, list] | None = None, starts: int = 10,
-                 store_root: str | None = None, broadcast_rows: int | None = None):
-        self.spark, self.staging, self.params = spark, staging, params or Params()
-        self.store = Store(spark, store_root)
+                 store_root: str | None = None, small_rows: int = SMALL_ROWS):
+        self.spark, self.source, self.params = spark, staging, params or Params()
+        self.store = Store(spark, store_root, small_rows)
         self.variants = src.variants_table(spark, LOCATION_VARIANTS if variants is None else variants)
-        self.broadcast_rows = broadcast_rows
         self.segment_config = segment_config or src.segment_config()
         self.centroids, self.starts = centroids, starts
 
     # cleaning
+    @cached_property
+    def staging_table(self) -> Saved:
+        """The log as landed: text columns in parquet with a fixed row order, so later passes read only what they need."""
+        return self.store.save("staging", spread(self.source))
+
+    @property
+    def staging(self) -> DataFrame:
+        return self.staging_table.df
+
     @cached_property
     def classified_table(self) -> Saved:
-        return cleaning.classify(self.store, self.staging, self.params, self.broadcast_rows)
+        return cleaning.classify(self.store, self.staging, self.params)
 
     @property
     def classified(self) -> DataFrame:
@@ -65,8 +73,8 @@ class Workspace:
     @cached_property
     def transactions(self) -> Saved:
         """Clean rows with every derived column: the ``clean`` and ``fact`` tables are projections of it."""
-        rows = cleaning.mark_copies(self.store, self._clean_rows, self.broadcast_rows)
-        return self.store.save("transactions", model.fact(rows, self.locations, self.amounts, self.broadcast_rows))
+        rows = cleaning.mark_copies(self.store, self._clean_rows)
+        return self.store.save("transactions", model.fact(rows, self.locations, self.amounts))
 
     @property
     def fact(self) -> DataFrame:
@@ -78,7 +86,7 @@ class Workspace:
 
     @cached_property
     def customers_table(self) -> Saved:
-        return model.dim_customer(self.store, self.fact, self.locations, self.params, self.broadcast_rows)
+        return model.dim_customer(self.store, self.fact, self.locations, self.params)
 
     @property
     def dim_customer(self) -> DataFrame:
@@ -92,7 +100,7 @@ class Workspace:
     @cached_property
     def value_places(self) -> Saved:
         """Positions of every ranked customer measure: the source of ranks, thresholds and concentration."""
-        return features.R.distribution(self.store, "customer_values", self.base.df, features.RANKED)
+        return features.R.distribution(self.store, "customer_values", self.base.df, features.RANKED, keep=True)
 
     @cached_property
     def thresholds(self) -> DataFrame:
@@ -100,9 +108,8 @@ class Workspace:
 
     @cached_property
     def c360_table(self) -> Saved:
-        ranks = features.customer_ranks(self.store, self.base.df, self.value_places, self.broadcast_rows)
-        return features.customer_360(self.store, self.base.df, ranks.df, self.thresholds, self.params,
-                                     self.broadcast_rows)
+        ranks = features.customer_ranks(self.store, self.base.df, self.value_places)
+        return features.customer_360(self.store, self.base.df, ranks.df, self.thresholds, self.params)
 
     @property
     def customer_360(self) -> DataFrame:
@@ -111,7 +118,7 @@ class Workspace:
     # opportunity
     @cached_property
     def opportunity_table(self) -> Saved:
-        return opportunity.opportunity(self.store, self.customer_360, self.params)
+        return opportunity.opportunity(self.store, self.c360_table, self.params)
 
     @property
     def opportunity(self) -> DataFrame:

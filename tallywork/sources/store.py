@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
+SMALL_ROWS = 200_000
+
+
 @dataclass(frozen=True)
 class Saved:
-    """A written table and its row count, which size checks read."""
+    """A written table with its row count. ``small`` says that it may be broadcast or ordered in one task."""
 
     df: DataFrame
     rows: int
+    small: bool
+
+    def of(self, df: DataFrame) -> "Saved":
+        """The same size claim for a frame with no more rows."""
+        return replace(self, df=df)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,11 +40,17 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="tallywork-"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A log that arrives in fewer splits than cores (one small or unsplittable file) is dealt out once."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Store:
     """Writes each stage once as parquet and reads it back, so a lost executor only re-reads files."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str | None = None, small_rows: int = SMALL_ROWS):
+        self.spark, self.small_rows = spark, small_rows
         run = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
         self.root = f"{(root or shared_root(spark)).rstrip('/')}/tallywork/{run}"
         self._saves = 0
@@ -51,4 +65,5 @@ class Store:
             writer = writer.partitionBy(by)
         writer.parquet(path)
         # A stated schema spares the footer-reading job; partition columns are typed from it too.
-        return Saved(self.spark.read.schema(df.schema).parquet(path), seen.get["rows"])
+        rows = seen.get["rows"]
+        return Saved(self.spark.read.schema(df.schema).parquet(path), rows, rows <= self.small_rows)
