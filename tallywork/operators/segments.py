@@ -79,7 +79,7 @@ def fit_kmeans(points: DataFrame, k: int, seed: int, starts: int = 10):
     best = None
     for start in range(starts):
         model = KMeans(k=k, seed=seed + start, featuresCol="point", predictionCol="label", maxIter=300,
-                       tol=1e-6).fit(points)
+                       tol=1e-4).fit(points)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     return best

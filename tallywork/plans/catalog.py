@@ -27,11 +27,15 @@ CENTROIDS = {"J": [(0.2, 0.9, 0.0, 1.2, -0.8), (0.3, 0.3, 0.8, -0.7, -0.7), (0.3
 _OPEN: dict[tuple[str, str], Workspace] = {}
 
 
+def open_workspace(spark: SparkSession, sf_dir: str, **options) -> Workspace:
+    return Workspace(spark, staging(spark, sf_dir), PARAMS, VARIANTS, centroids=CENTROIDS, **options)
+
+
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     """One workspace per session and input folder, so queries share its written stages."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
-        _OPEN[key] = Workspace(spark, staging(spark, sf_dir), PARAMS, VARIANTS, centroids=CENTROIDS)
+        _OPEN[key] = open_workspace(spark, sf_dir)
     return _OPEN[key]
 
 
