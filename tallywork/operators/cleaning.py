@@ -68,9 +68,9 @@ def first_failing(pairs: list[tuple[str, Column]]) -> Column:
 
 
 def classify(store: Store, staging: DataFrame, p: Params) -> Saved:
-    """Every staging row typed, with its reject reason; partitioned by reason so clean reads skip rejects."""
+    """Every staging row typed, with its reject reason. One file per task: folders by reason would multiply files."""
     rows = mark_repeats(store, typed(staging, p), staging)
-    return store.save("classified", rows.withColumn("reject_reason", first_failing(rules(p))), by="reject_reason")
+    return store.save("classified", rows.withColumn("reject_reason", first_failing(rules(p))))
 
 
 def rejected(classified: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def clean(classified: DataFrame, variants: DataFrame, p: Params) -> DataFrame:
 def mark_copies(store: Store, rows: DataFrame) -> DataFrame:
     """Adds ``is_possible_duplicate``: the same business columns under another id, NULLs equal. The columns are
     compared as one digest, so the join has a single never-null key."""
-    digest = F.sha2(F.to_json(F.struct(*COPY_KEYS)), 256)
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*COPY_KEYS)), 256))
     keyed = rows.withColumn("_copy", digest)
     groups = repeated_keys(store, "copies", keyed, {"_copy": F.col("_copy")}, {"_copied": F.lit(True)})
     marked = lookup_join(keyed, groups, ["_copy"], "n", F.col("transaction_id"))

@@ -91,22 +91,16 @@ def _large_positions(store: Store, name: str, tallied: Saved, keys: list[str], c
 
 
 def quantiles(dist: Saved, wanted: dict[str, tuple[str, float]], by: list[str] | None = None) -> DataFrame:
-    """Exact continuous quantiles, one row (per group). ``wanted`` maps a column to (measure, p)."""
-    asks = F.array(*[F.struct(F.lit(k).alias("ask"), F.lit(m).alias("of"), F.lit(float(p)).alias("p"))
-                     for k, (m, p) in wanted.items()])
-    hit = (dist.df.select("*", F.inline(asks)).where(F.col("of") == F.col("measure"))
-           .withColumn("_pos", (F.col("total") - 1).cast("double") * F.col("p")))
-    low, high = F.floor("_pos") + 1, F.ceil("_pos") + 1
-    has_low, has_high = low.between(F.col("first"), F.col("last")), high.between(F.col("first"), F.col("last"))
-    hit = hit.where(has_low | has_high)
-    columns = []
-    for ask in wanted:
-        mine = F.col("ask") == ask
-        lo = F.max(F.when(mine & has_low, F.col("value")))
-        hi = F.max(F.when(mine & has_high, F.col("value")))
-        part = F.max(F.when(mine, F.col("_pos") - F.floor("_pos")))
-        columns.append((lo + (hi - lo) * part).alias(ask))
-    return hit.groupBy(*(by or [])).agg(*columns)
+    """Exact continuous quantiles, one row (per group). ``wanted`` maps a column to (measure, p). Only the values at the
+    two positions of each quantile pass the filter, so the aggregate sees a handful of rows per group."""
+    columns, hits = [], F.lit(False)
+    for ask, (measure, p) in wanted.items():
+        mine, at = F.col("measure") == measure, (F.col("total") - 1).cast("double") * F.lit(float(p))
+        low, high = ((place + 1).between(F.col("first"), F.col("last")) & mine for place in (F.floor(at), F.ceil(at)))
+        hits = hits | low | high
+        lo, hi = F.max(F.when(low, F.col("value"))), F.max(F.when(high, F.col("value")))
+        columns.append((lo + (hi - lo) * F.max(F.when(mine, at - F.floor(at)))).alias(ask))
+    return dist.df.where(hits).groupBy(*(by or [])).agg(*columns)
 
 
 def weighted_summary(store: Store, name: str, df: DataFrame, column: str, copies: str, by: list[str]) -> DataFrame:

@@ -55,15 +55,12 @@ class Store:
         self.root = f"{(root or shared_root(spark)).rstrip('/')}/tallywork/{run}"
         self._saves = 0
 
-    def save(self, name: str, df: DataFrame, by: str | None = None) -> Saved:
+    def save(self, name: str, df: DataFrame) -> Saved:
         # A name saved again gets a new path: frames read from the first one stay valid.
         self._saves += 1
         path = f"{self.root}/{self._saves:04d}_{re.sub(r'[^A-Za-z0-9_]', '_', name)}"
         seen = Observation()
-        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
-        if by:
-            writer = writer.partitionBy(by)
-        writer.parquet(path)
-        # A stated schema spares the footer-reading job; partition columns are typed from it too.
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+        # A stated schema spares the footer-reading job.
         rows = seen.get["rows"]
         return Saved(self.spark.read.schema(df.schema).parquet(path), rows, rows <= self.small_rows)
