@@ -37,8 +37,10 @@ def describe(store: Store, name: str, df: DataFrame, column: str, by: list[str]
     marks = {f"p{round(q * 100)}": (column, q) for q in points}
     cuts = R.quantiles(spread, marks, by)
     cuts = cuts.select(*by, *[S.fixed(F.col(m), 2).alias(m) for m in marks])
-    joined = sums.join(cuts, by, "left") if by else sums.withColumns({m: cuts.select(m).scalar() for m in marks})
-    return joined.drop("_q", "_s")
+    if by:
+        return sums.join(cuts, by, "left").drop("_q", "_s")
+    row = cuts.select(F.struct(*marks)).scalar()  # one subquery, reused for every mark
+    return sums.withColumns({m: row[m] for m in marks}).drop("_q", "_s")
 
 
 def log_histogram(df: DataFrame, column: str, bins: int, top: Column) -> DataFrame:
@@ -67,7 +69,7 @@ def gini() -> Column:
     the sum of value x (rows at or above it), so no running total is needed."""
     value, n, total = F.col("value").cast("decimal(38,2)"), F.col("n"), F.max("total")
     # positions first..last each weigh (total - position + 1); their sum over the copies is exact as a half-integer.
-    weight = n * (2 * F.col("total") + 2 - F.col("first") - F.col("last"))
+    weight = n.cast("decimal(19,0)") * (2 * F.col("total") + 2 - F.col("first") - F.col("last")).cast("decimal(19,0)")
     cumulated = F.sum(value * weight).cast("double") / 2
     whole, least = F.sum(value * n).cast("double"), F.min("value")
     area = (cumulated - (least + whole) / 2) / whole / total
@@ -160,6 +162,12 @@ def normal_two_sided_p(z: Column) -> Column:
     return F.pandas_udf(column, "double")(z)
 
 
+def _rank_sum(copies: str) -> Column:
+    """Sum of mid-ranks over the copies of each value; decimals, since a product of two counts can pass a long."""
+    twice = (F.col("first") + F.col("last")).cast("decimal(19,0)")
+    return F.sum(F.col(copies).cast("decimal(19,0)") * twice).cast("double") / 2
+
+
 def _tie_term() -> Column:
     n = F.col("n").cast("decimal(13,0)")
     return F.sum((n * n * n - n).cast("decimal(38,0)")).cast("double")
@@ -169,7 +177,7 @@ def mann_whitney(store: Store, name: str, df: DataFrame, column: str, group: str
     """U of the first group against the second, tie-corrected normal p, and rank-biserial r."""
     kept = df.where(F.col(group).isin(first, second))
     dist = R.distribution(store, f"mw_{name}", kept, [column], counts={"n1": F.col(group) == first}).df
-    rank_sum = F.sum((F.col("n1") * (F.col("first") + F.col("last"))).cast("decimal(38,0)")).cast("double") / 2
+    rank_sum = _rank_sum("n1")
     one = dist.agg(rank_sum.alias("r1"), F.sum("n1").cast("double").alias("n1"), F.sum("n").cast("double").alias("n"),
                    _tie_term().alias("ties"))
     n1, n = F.col("n1"), F.col("n")
@@ -187,11 +195,9 @@ def kruskal(store: Store, name: str, df: DataFrame, columns: list[str], group: s
     marks = {f"g{i}": F.col(group) == g for i, g in enumerate(groups)}
     kept = df.where(F.col(group).isin(*groups))
     dist = R.distribution(store, f"kw_{name}", kept, columns, counts=marks).df
-    twice = F.col("first") + F.col("last")
     sums = []
     for m in marks:
-        rank_sum = F.sum((F.col(m) * twice).cast("decimal(38,0)")).cast("double") / 2
-        size = F.sum(m).cast("double")
+        rank_sum, size = _rank_sum(m), F.sum(m).cast("double")
         sums.append(F.coalesce(S.ratio(rank_sum * rank_sum, size), F.lit(0.0)))
     present = sum((F.when(F.sum(m) > 0, 1).otherwise(0) for m in marks), F.lit(0))
     total = sum(sums, F.lit(0.0))

@@ -635,6 +635,11 @@ Q["r08_cube_reconciliation"] = ("kpi sql_value:d value:d variance:d status", _CO
 
 # tables
 Q["t01_dim_location"] = ("location_key:i clean_city raw_variants_count:i city_tier", "SELECT * FROM loc")
+Q["t02_dim_date_use"] = ("month_key is_weekend:b days:i txns:i", """
+ SELECT strftime(txn_date, '%Y-%m') AS month_key, isodow(txn_date) > 5 AS is_weekend, count(DISTINCT txn_date) AS days, count(*) AS txns
+ FROM fact GROUP BY 1, 2""")
+Q["t03_fact_transaction"] = ("transaction_id customer_id txn_date txn_sec:i amount:d balance:d order_key:i date_key:i is_possible_duplicate:b "
+                             "is_high_value_txn:b txn_location_key:i", "SELECT * FROM fact")
 Q["t04_dim_customer"] = ("customer_id dob age:i age_group age_known:b age_out_of_range:b gender clean_city dob_conflict:b gender_conflict:b location_conflict:b "
                          "dq_flag location_key:i city_tier", "SELECT * FROM dimc")
 Q["t05_customer_360"] = (

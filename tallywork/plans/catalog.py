@@ -872,6 +872,19 @@ def t01(w):
     return w.dim_location
 
 
+@query("t02_dim_date_use")
+def t02(w):
+    used = w.fact.groupBy("date_key").agg(n_rows().alias("txns"))
+    return w.dim_date.join(used, "date_key").groupBy("month_key", "is_weekend").agg(
+        n_rows().alias("days"), F.sum("txns").alias("txns"))
+
+
+@query("t03_fact_transaction")
+def t03(w):
+    return w.fact.select("transaction_id", "customer_id", "txn_date", "txn_sec", "amount", "balance", "order_key",
+                         "date_key", "is_possible_duplicate", "is_high_value_txn", "txn_location_key")
+
+
 @query("t04_dim_customer")
 def t04(w):
     return w.dim_customer

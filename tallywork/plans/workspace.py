@@ -16,22 +16,19 @@ from ..sources.store import SMALL_ROWS, Saved, Store, spread
 class Workspace:
     def __init__(self, spark: SparkSession, staging: DataFrame, params: Params | None = None, variants=None,
                  segment_config: dict | None = None, centroids: dict[str, list] | None = None, starts: int = 10,
-                 store_root: str | None = None, small_rows: int = SMALL_ROWS):
+                 store_root: str | None = None, small_rows: int = SMALL_ROWS, land: bool = True):
+        """``land=False`` reads the log in place: for a columnar table whose ``src_row`` is stored."""
         self.spark, self.source, self.params = spark, staging, params or Params()
         self.store = Store(spark, store_root, small_rows)
         self.variants = src.variants_table(spark, LOCATION_VARIANTS if variants is None else variants)
         self.segment_config = segment_config or src.segment_config()
-        self.centroids, self.starts = centroids, starts
+        self.centroids, self.starts, self.land = centroids, starts, land
 
     # cleaning
     @cached_property
-    def staging_table(self) -> Saved:
-        """The log as landed: text columns in parquet with a fixed row order, so later passes read only what they need."""
-        return self.store.save("staging", spread(self.source))
-
-    @property
     def staging(self) -> DataFrame:
-        return self.staging_table.df
+        """The log as landed: text columns in parquet with a fixed row order, so later passes read only what they need."""
+        return self.store.save("staging", spread(self.source)).df if self.land else self.source
 
     @cached_property
     def classified_table(self) -> Saved:
