@@ -160,11 +160,12 @@ def profile(store: Store, name: str, labelled: DataFrame, key: str) -> DataFrame
         "pct_value": S.percent(F.col("_value"), F.sum("_value").over(whole))}).drop("_value")
 
 
-def broken_names(profiles: DataFrame, definitions: DataFrame) -> list[str]:
-    """Cluster keys whose profile row does not meet the ``expect`` rule of their name."""
-    rules = definitions.where(F.col("expect").isNotNull()).select("cluster_key", "expect").collect()
-    return [r.cluster_key for r in rules
-            if profiles.where(F.col("cluster_key") == r.cluster_key).where(r.expect).isEmpty()]
+def name_fits(profiles: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """(cluster_key, fits_name): whether each profile row meets the ``expect`` rule of its name, in one pass."""
+    chain = F
+    for key, rule in rules.items():
+        chain = chain.when(F.col("cluster_key") == key, F.expr(rule))
+    return profiles.select("cluster_key", F.coalesce(chain, F.lit(False)).alias("fits_name"))
 
 
 def zscore_profile(scaled: DataFrame, keyed: DataFrame, features) -> DataFrame:

@@ -228,7 +228,7 @@ Q["e14_sheet_cells"] = ("balance_band customers_f:i customers_m:i customers_unkn
    count_if(any_signal AND clean_city = 'UNKNOWN') AS signals_unknown_city FROM view GROUP BY 1""")
 Q["e16_thresholds"] = ("latest_balance_p90:d total_txn_value_p90:d engagement_p25:d avg_balance_p50:d avg_balance_p75:d avg_balance_p90:d txn_amount_p95:d",
                        "SELECT * FROM thr")
-_MA = lambda x: (f"CASE WHEN count(*) OVER s = 7 THEN {fix(f'CAST(sum({x}) OVER s AS DOUBLE) / 7', 4)} END AS {x}_7d")
+_MA = lambda x: (f"CASE WHEN count(*) OVER s = 7 THEN {fix(f'CAST(sum(CAST({x} AS DECIMAL(38,4))) OVER s AS DOUBLE) / 7', 4)} END AS {x}_7d")
 Q["f10_moving_mean"] = ("date txns:i value:d txns_7d:d value_7d:d", f"""
  SELECT date, txns, value, {_MA('txns')}, {_MA('value')} FROM (SELECT date, count(amount) AS txns, coalesce(sum(amount), 0) AS value
    FROM days LEFT JOIN fact USING (date_key) GROUP BY 1) WINDOW s AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
@@ -592,6 +592,14 @@ Q["p20_age_distribution"] = ("age_group place:i customers:i pct_customers:d", f"
  SELECT a.age_group, place, count(c.customer_id) AS customers, {pct('count(c.customer_id)', 'sum(count(c.customer_id)) OVER ()')} AS pct_customers
  FROM (VALUES {', '.join(f"('{a}', {i})" for i, a in enumerate(L.AGE_ORDER))}) a(age_group, place) LEFT JOIN c360 c USING (age_group) GROUP BY 1, 2""")
 
+# the event table
+Q["o05_event_coverage"] = ("date rows:i", """
+ SELECT CAST(d AS DATE) AS date, count(e.day) AS rows FROM (SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events),
+   (SELECT max(CAST(ts AS DATE)) FROM events), INTERVAL 1 DAY)) AS d) LEFT JOIN (SELECT CAST(ts AS DATE) AS day FROM events) e ON e.day = d GROUP BY 1""")
+Q["f10_event_moving_mean"] = ("date events:i total:d events_7d:d total_7d:d", f"""
+ SELECT date, events, total, {_MA('events')}, {_MA('total')} FROM (SELECT CAST(ts AS DATE) AS date, count(*) AS events,
+   CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) AS total FROM events GROUP BY 1) WINDOW s AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
+
 # cube
 _PARTS = {
     "customers": ("i", "count(*)"), "txns": ("i", "sum(txn_count)"), "value": ("d", "sum(total_txn_value)"),

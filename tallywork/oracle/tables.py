@@ -349,5 +349,6 @@ def columns_of(spec: str) -> list[tuple[str, str]]:
 def statement(spec: str, body: str) -> str:
     """``spec`` lists the output columns as name:kind, with kind i, d, s, b (dates go out as text)."""
     tables = ", ".join(f"{n} AS MATERIALIZED ({TABLES[n]})" for n in needed(body))
+    head = f"WITH {tables} " if tables else ""
     shown = ", ".join(f"CAST({n} AS {TYPES[k]}) AS {n}" for n, k in columns_of(spec))
-    return f"WITH {tables} SELECT {shown} FROM ({body}) q"
+    return f"{head}SELECT {shown} FROM ({body}) q"

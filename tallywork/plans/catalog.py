@@ -28,7 +28,9 @@ _OPEN: dict[tuple[str, str], Workspace] = {}
 
 
 def open_workspace(spark: SparkSession, sf_dir: str, **options) -> Workspace:
-    return Workspace(spark, staging(spark, sf_dir), PARAMS, VARIANTS, centroids=CENTROIDS, **options)
+    w = Workspace(spark, staging(spark, sf_dir), PARAMS, VARIANTS, centroids=CENTROIDS, **options)
+    w.folder = sf_dir
+    return w
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
@@ -434,11 +436,7 @@ def k13z(w):
 @query("k14_name_guard")
 def k14(w):
     profiles = segments.profile(w.store, "cluster_key", w.view, "cluster_key")
-    rules = {s["cluster_key"]: s["expect"] for s in w.segment_config["segments"]}
-    holds = F
-    for key, rule in rules.items():
-        holds = holds.when(c("cluster_key") == key, F.expr(rule))
-    return profiles.select("cluster_key", F.coalesce(holds, F.lit(False)).alias("fits_name"))
+    return segments.name_fits(profiles, {s["cluster_key"]: s["expect"] for s in w.segment_config["segments"]})
 
 
 @query("k16_pca")
@@ -634,6 +632,24 @@ def o09(w):
     return profiling.compare(expected, profiling.observed(w.classified, profiling.columns(w.classified)))
 
 
+def _event_days(w) -> DataFrame:
+    return w.spark.read.parquet(f"{w.folder}/events.parquet").select(F.to_date("ts").alias("date"), "value")
+
+
+@query("o05_event_coverage")
+def o05c(w):
+    """Gap-filled days of the event table, whose days are dense."""
+    days = _event_days(w)
+    ends = days.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    return profiling.daily_counts(days, ends.select(F.explode(F.sequence("lo", "hi")).alias("date")))
+
+
+@query("f10_event_moving_mean")
+def f10b(w):
+    daily = _event_days(w).groupBy("date").agg(n_rows().alias("events"), F.sum(c("value").cast("decimal(28,6)")).cast("double").alias("total"))
+    return stats.moving_mean(daily, ["events", "total"])
+
+
 # ---- statistics
 @query("p01_amount_summary")
 def p01(w):

@@ -100,13 +100,15 @@ def write_dashboard(w: Workspace, path: str) -> None:
     dashboard(w).write.mode("overwrite").text(path)
 
 
+def masked(df: DataFrame) -> DataFrame:
+    """Customer ids are not handed out."""
+    if "customer_id" not in df.columns:
+        return df
+    return df.withColumn("customer_id", S.mask_id(F.col("customer_id")))
+
+
 def answers(w: Workspace) -> dict[str, DataFrame]:
-    """Every question with customer ids masked."""
-    out = {}
-    for qid, (_, fn) in QUESTIONS.items():
-        df = fn(w)
-        out[qid] = df.withColumn("customer_id", S.mask_id(F.col("customer_id"))) if "customer_id" in df.columns else df
-    return out
+    return {qid: masked(fn(w)) for qid, (_, fn) in QUESTIONS.items()}
 
 
 def write_answers(w: Workspace, folder: str) -> DataFrame:
@@ -114,10 +116,7 @@ def write_answers(w: Workspace, folder: str) -> DataFrame:
     index = []
     for qid, (title, fn) in QUESTIONS.items():
         start = time.perf_counter()
-        df = fn(w)
-        if "customer_id" in df.columns:
-            df = df.withColumn("customer_id", S.mask_id(F.col("customer_id")))
-        rows = write_table(df, f"{folder}/{qid}", "csv")
+        rows = write_table(masked(fn(w)), f"{folder}/{qid}", "csv")
         index.append((qid, title, rows, time.perf_counter() - start))
     made = w.spark.createDataFrame(index, "question string, title string, rows bigint, seconds double")
     write_table(made, f"{folder}/index", "csv")

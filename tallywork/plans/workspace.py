@@ -157,7 +157,8 @@ class Workspace:
         if lost:
             raise ValueError(f"no segment definition for clusters {sorted(lost)}")
         by_key = segments.profile(self.store, "cluster_key", self.view, "cluster_key")
-        broken = segments.broken_names(by_key, self.segment_definition)
+        rules = {s["cluster_key"]: s["expect"] for s in self.segment_config["segments"] if s.get("expect")}
+        broken = [r.cluster_key for r in segments.name_fits(by_key, rules).where("not fits_name").collect()]
         if broken:
             raise ValueError(f"segment profiles no longer fit their names: {broken}")
 
