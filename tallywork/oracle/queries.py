@@ -239,7 +239,7 @@ Q["f11_global_ranks"] = ("customer_id row_number:i ntile_10:i value_rank:i value
    rank() OVER (ORDER BY recency_days) + (count(*) OVER (PARTITION BY recency_days) - 1) / 2 AS recency_mid_rank,
    cume_dist() OVER (ORDER BY recency_days DESC) AS recency_cume_desc FROM c360""")
 Q["f12_city_quantiles"] = ("clean_city p10:d p50:d p90:d", "SELECT clean_city, " + ", ".join(
-    f"quantile_cont(CAST(amount AS DOUBLE), {p}) AS p{round(100 * p)}" for p in (0.1, 0.5, 0.9)) + " FROM fact GROUP BY 1")
+    f"{fix(f'quantile_cont(CAST(amount AS DOUBLE), {p})', 4)} AS p{round(100 * p)}" for p in (0.1, 0.5, 0.9)) + " FROM fact GROUP BY 1")
 Q["g06_priority_page"] = ("priority_rank:i masked_id tier score:d", f"""
  SELECT priority_rank, masked_id, tier, {fix('overall_score', 1)} AS score FROM opp WHERE priority_rank BETWEEN 26 AND 50""")
 Q["g07_lookup_rows"] = ("customer_ref:i masked_id city segment age_group gender txn_count:i total_value:d latest_balance:d recency_days:i tier "
@@ -426,7 +426,8 @@ Q["o01_column_profile"] = ("column_name nulls:i null_pct:d distinct_values:i exa
  SELECT '{c}' AS column_name, count(*) - count(v) AS nulls, {pct('count(*) - count(v)', 'count(*)', 3)} AS null_pct, count(DISTINCT v) AS distinct_values,
    min(v) AS example FROM (SELECT {raw(c)} AS v FROM stg)""" for c in RAW_COLUMNS))
 Q["o02_money_quantiles"] = ("quantile:d amount:d balance:d", " UNION ALL ".join(f"""
- SELECT {q} AS quantile, quantile_cont(CAST(amount AS DOUBLE), {q}) AS amount, quantile_cont(CAST(balance_parsed AS DOUBLE), {q}) AS balance FROM typed"""
+ SELECT {q} AS quantile, {fix(f'quantile_cont(CAST(amount AS DOUBLE), {q})', 4)} AS amount,
+   {fix(f'quantile_cont(CAST(balance_parsed AS DOUBLE), {q})', 4)} AS balance FROM typed"""
     for q in (0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)))
 Q["o03_money_counters"] = ("amount_zero:i amount_negative:i balance_zero:i balance_below_one:i balance_negative:i balance_zero_pct:d", f"""
  SELECT count_if(amount = 0) AS amount_zero, count_if(amount < 0) AS amount_negative, count_if(balance_parsed = 0) AS balance_zero,

@@ -327,7 +327,8 @@ def f11(w):
 @query("f12_city_quantiles")
 def f12(w):
     spread = R.distribution(w.store, "city_tickets", w.fact, ["amount"], by=["clean_city"])
-    return R.quantiles(spread, {"p10": ("amount", 0.1), "p50": ("amount", 0.5), "p90": ("amount", 0.9)}, ["clean_city"])
+    cuts = R.quantiles(spread, {"p10": ("amount", 0.1), "p50": ("amount", 0.5), "p90": ("amount", 0.9)}, ["clean_city"])
+    return cuts.select("clean_city", *[S.fixed(c(p), 4).alias(p) for p in ("p10", "p50", "p90")])
 
 
 @query("g06_priority_page")
@@ -582,7 +583,8 @@ def o01(w):
 
 @query("o02_money_quantiles")
 def o02(w):
-    return profiling.money_quantiles(w.store, w.classified)
+    cuts = profiling.money_quantiles(w.store, w.classified)
+    return cuts.select("quantile", *[S.fixed(c(m), 4).alias(m) for m in ("amount", "balance")])
 
 
 @query("o03_money_counters")
