@@ -151,6 +151,17 @@ Q["a08_sheet_extracts"] = ("extract rows:i", f"""
  UNION ALL SELECT 'top100_value', least(count(*), 100) FROM view
  UNION ALL SELECT 'city_top25', least(count(DISTINCT clean_city), 25) FROM view WHERE clean_city <> 'UNKNOWN'
  UNION ALL SELECT 'kpi_sql', count(*) FROM kpi UNION ALL SELECT 'segment_definition', count(*) FROM defs UNION ALL SELECT 'params', 1""")
+_BUCKET = _CITY("Other cities", "Unknown")
+Q["a09_dashboard_document"] = ("section rows:i", " UNION ALL ".join(
+    [f"SELECT '{k}' AS section, count(*) AS rows FROM {t}" for k, t in (("kpi_reconciliation", "kpi"), ("segment_definition", "defs"), ("waterfall", "waterfall"))]
+    + [f"SELECT '{k}', {n}" for k, n in (("meta", 1), ("dq", 24), ("sensitivity", 8))]
+    + [f"SELECT '{k}', count(DISTINCT segment_id) * {n} FROM seg" for k, n in (("segment_summary", 1), ("segment_profile", 1), ("theme_segment", 6))]
+    + [f"SELECT 'dims', {len(L.AGE_ORDER) + len(L.GENDER_ORDER) + len(L.TIER_ORDER) + len(L.EVIDENCE_ORDER)} + (SELECT count(*) FROM defs) + count(*) + 2 FROM topc",
+       f"SELECT 'cube', count(*) FROM (SELECT DISTINCT segment_name, age_group, gender, {_BUCKET}, tier, evidence_level FROM view)",
+       f"SELECT 'trend', count(DISTINCT {_BUCKET}) FROM dimc", f"SELECT 'priority', least(count(*), {P.priority_rows}) FROM view",
+       "SELECT 'score_hist', count(*) FROM (SELECT DISTINCT tier, least(floor(overall_score / 100 * 40), 40) FROM opp)",
+       "SELECT 'cities', least(count(DISTINCT clean_city), 50) FROM view WHERE clean_city <> 'UNKNOWN'",
+       "SELECT 'hour_weekday', count(*) FROM (SELECT DISTINCT day_of_week, txn_hour FROM fact)"]))
 Q["a10_answer_index"] = ("question rows:i", " UNION ALL ".join(
     f"SELECT 'Q{k[1:].split('_')[0]}' AS question, count(*) AS rows FROM ({body})" for k, (_, body) in Q.items() if k.startswith("q")))
 Q["a11_segment_model"] = ("population feature low:d high:d mean:d scale:d", " UNION ALL ".join(f"""
