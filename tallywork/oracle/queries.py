@@ -7,7 +7,7 @@ from ..operators import opportunity as O
 from ..sources.fixture import PARAMS as P
 from ..sources.staging import RAW_COLUMNS
 from . import tables as T
-from .tables import BAL_BAND, D, FEATS, W, bands, best, div, fix, mean, pct
+from .tables import BAL_BAND, D, FEATS, best, div, fix, mean, pct
 
 Q: dict[str, tuple[str, str]] = {}
 DAY = "CAST({0} AS VARCHAR) AS {0}"
