@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, secrets, sharding, url_filter
+from . import (decontaminate, line_dedup, mixing, ngram_model, quality, secrets, sharding, simhash, substrings,
+               url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 40
@@ -42,6 +43,12 @@ def op2_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         (hit > 0).alias("contaminated"), F.size("near_items").cast("bigint").alias("n_near_items"))
 
 
+@query
+def op3_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
+
+
 @query
 def op4_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(table(spark, sf_dir, "documents"))
@@ -59,11 +66,28 @@ def op5_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", sha256(F.col("text")).alias("kept_sha256"))
+
+
 @query
 def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_bloom_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.scored(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_digest_array_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))

@@ -142,3 +142,30 @@ SELECT part.page_id, part.host, part.path, rule,
 FROM part LEFT JOIN (SELECT * FROM fits WHERE no = 1) f
   ON part.page_id IS NOT DISTINCT FROM f.page_id AND part.host = f.host AND part.path = f.path
 """
+
+STATEMENTS["op3_perfect_hash_line_dedup"] = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+line AS (SELECT r, doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM doc),
+keyed AS (SELECT *, translate(regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line),
+often AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT r) >= 3),
+judged AS (SELECT keyed.*, often.k IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM keyed LEFT JOIN often USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r
+"""
+
+STATEMENTS["op7_super_kmer_dedup"] = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+             FROM documents),
+win AS (SELECT r, doc_id, s, array_to_string(w[s : s + 19], ' ') AS phrase
+        FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM doc WHERE len(w) >= 20)),
+head AS (SELECT phrase, min(struct_pack(d := doc_id, s := s)) AS f FROM win GROUP BY phrase HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(s, s + 20)) AS p FROM win JOIN head USING (phrase)
+                                    WHERE struct_pack(d := doc_id, s := s) > f)),
+word AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM doc),
+left_over AS (SELECT r, string_agg(word, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS t, count(gone.p) AS n
+              FROM word LEFT JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN left_over USING (r)
+"""
