@@ -99,8 +99,8 @@ def plan_of(store: Store, sized: DataFrame, **options) -> DataFrame:
     return thresholds(store, sized, source_targets(store, sized, **options))
 
 
-def times(h: Column) -> Column:
-    return (F.col("whole") + (h < F.col("below")).cast("bigint")).cast("int")
+def times(h: Column, plan: DataFrame) -> Column:
+    return (plan["whole"] + (h < plan["below"]).cast("bigint")).cast("int")
 
 
 def taken(docs: DataFrame, store: Store | None = None, **options) -> DataFrame:
@@ -109,14 +109,16 @@ def taken(docs: DataFrame, store: Store | None = None, **options) -> DataFrame:
     sized = sized_rows(store, docs)
     plan = plan_of(store, sized, **options).withColumnRenamed("source", "_source")
     return sized.join(plan, _same("source"), "left").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("h"))).alias("taken"))
+        "doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("h"), plan)).alias("taken"))
 
 
 def mixed(docs: DataFrame, store: Store | None = None, **options) -> DataFrame:
-    """The mixed corpus: each document as many times as the mix takes it, with its own columns."""
+    """The mixed corpus: each document as many times as the mix takes it, with its own columns. A document without
+    words goes with the others of its source."""
     store = store or Store(docs.sparkSession)
-    plan = plan_of(store, sized_rows(store, docs), **options).select(F.col("source").alias("_source"), "whole", "below")
-    # A document without words counts as taken with the others of its source.
-    copies = docs.join(plan, _same("source"), "left").withColumn(
-        "_copy", F.explode(F.array_repeat(F.lit(0), times(id_hash(F.col("doc_id"))))))
-    return copies.select(*[docs[c] for c in docs.columns])
+    plan = plan_of(store, sized_rows(store, docs), **options)
+    joined = docs.join(plan.select("source", "whole", "below"), docs["source"].eqNullSafe(plan["source"]), "left")
+    copies = F.array_repeat(F.lit(0), times(id_hash(docs["doc_id"]), plan))
+    own = [docs[f"`{c}`"].alias(f"c{at}") for at, c in enumerate(docs.columns)]
+    return joined.select(*own, F.explode(copies).alias("copy")).select(
+        *[F.col(f"c{at}").alias(c) for at, c in enumerate(docs.columns)])

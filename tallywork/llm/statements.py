@@ -160,9 +160,9 @@ WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coales
              FROM documents),
 win AS (SELECT r, doc_id, s, array_to_string(w[s : s + 19], ' ') AS phrase
         FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM doc WHERE len(w) >= 20)),
-head AS (SELECT phrase, min(struct_pack(d := doc_id, s := s)) AS f FROM win GROUP BY phrase HAVING count(*) > 1),
+head AS (SELECT phrase, min(struct_pack(d := coalesce(doc_id, -9223372036854775808), s := s)) AS f FROM win GROUP BY phrase HAVING count(*) > 1),
 gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(s, s + 20)) AS p FROM win JOIN head USING (phrase)
-                                    WHERE struct_pack(d := doc_id, s := s) > f)),
+                                    WHERE struct_pack(d := coalesce(doc_id, -9223372036854775808), s := s) > f)),
 word AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM doc),
 left_over AS (SELECT r, string_agg(word, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS t, count(gone.p) AS n
               FROM word LEFT JOIN gone USING (r, p) GROUP BY r)
