@@ -8,7 +8,7 @@ DMY = r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})\z"
 HHMMSS = r"^\d{1,6}\z"
 NUMBER = r"^-?\d+(\.\d+)?([eE][-+]?\d+)?\z"
 CUSTOMER_ID = r"^C[0-9]+\z"
-MONEY = "decimal(18,2)"
+MONEY, RAW_MONEY = "decimal(18,2)", "decimal(38,18)"
 
 
 def turned_dmy(text: Column) -> Column:
@@ -38,8 +38,14 @@ def parse_hhmmss(text: Column) -> Column:
 
 
 def to_money(text: Column) -> Column:
+    """Money as written, with up to 18 places, so 0.004 is not zero. What does not fit ``MONEY`` is NULL."""
     clean = F.trim(text)
-    return F.when(clean.rlike(NUMBER), clean.try_cast(MONEY))
+    raw = clean.try_cast(RAW_MONEY)
+    return F.when(clean.rlike(NUMBER) & raw.try_cast(MONEY).isNotNull(), raw)
+
+
+def rounded_money(value: Column) -> Column:
+    return value.try_cast(MONEY)
 
 
 def norm_location(text: Column) -> Column:

@@ -70,8 +70,14 @@ def date_key(day: Column) -> Column:
     return F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
 
 
+def latest_first(day: Column, seconds: Column, seq: Column, key: Column) -> Column:
+    """What orders rows in time: date, time, id number, id text. No missing part is NULL, so any two rows compare."""
+    return F.struct(day.alias("day"), F.coalesce(seconds, F.lit(0)).alias("sec"), F.coalesce(seq, F.lit(-1)).alias("seq"),
+                    key.alias("id"))
+
+
 def order_key(day: Column, seconds: Column, seq: Column) -> Column:
-    """One long that sorts rows by date, time and id number."""
+    """One long of date, time and id number, as an output. It orders rows only while ids are below 10^7."""
     moment = F.unix_date(day).cast("bigint") * 86400 + F.coalesce(seconds, F.lit(0))
     return moment * 10_000_000 + seq
 

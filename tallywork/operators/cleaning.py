@@ -34,12 +34,12 @@ def typed(staging: DataFrame, p: Params) -> DataFrame:
 def mark_repeats(store: Store, rows: DataFrame, staging: DataFrame) -> DataFrame:
     """Adds ``is_repeat``: a row whose id occurred on an earlier row. Ids are counted on the two columns that needs,
     and only repeated ones are joined back."""
-    named = staging.select("src_row", F.trim("transaction_id").alias("txn_id")).where(F.col("txn_id") != "")
-    repeated = repeated_keys(store, "repeated_ids", named, {"txn_id": F.col("txn_id")},
-                             {"first_row": F.min("src_row")})
-    marked = lookup_join(rows, repeated, ["txn_id"], "n", F.xxhash64("src_row"))
+    key = F.nullif(F.col("txn_id"), F.lit(""))  # a blank id is no key: its rows never meet in one task
+    named = staging.select("src_row", F.trim("transaction_id").alias("txn_id")).withColumn("_id", key).where("_id is not null")
+    repeated = repeated_keys(store, "repeated_ids", named, {"_id": F.col("_id")}, {"first_row": F.min("src_row")})
+    marked = lookup_join(rows.withColumn("_id", key), repeated, ["_id"], "n", F.xxhash64("src_row"))
     return marked.withColumn("is_repeat", F.coalesce(F.col("src_row") > F.col("first_row"), F.lit(False))) \
-        .drop("first_row")
+        .drop("first_row", "_id")
 
 
 def rules(p: Params) -> list[tuple[str, Column]]:
@@ -78,17 +78,18 @@ def rejected(classified: DataFrame) -> DataFrame:
 
 
 def clean(classified: DataFrame, variants: DataFrame, p: Params) -> DataFrame:
-    """Kept rows with row-level fixes and quality flags. The variant list is configuration, so it is broadcast."""
+    """Kept rows with row-level fixes and quality flags. Spark sizes the variant list by its bytes. The rules have seen
+    money as written; from here on it has two places."""
     c = F.col
     gender = F.upper(F.trim(c("cust_gender")))
     raw_dob = F.lower(F.trim(c("customer_dob")))
     early, late = c("dob_parsed") < F.lit(p.min_dob), c("dob_parsed") > c("txn_date")
     kept = classified.where(c("reject_reason").isNull()).join(
-        F.broadcast(variants.withColumnRenamed("variant", "location_norm")), "location_norm", "left")
+        variants.withColumnRenamed("variant", "location_norm"), "location_norm", "left")
     return kept.select(
         "src_row", c("txn_id").alias("transaction_id"), P.id_number(c("txn_id")).alias("txn_seq"),
-        c("cust_id").alias("customer_id"), "txn_date", "txn_sec", "amount",
-        F.when(c("balance_parsed") >= 0, c("balance_parsed")).alias("balance"),
+        c("cust_id").alias("customer_id"), "txn_date", "txn_sec", P.rounded_money(c("amount")).alias("amount"),
+        F.when(c("balance_parsed") >= 0, P.rounded_money(c("balance_parsed"))).alias("balance"),
         F.when(~early & ~late, c("dob_parsed")).alias("dob"),
         F.when(gender.isin("M", "F"), gender).otherwise("Unknown").alias("gender"),
         F.coalesce(c("clean_city"), c("location_norm"), F.lit("UNKNOWN")).alias("clean_city"),

@@ -4,17 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import segments as G
 
-SAMPLE_ROWS = 10_000
-MAX_SAMPLE_ROWS = 50_000
-
 
 def scatter(labelled: DataFrame, features) -> DataFrame:
     """Within-group squares (inertia about the group means), between-group squares, Calinski-Harabasz and the smallest
@@ -50,60 +44,41 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
                       .alias("adjusted_rand"))
 
 
-def silhouette(labelled: DataFrame, features, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Mean Euclidean silhouette of a fixed-size sample (lowest id digests). The sample is at most MAX_SAMPLE_ROWS small
-    rows, so it is shipped to tasks whole; each task measures its share of the sample against it and emits one number
-    per point, never the pairs."""
-    rows = min(rows, MAX_SAMPLE_ROWS)
-    names = list(features)
-    sample = labelled.select("customer_id", "label", *names).orderBy(F.md5("customer_id"), "customer_id").limit(rows)
-    local = sample.toPandas()
-    points, labels = local[names].to_numpy(float), local["label"].to_numpy()
-    groups = np.unique(labels)
-    members = {g: points[labels == g] for g in groups}
-
-    def measure(batches):
-        for batch in batches:
-            mine, at = batch[names].to_numpy(float), batch["label"].to_numpy()
-            mean = np.full((len(mine), len(groups)), np.inf)
-            for j, g in enumerate(groups):
-                total = np.zeros(len(mine))
-                for lo in range(0, len(members[g]), 128):
-                    block = members[g][lo:lo + 128]
-                    total += np.sqrt(((mine[:, None, :] - block[None, :, :]) ** 2).sum(axis=2)).sum(axis=1)
-                size = len(members[g]) - (at == g)
-                mean[:, j] = np.divide(total, size, out=np.full(len(mine), np.nan), where=size > 0)
-            own = np.searchsorted(groups, at)
-            a = mean[np.arange(len(mine)), own]
-            mean[np.arange(len(mine)), own] = np.inf
-            b = mean.min(axis=1)
-            s = np.where(np.isnan(a), 0.0, (b - a) / np.maximum(np.maximum(a, b), 1e-300))
-            yield pd.DataFrame({"customer_id": batch["customer_id"], "silhouette": s})
-
-    spread = sample.repartition(F.col("customer_id"))
-    return spread.mapInPandas(measure, "customer_id string, silhouette double")
-
-
-def squared_silhouette(points: DataFrame) -> float:
-    """Squared-Euclidean silhouette of every row, from sums; a different measure from ``silhouette``."""
-    return ClusteringEvaluator(featuresCol="point", predictionCol="label", metricName="silhouette").evaluate(points)
-
-
-def k_grid(scaled: DataFrame, features, ks, seed: int, seeds=(1, 2, 3, 4, 5), starts: int = 1,
-           sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """One row per k: cost, separation, agreement across seeds and the smallest share. Fits and their summary numbers
-    run from the driver; points and labels stay on the executors."""
+def silhouette(labelled: DataFrame, features) -> DataFrame:
+    """The squared-Euclidean silhouette of every row. The mean squared distance of a point to the rows of a group follows
+    from the group's size, sums and sum of squares, so one aggregate and one projection give the exact measure; it
+    differs from the silhouette over plain distances, which needs all pairs. A group of one row has 0. The k groups are
+    a few numbers, which the plan holds as literals."""
+    exact = lambda x: x.cast("decimal(38,12)")
+    square = reduce(lambda a, b: a + b, (F.col(f) * F.col(f) for f in features))
+    groups = labelled.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(exact(square)).cast("double").alias("q"),
+        *[F.sum(exact(F.col(f))).cast("double").alias(f) for f in features]).orderBy("label").collect()
+    own, others = F, []
+    for g in groups:
+        dot = reduce(lambda a, b: a + b, (F.col(f) * F.lit(g[f] / g.n) for f in features))
+        apart = square - 2 * dot + F.lit(g.q / g.n)
+        mine = F.col("label") == g.label
+        own = own.when(mine, apart * F.lit(g.n / (g.n - 1)) if g.n > 1 else F.lit(None).cast("double"))
+        others.append(F.when(~mine, apart))
+    other = F.array_min(F.array_compact(F.array(*others)))
+    return labelled.select("customer_id", F.when(own.isNull() | other.isNull(), 0.0).otherwise(
+        (other - own) / F.nullif(F.greatest(own, other), F.lit(0.0))).alias("silhouette")).fillna(0.0, ["silhouette"])
+
+
+def k_grid(scaled: DataFrame, features, ks, seed: int, seeds, starts: int) -> list[dict]:
+    """One row per k: cost, separation, agreement across seeds and the smallest share. The fits of a k are submitted
+    together; they and their summary numbers run from the driver, points and labels stay on the executors."""
     points = G.assembled(scaled, features).persist()
     out = []
     try:
         for k in ks:
-            label = lambda s: G.fit_kmeans(points, k, s, starts)
-            base = label(seed)
+            base, *others = G.fit_all(points, k, [seed, *seeds], starts)
             shown = base.transform(points)
             row = scatter(shown, features).first().asDict()
-            score = silhouette(shown, features, sample_rows).agg(F.avg("silhouette")).first()[0]
-            rand = [adjusted_rand(label(s).transform(shown.withColumnRenamed("label", "a")), "a", "label").first()[0]
-                    for s in seeds]
+            score = silhouette(shown, features).agg(F.avg("silhouette")).first()[0]
+            first = shown.withColumnRenamed("label", "a")
+            rand = [adjusted_rand(m.transform(first), "a", "label").first()[0] for m in others]
             out.append({"k": k, "inertia": float(base.summary.trainingCost), "silhouette": score,
                         "calinski_harabasz": row["calinski_harabasz"], "ari_min": min(rand),
                         "ari_mean": sum(rand) / len(rand), "min_cluster_share": row["min_cluster_share"]})

@@ -20,13 +20,14 @@ def base(fact: DataFrame, p: Params) -> DataFrame:
     the order of rows."""
     c = F.col
     balance, hour = c("balance"), c("txn_hour")
+    known_at = F.when(balance.isNotNull(), S.latest_first(c("txn_date"), c("txn_sec"), c("txn_seq"), c("transaction_id")))
     late = (hour >= 17) | (hour < 6)
     per_day = fact.groupBy("customer_id", "txn_date").agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value"), F.max("amount").alias("top"),
         F.min("amount").alias("low"), F.sum(balance).alias("bal_sum"), F.count(balance).alias("bal_n"),
         F.sum(balance * balance).alias("bal_sq"), F.max(balance).alias("bal_max"), F.min(balance).alias("bal_min"),
-        F.max(F.when(balance.isNotNull(), c("order_key"))).alias("bal_at"),
-        F.max_by(balance, F.when(balance.isNotNull(), c("order_key"))).alias("bal_last"),
+        F.max(known_at).alias("bal_at"),
+        F.max_by(balance, known_at).alias("bal_last"),
         F.count_if(late).alias("late_n"), F.count(hour).alias("hour_n"),
         F.count_if(c("is_high_value_txn")).alias("high_n"))
     early = c("txn_date") < F.lit(p.trend_split)

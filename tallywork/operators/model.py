@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -69,13 +69,17 @@ def fact(clean: DataFrame, locations: Saved, amounts: Saved) -> DataFrame:
 ATTRIBUTES = {"dob": None, "gender": "Unknown", "clean_city": "UNKNOWN"}
 
 
+def _when() -> Column:
+    return S.latest_first(*(F.col(x) for x in ("txn_date", "txn_sec", "txn_seq", "transaction_id")))
+
+
 def most_frequent(rows: DataFrame, attribute: str, missing: str | None) -> DataFrame:
     """(customer, value, n_values): the most frequent value per customer, ties to the latest row. Both levels combine
     map-side, so a customer with very many rows costs one partial row per distinct value and task."""
     value = F.col(attribute)
     kept = rows.where(value.isNotNull() if missing is None else value != missing)
     per_value = kept.groupBy("customer_id", attribute).agg(
-        F.count(F.lit(1)).alias("n"), F.max("order_key").alias("latest"))
+        F.count(F.lit(1)).alias("n"), F.max(_when()).alias("latest"))
     return per_value.groupBy("customer_id").agg(
         F.max_by(attribute, F.struct("n", "latest")).alias(attribute), F.count(F.lit(1)).alias(f"{attribute}_values"))
 
@@ -84,12 +88,12 @@ def resolved_attributes(rows: DataFrame) -> DataFrame:
     """All attributes in one pass: rows are counted per (customer, attribute, value), then the best value of each
     attribute is taken per customer. Equivalent to joining ``most_frequent`` of each attribute."""
     values = [F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in ATTRIBUTES]
-    tall = rows.select("customer_id", "order_key", F.inline(F.array(*values)))
+    tall = rows.select("customer_id", _when().alias("at"), F.inline(F.array(*values)))
     unknown = [F.lit(m) for m in ATTRIBUTES.values() if m is not None]
     # Customers without any value keep a row: unknown values are counted as NULL and never picked.
     value = F.when(~F.col("value").isin(*unknown), F.col("value"))
     per_value = tall.groupBy("customer_id", "attribute", value.alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("order_key").alias("latest"))
+        F.count(F.lit(1)).alias("n"), F.max("at").alias("latest"))
     picks = []
     for a in ATTRIBUTES:
         mine = (F.col("attribute") == a) & F.col("value").isNotNull()

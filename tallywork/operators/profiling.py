@@ -61,7 +61,7 @@ def date_validity(classified: DataFrame) -> DataFrame:
         F.count_if(placeholder).alias("dob_placeholder"),
         S.percent(F.count_if(placeholder), F.count(F.lit(1))).alias("dob_placeholder_pct"),
         F.min(clock).alias("time_min"), F.max(clock).alias("time_max"),
-        F.count_if(F.col("txn_sec").isNull()).alias("time_invalid"))
+        F.count_if((F.floor(clock / 10000) >= 24) | (F.floor(clock / 100) % 100 >= 60) | (clock % 100 >= 60)).alias("time_invalid"))
 
 
 def daily_counts(days: DataFrame, spine: DataFrame) -> DataFrame:

@@ -57,12 +57,13 @@ def _side_by_side(singles: list[DataFrame]) -> DataFrame:
 
 
 def spot_check(fact: DataFrame, classified: DataFrame, rows: int = SPOT_ROWS) -> DataFrame:
-    """The transactions with the lowest id digests beside their raw text; the sample is a fixed few rows, broadcast."""
+    """The transactions with the lowest id digests beside their raw text; the sample is a fixed few rows, broadcast. The
+    raw amount is cast on its own, not by the parser that is being checked."""
     sample = fact.orderBy(F.md5("transaction_id"), "transaction_id").limit(rows).select(
         F.col("transaction_id").alias("txn_id"), "customer_id", F.col("amount").alias("kept_amount"),
         F.col("txn_date").alias("kept_date"))
     raw = classified.select("txn_id", "cust_id", F.trim("transaction_date").alias("day_text"),
-                            P.to_money(F.col("transaction_amount")).alias("raw_amount"))
+                            F.trim("transaction_amount").try_cast("double").cast("decimal(18,2)").alias("raw_amount"))
     shown = F.date_format("kept_date", "d/M/yy")
     same = ((F.col("kept_amount") == F.col("raw_amount")) & (F.col("customer_id") == F.col("cust_id"))
             & (shown == F.col("day_text")))

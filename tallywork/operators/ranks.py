@@ -1,7 +1,6 @@
 """Global ranks and exact quantiles without a single-partition window.
 
-Values are first counted, so ties collapse before any shuffle by value. When many distinct values are left they are
-range-sorted, written with their place (partition number and row within it), and turned into positions by adding one
+Values are first counted, so ties collapse before any shuffle by value. The distinct values are range-sorted, written with their place (partition number and row within it), and turned into positions by adding one
 prefix sum over the partitions. Every rank function and every exact quantile follows from the first and last position of a value.
 """
 
@@ -35,10 +34,7 @@ def _with_offsets(placed: DataFrame, weight: Column) -> DataFrame:
 
 
 def row_numbers(store: Store, name: str, table: Saved, order: list[Column], column: str) -> DataFrame:
-    """Global row_number for an order that is unique per row (include an id). A small table is numbered by one window,
-    a large one by a distributed sort."""
-    if table.small:
-        return table.df.withColumn(column, F.row_number().over(Window.orderBy(*order)))
+    """Global row_number for an order that is unique per row (include an id), by a distributed sort."""
     numbered = _with_offsets(_placed(store, name, table.df, order), F.lit(1))
     return numbered.withColumn(column, F.col("_before") + F.col("_place") + 1).drop("_before", "_part", "_place", "_at")
 
@@ -59,22 +55,12 @@ def distribution(store: Store, name: str, df: DataFrame, measures: list[str], by
                      F.inline(pair_columns(measures))).where(F.col("value").isNotNull())
     tallied = store.save(f"{name}_counts", tall.groupBy(*keys, "value").agg(
         F.sum("_copies").alias("n"), *[F.count_if(F.col(k)).alias(k) for k in counts]))
-    ranked_values = _small_positions if tallied.small else _large_positions
-    final = ranked_values(store, name, tallied, keys, list(counts))
+    final = _positions(store, name, tallied, keys, list(counts))
     return store.save(name, final) if keep else tallied.of(final)
 
 
-def _small_positions(store: Store, name: str, tallied: Saved, keys: list[str], counts: list[str]) -> DataFrame:
-    """Few distinct values: one window per group."""
-    whole = Window.partitionBy(*keys)
-    running = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.sum("n").over(running)
-    return tallied.df.select(*keys, "value", "n", *counts, (last - F.col("n") + 1).alias("first"), last.alias("last"),
-                             F.sum("n").over(whole).alias("total"))
-
-
-def _large_positions(store: Store, name: str, tallied: Saved, keys: list[str], counts: list[str]) -> DataFrame:
-    """Many distinct values: a distributed sort, running sums inside each range and offsets between them."""
+def _positions(store: Store, name: str, tallied: Saved, keys: list[str], counts: list[str]) -> DataFrame:
+    """A distributed sort, running sums inside each range and offsets between them."""
     order = [F.col(k).asc_nulls_first() for k in (*keys, "value")]
     placed = _placed(store, f"{name}_sorted", tallied.df, order)
     running = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)

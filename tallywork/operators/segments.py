@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +17,8 @@ from ..params import Params
 from ..sources.store import Store
 from . import ranks as R
 
+FITS_AT_ONCE = 8
+
 
 @dataclass(frozen=True)
 class Prep:
@@ -76,13 +80,19 @@ def assembled(scaled: DataFrame, features) -> DataFrame:
 
 def fit_kmeans(points: DataFrame, k: int, seed: int, starts: int = 10):
     """K-Means of lowest cost over several seeds. The caller caches the points for the passes."""
-    best = None
-    for start in range(starts):
-        model = KMeans(k=k, seed=seed + start, featuresCol="point", predictionCol="label", maxIter=300,
-                       tol=1e-4).fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    return fit_all(points, k, [seed], starts)[0]
+
+
+def fit_all(points: DataFrame, k: int, seeds: list[int], starts: int) -> list:
+    """The best model of each seed. All fits are submitted together, so their small jobs share the cluster."""
+    def fit(seed: int):
+        return KMeans(k=k, seed=seed, featuresCol="point", predictionCol="label", maxIter=300, tol=1e-4).fit(points)
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        models = list(pool.map(inheritable_thread_target(points.sparkSession)(fit),
+                               [seed + start for seed in seeds for start in range(starts)]))
+    tries = [models[at:at + starts] for at in range(0, len(models), starts)]
+    return [min(own, key=lambda m: m.summary.trainingCost) for own in tries]
 
 
 def nearest(scaled: DataFrame, features, centroids: list[tuple[float, ...]]) -> DataFrame:

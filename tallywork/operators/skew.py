@@ -1,31 +1,36 @@
 """Joins to a table with one row per key that stay even when one key holds a large part of the rows.
 
-At most ``HOT_KEYS`` keys can each hold more than 1/HOT_KEYS of the weight, so the hot side is small enough to
-broadcast whatever the data size; the rest is joined through a shuffle with the hot rows spread over a salt.
+A key is hot when its rows would fill more than half of a mean shuffle partition. At most twice as many keys as shuffle
+partitions can be hot, so the hot side is small enough to broadcast whatever the data size; the rest is joined through
+a shuffle. Rows of hot keys, and rows whose key is NULL, are spread over a salt there.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import Saved, Store
 
-HOT_KEYS = 1_000
 SALTS = 1 << 20
 
 
 def lookup_join(left: DataFrame, right: Saved, on: list[str], weight: str, spread: Column) -> DataFrame:
     """Left join to ``right`` (unique on the keys). ``weight`` is its column with the number of left rows per key;
     ``spread`` is a left column with many values, which scatters the rows of hot keys."""
-    if right.small:
-        return left.join(F.broadcast(right.df.drop(weight)), on, "left")
     carried = [c for c in right.df.columns if c not in on and c != weight]
     total = right.df.agg(F.sum(weight)).scalar()
-    is_hot = F.col(weight) * HOT_KEYS > total
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col(weight) * (2 * partitions) > total
     hot = right.df.where(is_hot).select(*on, F.struct(*carried).alias("_hot"), F.lit(True).alias("_is_hot"))
-    cold = right.df.where(~is_hot).select(*on, F.struct(*carried).alias("_cold"), F.lit(0).alias("_salt"))
-    salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    cold = right.df.where(~is_hot).select(*on, F.struct(*carried).alias("_cold"),
+                                       F.pmod(F.hash(*on), F.lit(1)).alias("_salt"))
+    # The cold side's salt is 0, but not as a constant: Spark would drop a constant from the join keys, and the spread
+    # with it.
+    missing = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in on))
+    salt = F.when(F.col("_is_hot") | missing, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     joined = (left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt)
               .join(cold, [*on, "_salt"], "left"))
     picked = [F.when(F.col("_is_hot"), F.col(f"_hot.{c}")).otherwise(F.col(f"_cold.{c}")).alias(c) for c in carried]

@@ -51,6 +51,12 @@ def log_histogram(df: DataFrame, column: str, bins: int, top: Column) -> DataFra
     return df.where(value >= 1).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def hour_profile(fact: DataFrame) -> DataFrame:
+    """Mean rows per weekday and hour, over the days on which that weekday has rows in that hour."""
+    per_day = fact.groupBy("day_of_week", "txn_hour", "txn_date").agg(F.count(F.lit(1)).alias("n"))
+    return per_day.groupBy("day_of_week", "txn_hour").agg(S.ratio(F.sum("n"), F.count(F.lit(1))).alias("txns_per_day"))
+
+
 def score_histogram(df: DataFrame, column: str, by: str, bins: int, low: float = 0, high: float = 100) -> DataFrame:
     """Counts per group in bins of equal width."""
     place = F.width_bucket(F.col(column), F.lit(float(low)), F.lit(float(high)), F.lit(bins)).cast("int")
@@ -157,7 +163,7 @@ def chi_square_p(statistic: Column, dof: Column) -> Column:
 
 def normal_two_sided_p(z: Column) -> Column:
     def column(x: pd.Series) -> pd.Series:
-        return pd.Series([math.erfc(abs(v) / math.sqrt(2)) for v in x], dtype=float)
+        return pd.Series([min(1.0, math.erfc(v / math.sqrt(2))) for v in x], dtype=float)
 
     return F.pandas_udf(column, "double")(z)
 
@@ -187,7 +193,7 @@ def mann_whitney(store: Store, name: str, df: DataFrame, column: str, group: str
     z = (F.abs(u - n1 * n2 / 2) - 0.5) / spread
     return one.select(u.alias("u"), n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"),
                       S.fixed(1 - 2 * u / (n1 * n2), 6, 10).alias("rank_biserial"), S.fixed(z, 4, 10).alias("z"),
-                      normal_two_sided_p(z).alias("p_value"))
+                      S.fixed(normal_two_sided_p(z), 6, 10).alias("p_value"))
 
 
 def kruskal(store: Store, name: str, df: DataFrame, columns: list[str], group: str, groups) -> DataFrame:
@@ -207,7 +213,7 @@ def kruskal(store: Store, name: str, df: DataFrame, columns: list[str], group: s
     h = (12 / (n * (n + 1)) * F.col("parts") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
     return one.select("feature", n.cast("bigint").alias("n"), k.alias("groups"), S.fixed(h, 4).alias("h"),
                       S.fixed((h - k + 1) / (n - k), 6, 10).alias("epsilon_sq"),
-                      chi_square_p(h, (k - 1).cast("double")).alias("p_value"))
+                      S.fixed(chi_square_p(h, (k - 1).cast("double")), 6, 10).alias("p_value"))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -229,7 +235,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     small = F.least("rows", "cols") - 1
     return one.select(S.fixed(chi2, 4).alias("chi2"), dof.alias("dof"), c("n").cast("bigint").alias("n"),
                       S.fixed(F.sqrt(chi2 / (c("n") * small)), 6, 10).alias("cramers_v"),
-                      chi_square_p(chi2, dof.cast("double")).alias("p_value"))
+                      S.fixed(chi_square_p(chi2, dof.cast("double")), 6, 10).alias("p_value"))
 
 
 def moving_mean(daily: DataFrame, columns: list[str], half: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from ..operators import opportunity as O
 from ..sources.fixture import PARAMS as P
 from ..sources.staging import RAW_COLUMNS
 from . import tables as T
-from .tables import BAL_BAND, D, FEATS, best, div, fix, mean, pct
+from .tables import bands, BAL_BAND, D, FEATS, best, div, fix, mean, pct
 
 Q: dict[str, tuple[str, str]] = {}
 DAY = "CAST({0} AS VARCHAR) AS {0}"
@@ -300,11 +300,14 @@ Q["b33_k01_feature_vector"] = ("customer_id " + " ".join(f"{f}:d" for f in FEATS
 Q["k02_k03_scaled_features"] = (Q["b33_k01_feature_vector"][0], f"SELECT customer_id, {_F6} FROM scaled")
 Q["k05_k15_segment_table"] = ("customer_id cluster_key segment_id:i segment_name layer method", "SELECT * FROM seg")
 _DIST = "sqrt(" + " + ".join(f"(a.{f} - b.{f}) ** 2" for f in FEATS) + ")"
+_DOT = " + ".join(f"a.{f} * g.{f}_s / g.n" for f in FEATS)
+_SQ = lambda t: " + ".join(f"{t}{f} * {t}{f}" for f in FEATS)
 Q["k08_silhouette"] = ("customer_id silhouette:d", f"""
- SELECT customer_id, {fix('CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END', 5, 10)} AS silhouette FROM (
-   SELECT customer_id, max(m) FILTER (WHERE same) AS own, min(m) FILTER (WHERE NOT same) AS other FROM (
-     SELECT a.customer_id, a.label = b.label AS same, avg({_DIST}) AS m FROM labelled a JOIN labelled b ON a.customer_id <> b.customer_id
-     GROUP BY a.customer_id, a.label, b.label) GROUP BY 1)""")
+ SELECT customer_id, {fix('CASE WHEN own IS NULL OR other IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END', 5, 10)} AS silhouette FROM (
+   SELECT customer_id, max(CASE WHEN n > 1 THEN d * n / (n - 1) END) FILTER (WHERE same) AS own, min(d) FILTER (WHERE NOT same) AS other FROM (
+     SELECT a.customer_id, a.label = g.label AS same, g.n, {_SQ('a.')} - 2 * ({_DOT}) + g.q / g.n AS d FROM labelled a CROSS JOIN (
+       SELECT label, CAST(count(*) AS DOUBLE) AS n, sum({_SQ('')}) AS q, {', '.join(f'sum({f}) AS {f}_s' for f in FEATS)} FROM labelled GROUP BY label) g)
+   GROUP BY customer_id)""")
 _WITHIN = " + ".join(f"var_pop({f}) * count(*)" for f in FEATS)
 Q["k09_k11_cluster_scatter"] = ("k:i n:i inertia:d between:d calinski_harabasz:d min_cluster_share:d", f"""
  SELECT k, n, {fix('w', 4, 10)} AS inertia, {fix('t - w', 4, 10)} AS between, {fix('((t - w) / (k - 1)) / (w / (n - k))', 4, 10)} AS calinski_harabasz,
@@ -447,7 +450,8 @@ Q["o03_money_counters"] = ("amount_zero:i amount_negative:i balance_zero:i balan
 Q["o04_date_validity"] = ("date_unparsed:i date_min date_max dob_placeholder:i dob_placeholder_pct:d time_min:i time_max:i time_invalid:i", f"""
  SELECT count_if(txn_date IS NULL) AS date_unparsed, min(txn_date) AS date_min, max(txn_date) AS date_max,
    count_if(customer_dob = '1/1/1800') AS dob_placeholder, {pct("count_if(customer_dob = '1/1/1800')", 'count(*)')} AS dob_placeholder_pct,
-   min(CAST(transaction_time AS BIGINT)) AS time_min, max(CAST(transaction_time AS BIGINT)) AS time_max, count_if(txn_sec IS NULL) AS time_invalid FROM typed""")
+   min(CAST(transaction_time AS BIGINT)) AS time_min, max(CAST(transaction_time AS BIGINT)) AS time_max, count_if(CAST(transaction_time AS BIGINT) // 10000 >= 24
+     OR CAST(transaction_time AS BIGINT) // 100 % 100 >= 60 OR CAST(transaction_time AS BIGINT) % 100 >= 60) AS time_invalid FROM typed""")
 _DAILY = """SELECT CAST(d AS DATE) AS date, count(t.txn_date) AS rows FROM (SELECT unnest(generate_series((SELECT min(txn_date) FROM typed),
    (SELECT max(txn_date) FROM typed), INTERVAL 1 DAY)) AS d) LEFT JOIN (SELECT txn_date FROM typed) t ON t.txn_date = d GROUP BY 1"""
 Q["a12_o05_daily_coverage"] = ("date rows:i", _DAILY)
@@ -489,7 +493,7 @@ _POINTS = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 Q["p01_amount_summary"] = ("n:i mean:d min:d max:d std:d " + " ".join(f"p{round(q * 100)}:d" for q in _POINTS), _describe("fact", "amount", _POINTS))
 Q["p01_ticket_by_gender"] = ("gender n:i mean:d min:d max:d std:d p25:d p50:d p75:d", _describe("view", "avg_txn_value", (0.25, 0.5, 0.75), "gender"))
 Q["p02_amount_histogram"] = ("bin:i n:i", """
- SELECT least(floor(log10(amount::DOUBLE) / ((SELECT log10(max(amount)::DOUBLE) FROM fact) / 60)), 59) AS bin, count(*) AS n FROM fact WHERE amount >= 1 GROUP BY 1""")
+ SELECT least(floor(log10(amount::DOUBLE) / ((SELECT log10(max(amount)::DOUBLE) FROM fact) / 59)), 58) AS bin, count(*) AS n FROM fact WHERE amount >= 1 GROUP BY 1""")
 
 
 def _top(x: str, share: float, table: str = "c360") -> str:
@@ -517,11 +521,11 @@ _PER = lambda x, t: div(f"sum({x}) FILTER (WHERE {t})", f"count_if({t})")  # noq
 Q["p07_weekend_uplift"] = ("weekend_txns:d weekday_txns:d weekend_value:d weekday_value:d uplift_pct:d", f"""
  SELECT {fix(_PER('n', 'w'), 4)} AS weekend_txns, {fix(_PER('n', 'NOT w'), 4)} AS weekday_txns, {fix(_PER('v', 'w'), 2)} AS weekend_value,
    {fix(_PER('v', 'NOT w'), 2)} AS weekday_value, {fix(f"100 * ({_PER('n', 'w')} / {_PER('n', 'NOT w')} - 1)", 4, 10)} AS uplift_pct FROM {_DAYS}""")
-Q["p08_hour_profile"] = ("day_of_week txn_hour:i txns_per_day:d", f"""
- SELECT f.day_of_week, txn_hour, {fix(div('count(*)', 'max(d.n)'), 4)} AS txns_per_day FROM fact f
- JOIN (SELECT day_of_week, count(*) AS n FROM days GROUP BY 1) d USING (day_of_week) WHERE txn_hour IS NOT NULL GROUP BY 1, 2""")
-Q["p08_band_shares"] = ("time_band txns:i pct_txns:d", f"""
- SELECT time_band, count(*) AS txns, {pct('count(*)', 'sum(count(*)) OVER ()')} AS pct_txns FROM fact GROUP BY 1""")
+_HOURS = """SELECT dayname(txn_date) AS day_of_week, txn_hour, CAST(count(*) AS DOUBLE) / count(DISTINCT txn_date) AS per_day FROM fact GROUP BY 1, 2"""
+Q["p08_hour_profile"] = ("day_of_week txn_hour:i txns_per_day:d", f"SELECT day_of_week, txn_hour, {fix('per_day', 4)} AS txns_per_day FROM ({_HOURS})")
+Q["p08_band_shares"] = ("time_band pct_txns:d", f"""
+ SELECT {bands('txn_hour', L.HOUR_BANDS)} AS time_band, {pct('sum(per_day)', 'sum(sum(per_day)) OVER ()', 1)} AS pct_txns
+ FROM ({_HOURS}) WHERE txn_hour IS NOT NULL GROUP BY 1""")
 
 
 def _pair(a: str, b: str) -> str:
@@ -539,17 +543,26 @@ def _pairs() -> str:
 
 Q["p09_spearman_matrix"] = ("feature_a feature_b n:i rho:d", _pairs())
 Q["p12_spearman_pair"] = ("feature_a feature_b n:i rho:d", _pair("avg_balance", "total_txn_value"))
-Q["p10_mann_whitney"] = ("u:d n1:i n2:i rank_biserial:d z:d", f"""
- SELECT u, n1, n2, {fix('1 - 2 * u / (n1 * n2)', 6, 10)} AS rank_biserial,
+def _chi_p(x: str, dof: str) -> str:
+    """Upper tail of chi-square: one less the series of the lower incomplete gamma function."""
+    a, h = f"({dof} / CAST(2 AS DOUBLE))", f"({x} / CAST(2 AS DOUBLE))"
+    series = (f"(SELECT sum(exp({a} * ln({h}) - {h} + n * ln({h}) - lgamma({a} + n + 1))) FROM (SELECT unnest(range(0, 2000)) AS n))")
+    return fix(f"CASE WHEN {x} <= 0 THEN 1 WHEN {x} > 1400 THEN 0 ELSE greatest(0, 1 - {series}) END", 6, 10)
+
+
+Q["p10_mann_whitney"] = ("u:d n1:i n2:i rank_biserial:d z:d p_value:d", f"""
+ SELECT *, {_chi_p('(CASE WHEN zz < 0 THEN 0 ELSE zz * zz END)', '1')} AS p_value FROM (
+ SELECT (abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) AS zz, u, n1, n2, {fix('1 - 2 * u / (n1 * n2)', 6, 10)} AS rank_biserial,
    {fix('(abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))))', 4, 10)} AS z
  FROM (SELECT CAST(sum(r) FILTER (WHERE gender = 'M') - count_if(gender = 'M') * (count_if(gender = 'M') + 1) / 2 AS DOUBLE) AS u,
    CAST(count_if(gender = 'M') AS DOUBLE) AS n1, CAST(count_if(gender = 'F') AS DOUBLE) AS n2, CAST(count(*) AS DOUBLE) AS n,
    CAST(sum(c * c - 1) AS DOUBLE) AS ties FROM (SELECT gender, rank() OVER (ORDER BY avg_txn_value) + (c - 1) / 2 AS r, c FROM
-     (SELECT gender, avg_txn_value, count(*) OVER (PARTITION BY avg_txn_value) AS c FROM c360 WHERE gender IN ('M', 'F'))))""")
+     (SELECT gender, avg_txn_value, count(*) OVER (PARTITION BY avg_txn_value) AS c FROM c360 WHERE gender IN ('M', 'F')))))""")
 
 
 def _kruskal(table: str, x: str, g: str, where: str) -> str:
-    return f"""SELECT '{x}' AS feature, n, k AS groups, {fix('h', 4)} AS h, {fix('(h - k + 1) / (n - k)', 6, 10)} AS epsilon_sq FROM (
+    return f"""SELECT '{x}' AS feature, n, k AS groups, {fix('h', 4)} AS h, {fix('(h - k + 1) / (n - k)', 6, 10)} AS epsilon_sq,
+   {_chi_p('h', '(k - 1)')} AS p_value FROM (
    SELECT n, k, (12 / (n * (n + 1)) * parts - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM (
      SELECT CAST(sum(n) AS DOUBLE) AS n, count(*) AS k, sum(s * s / n) AS parts, CAST(sum(t) AS DOUBLE) AS ties FROM (
        SELECT {g}, CAST(count(*) AS DOUBLE) AS n, CAST(sum(r) AS DOUBLE) AS s, sum(c * c - 1) AS t FROM (
@@ -557,21 +570,22 @@ def _kruskal(table: str, x: str, g: str, where: str) -> str:
            FROM {table} WHERE {x} IS NOT NULL AND {where})) GROUP BY 1)))"""
 
 
-_K = "feature n:i groups:i h:d epsilon_sq:d"
+_K = "feature n:i groups:i h:d epsilon_sq:d p_value:d"
 Q["p11_kruskal_by_age"] = (_K, _kruskal("c360", "avg_balance", "age_group", "age_group <> 'Unknown'"))
 Q["p11_kruskal_by_segment"] = (_K, " UNION ALL ".join(_kruskal("view", x, "segment_name", "true") for x in (
     "avg_balance", "total_txn_value", "avg_txn_value", "txn_count", "recency_days", "age")))
 
 
 def _chi(table: str, a: str, b: str, where: str) -> str:
-    return f"""SELECT {fix('x', 4)} AS chi2, (r - 1) * (k - 1) AS dof, n, {fix('sqrt(x / (n * (least(r, k) - 1)))', 6, 10)} AS cramers_v FROM (
+    return f"""SELECT {fix('x', 4)} AS chi2, (r - 1) * (k - 1) AS dof, n, {fix('sqrt(x / (n * (least(r, k) - 1)))', 6, 10)} AS cramers_v,
+   {_chi_p('x', '((r - 1) * (k - 1))')} AS p_value FROM (
    SELECT sum((o - e) ** 2 / e) AS x, sum(o) AS n, count(DISTINCT {a}) AS r, count(DISTINCT {b}) AS k FROM (
      SELECT p.{a}, q.{b}, coalesce(o, 0) AS o, CAST(p.n AS DOUBLE) * q.n / (SELECT count(*) FROM {table} WHERE {where}) AS e
      FROM (SELECT {a}, count(*) AS n FROM {table} WHERE {where} GROUP BY 1) p CROSS JOIN (SELECT {b}, count(*) AS n FROM {table} WHERE {where} GROUP BY 1) q
      LEFT JOIN (SELECT {a}, {b}, count(*) AS o FROM {table} WHERE {where} GROUP BY 1, 2) c ON c.{a} = p.{a} AND c.{b} = q.{b}))"""
 
 
-_CHI = "chi2:d dof:i n:i cramers_v:d"
+_CHI = "chi2:d dof:i n:i cramers_v:d p_value:d"
 Q["p13_chi_square_tier"] = (_CHI, _chi("c360", "city_tier", "is_high_value", "city_tier <> 'Unknown'"))
 Q["p13_chi_square_gender"] = (_CHI, _chi("view", "segment_name", "gender", "gender <> 'Unknown'"))
 Q["p14_high_value_rates"] = ("city_tier pct_high_value:d", f"SELECT city_tier, {pct('count_if(is_high_value)', 'count(*)', 1)} AS pct_high_value FROM c360 GROUP BY 1")
@@ -595,7 +609,7 @@ Q["p19_headline_facts"] = ("fact value:d", " UNION ALL ".join((
     _FACT("young_pct", pct("count_if(age_group IN ('18-24', '25-34'))", "count(*)"), "view"),
     _FACT("signal_pct", pct("count_if(any_signal)", "count(*)"), "view"), _FACT("tier_a", "count_if(tier = 'A')", "view"),
     _FACT("tier_a_min_score", "min(overall_score)", "view WHERE tier = 'A'"),
-    _FACT("afternoon_evening_pct", pct("count_if(txn_hour BETWEEN 12 AND 20)", "count(txn_hour)"), "fact"),
+    _FACT("afternoon_evening_pct", pct("count_if(txn_hour BETWEEN 12 AND 20)", "count(*)"), "fact"),
     f"SELECT 'top_10_pct', {_top('total_txn_value', 0.1)}", _FACT("cities", "count(*)", "loc"),
     _FACT("raw_locations", "count(DISTINCT cust_location)", "stg"))))
 Q["p19_theme_rates"] = ("segment_name theme rate:d", " UNION ALL ".join(f"""

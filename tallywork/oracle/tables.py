@@ -142,10 +142,13 @@ TABLES["fact"] = f"""
  FROM clean c JOIN loc l USING (clean_city)"""
 
 
+_AT = "{'d': txn_date, 's': coalesce(txn_sec, 0), 'q': coalesce(txn_seq, -1), 'i': transaction_id}"
+
+
 def _pick(attribute: str, missing: str) -> str:
     return f"""SELECT customer_id, {attribute} AS v, count(*) OVER (PARTITION BY customer_id) AS n_values
    FROM fact WHERE {missing} GROUP BY customer_id, {attribute}
-   QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, max(order_key) DESC) = 1"""
+   QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY count(*) DESC, max({_AT}) DESC) = 1"""
 
 
 TABLES["pick_dob"] = _pick("dob", "dob IS NOT NULL")
@@ -178,7 +181,7 @@ TABLES["perc"] = f"""
    CASE WHEN count(balance) >= 2 THEN sqrt(CAST(CAST(count(balance) AS DECIMAL(10,0)) * CAST(sum(balance * balance) AS DECIMAL(28,4))
      - CAST(sum(balance) AS DECIMAL(19,2)) * CAST(sum(balance) AS DECIMAL(19,2)) AS DOUBLE)
      / CAST(count(balance) * (count(balance) - 1) AS DOUBLE)) END AS sd,
-   arg_max(balance, order_key) FILTER (WHERE balance IS NOT NULL) AS latest_balance,
+   arg_max(balance, {_AT}) FILTER (WHERE balance IS NOT NULL) AS latest_balance,
    {div('count(*) FILTER (WHERE txn_hour >= 17 OR txn_hour < 6)', 'count(txn_hour)')} AS evening_night_share,
    count(*) FILTER (WHERE txn_date < {D(P.trend_split)}) AS txns_first_half,
    count(*) FILTER (WHERE txn_date >= {D(P.trend_split)}) AS txns_second_half,

@@ -39,6 +39,9 @@ class Params:
     tier_cuts: tuple[tuple[str, float], ...] = (("A", 0.05), ("B", 0.20), ("C", 0.50))
     overlap_top: int = 1000
     seed: int = 42
+    starts: int = 10
+    grid_k: tuple[int, ...] = (3, 4, 5, 6, 7, 8, 9, 10)
+    grid_seeds: tuple[int, ...] = (1, 2, 3, 4, 5)
     features: tuple[str, ...] = field(
         default=("log_avg_balance", "log_total_value", "log_avg_txn", "txn_count_cap", "recency_days"))
 

@@ -14,7 +14,7 @@ from ..operators import cleaning, cluster_metrics, cube, measures, model, profil
 from ..operators import opportunity as O
 from ..operators import ranks as R
 from ..sources import staging as src
-from ..sources.fixture import PARAMS, VARIANTS, staging
+from ..sources.fixture import PARAMS, VARIANTS, expected_rows, staging
 from . import extracts
 from .questions import QUESTIONS, n_rows
 from .workspace import Workspace
@@ -28,7 +28,8 @@ _OPEN: dict[tuple[str, str], Workspace] = {}
 
 
 def open_workspace(spark: SparkSession, sf_dir: str, **options) -> Workspace:
-    w = Workspace(spark, staging(spark, sf_dir), PARAMS, VARIANTS, centroids=CENTROIDS, **options)
+    params = PARAMS.but(expected_rows=expected_rows(spark, sf_dir))
+    w = Workspace(spark, staging(spark, sf_dir), params, VARIANTS, centroids=CENTROIDS, **options)
     w.folder = sf_dir
     return w
 
@@ -373,7 +374,7 @@ def k04(w):
     _ = w.customer_segment
     points = segments.assembled(w.scaled_features["J"], _features(w)).persist()
     try:
-        fit = segments.fit_kmeans(points, 5, w.params.seed, starts=3)
+        fit = segments.fit_kmeans(points, 5, w.params.seed, w.starts)
     finally:
         points.unpersist()
     return segments.relabel(fit.transform(points), "J").groupBy("cluster_key").agg(n_rows().alias("customers"))
@@ -387,14 +388,15 @@ def k05(w):
 @query("k06_layered_design")
 def k06(w):
     config = {**w.segment_config, "design": "layered", "k": {"S": 3, "R": 3}}
-    rows, _, _ = segments.segment(w.store, w.customer_360, config, w.segment_definition, w.params, starts=1)
+    rows, _, _ = segments.segment(w.store, w.customer_360, config, w.segment_definition, w.params, starts=w.starts)
     return rows.df.groupBy("cluster_key", "layer").agg(n_rows().alias("customers"))
 
 
 @query("k07_k_grid")
 def k07(w):
     _ = w.customer_segment
-    rows = cluster_metrics.k_grid(w.scaled_features["J"], _features(w), (4, 5), w.params.seed, seeds=(1,))
+    rows = cluster_metrics.k_grid(w.scaled_features["J"], _features(w), w.params.grid_k, w.params.seed,
+                                  w.params.grid_seeds, w.starts)
     return w.spark.createDataFrame(rows)
 
 
@@ -669,7 +671,7 @@ def p01b(w):
 
 @query("p02_amount_histogram")
 def p02(w):
-    return stats.log_histogram(w.fact, "amount", 60, w.fact.agg(F.max("amount").cast("double")).scalar())
+    return stats.log_histogram(w.fact, "amount", 59, w.fact.agg(F.max("amount").cast("double")).scalar())
 
 
 @query("p03_p05_concentration")
@@ -713,15 +715,15 @@ def p07(w):
 
 @query("p08_hour_profile")
 def p08(w):
-    days = w.dim_date.groupBy("day_of_week_num").agg(n_rows().alias("days"))
-    per_hour = w.agg_hour_weekday.where("txn_hour is not null").join(days, "day_of_week_num")
-    return per_hour.select("day_of_week", "txn_hour", S.fixed(S.ratio(c("txns"), c("days")), 4).alias("txns_per_day"))
+    return stats.hour_profile(w.fact).select("day_of_week", "txn_hour", S.fixed(c("txns_per_day"), 4).alias("txns_per_day"))
 
 
 @query("p08_band_shares")
 def p08b(w):
-    sizes = w.agg_hour_weekday.groupBy(S.time_band(c("txn_hour")).alias("time_band")).agg(F.sum("txns").alias("txns"))
-    return sizes.withColumn("pct_txns", S.percent(c("txns"), F.sum("txns").over(Window.partitionBy())))
+    known = stats.hour_profile(w.fact).where("txn_hour is not null")
+    sizes = known.groupBy(S.time_band(c("txn_hour")).alias("time_band")).agg(F.sum("txns_per_day").alias("t"))
+    # At most as many rows as there are bands.
+    return sizes.select("time_band", S.percent(c("t"), F.sum("t").over(Window.partitionBy()), 1).alias("pct_txns"))
 
 
 @query("p09_spearman_matrix")
@@ -731,19 +733,19 @@ def p09(w):
 
 @query("p10_mann_whitney")
 def p10(w):
-    return stats.mann_whitney(w.store, "ticket", w.customer_360, "avg_txn_value", "gender", "M", "F").drop("p_value")
+    return stats.mann_whitney(w.store, "ticket", w.customer_360, "avg_txn_value", "gender", "M", "F")
 
 
 @query("p11_kruskal_by_age")
 def p11(w):
-    return stats.kruskal(w.store, "age", w.customer_360, ["avg_balance"], "age_group", L.AGE_ORDER[:-1]).drop("p_value")
+    return stats.kruskal(w.store, "age", w.customer_360, ["avg_balance"], "age_group", L.AGE_ORDER[:-1])
 
 
 @query("p11_kruskal_by_segment")
 def p11b(w):
     names = [s["segment_name"] for s in w.segment_config["segments"]]
     columns = ["avg_balance", "total_txn_value", "avg_txn_value", "txn_count", "recency_days", "age"]
-    return stats.kruskal(w.store, "segment", w.view, columns, "segment_name", names).drop("p_value")
+    return stats.kruskal(w.store, "segment", w.view, columns, "segment_name", names)
 
 
 @query("p12_spearman_pair")
@@ -753,12 +755,12 @@ def p12(w):
 
 @query("p13_chi_square_tier")
 def p13(w):
-    return stats.chi_square(w.customer_360.where("city_tier <> 'Unknown'"), "city_tier", "is_high_value").drop("p_value")
+    return stats.chi_square(w.customer_360.where("city_tier <> 'Unknown'"), "city_tier", "is_high_value")
 
 
 @query("p13_chi_square_gender")
 def p13b(w):
-    return stats.chi_square(w.view.where("gender <> 'Unknown'"), "segment_name", "gender").drop("p_value")
+    return stats.chi_square(w.view.where("gender <> 'Unknown'"), "segment_name", "gender")
 
 
 @query("p14_high_value_rates")
@@ -814,7 +816,7 @@ def p19(w):
     v = w.view
     young = c("age_group").isin("18-24", "25-34")
     day = c("txn_hour").between(12, 20)
-    hours = w.agg_hour_weekday.where("txn_hour is not null")
+    hours = w.agg_hour_weekday
     return stats.facts({
         "single_pct": v.agg(S.percent(F.count_if(c("txn_count") == 1), n_rows())),
         "young_pct": v.agg(S.percent(F.count_if(young), n_rows())),

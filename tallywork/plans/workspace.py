@@ -9,20 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import cleaning, cube, features, model, opportunity, publish, quality, segments
 from ..params import Params
 from ..sources import staging as src
-from ..sources.lookups import LOCATION_VARIANTS
-from ..sources.store import SMALL_ROWS, Saved, Store, spread
+from ..sources.store import Saved, Store, spread
 
 
 class Workspace:
     def __init__(self, spark: SparkSession, staging: DataFrame, params: Params | None = None, variants=None,
-                 segment_config: dict | None = None, centroids: dict[str, list] | None = None, starts: int = 10,
-                 store_root: str | None = None, small_rows: int = SMALL_ROWS, land: bool = True):
+                 segment_config: dict | None = None, centroids: dict[str, list] | None = None, starts: int | None = None,
+                 store_root: str | None = None, land: bool = True):
         """``land=False`` reads the log in place: for a columnar table whose ``src_row`` is stored."""
         self.spark, self.source, self.params = spark, staging, params or Params()
-        self.store = Store(spark, store_root, small_rows)
-        self.variants = src.variants_table(spark, LOCATION_VARIANTS if variants is None else variants)
+        self.store = Store(spark, store_root)
+        self.variants = src.variants_table(spark, variants or ())
         self.segment_config = segment_config or src.segment_config()
-        self.centroids, self.starts, self.land = centroids, starts, land
+        self.centroids, self.starts, self.land = centroids, starts or self.params.starts, land
 
     # cleaning
     @cached_property

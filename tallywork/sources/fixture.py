@@ -14,13 +14,21 @@ from pyspark.sql import functions as F
 from ..params import Params
 
 PARAMS = Params(
-    window_start=date(1999, 7, 1), window_end=date(2000, 6, 30), extract_end=date(2000, 12, 31),
-    trend_split=date(2000, 1, 1), active_days=120, dormant_days=240, newly_observed_days=120, txn_year_pivot=50,
+    window_start=date(1995, 5, 1), window_end=date(2000, 12, 31), extract_end=date(2001, 5, 31),
+    trend_split=date(1998, 3, 1), active_days=120, dormant_days=480, newly_observed_days=720, txn_year_pivot=50,
     tier_1_metros=tuple(f"NATION {k}" for k in range(6)), metro_satellites=tuple(f"NATION {k}" for k in range(6, 10)),
-    expected_rows=None, min_city_customers=20, top_cities=10, loan_recency_days=120, overlap_top=100)
+    expected_rows=None, min_city_customers=20, top_cities=10, loan_recency_days=240, overlap_top=100)
+COPY_EVERY, COPY_AT = 211, 7
 VARIANTS = tuple((f"NATON {k}", f"NATION {k}") for k in range(25))
 
 
+def expected_rows(spark: SparkSession, sf_dir: str) -> int:
+    """How many rows the log must have: one per order, and one more per copied order."""
+    key = F.col("o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").agg(
+        F.count(F.lit(1)) + F.count_if(key % COPY_EVERY == COPY_AT)).first()[0]
+
+
 def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders x customer x nation as text rows. Both lookups are key joins that Spark sizes itself."""
     o, c, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation"))
@@ -55,7 +63,7 @@ def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 331 == 3, "0").when(key % 337 == 4, "-5").when(key % 347 == 6, "").when(key % 353 == 5, "1.5E3")
         .otherwise(text(F.col("o_totalprice").cast("decimal(18,2)"))).alias("transaction_amount"))
     # Each copied row is emitted beside its original, so the base is read once.
-    moved = base.select("*", F.explode(F.when(F.col("src_row") % 211 == 7, F.array(F.lit(0), F.lit(100_000_000)))
+    moved = base.select("*", F.explode(F.when(F.col("src_row") % COPY_EVERY == COPY_AT, F.array(F.lit(0), F.lit(100_000_000)))
                                        .otherwise(F.array(F.lit(0)))).alias("_shift"))
     new_id = F.concat(F.lit("T"), text(F.col("src_row") + F.col("_shift")))
     return moved.select(

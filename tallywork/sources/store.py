@@ -2,42 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
 import re
-import tempfile
 import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
-SMALL_ROWS = 200_000
-
 
 @dataclass(frozen=True)
 class Saved:
-    """A written table with its row count. ``small`` says that it may be broadcast or ordered in one task."""
+    """A written table with its row count."""
 
     df: DataFrame
     rows: int
-    small: bool
 
     def of(self, df: DataFrame) -> "Saved":
-        """The same size claim for a frame with no more rows."""
+        """The same row count for a projection of the table."""
         return replace(self, df=df)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Only a local session may go without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = spark.sparkContext.applicationId
-    return _LOCAL_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="tallywork-"))
+    """The folder that ``spark.checkpoint.dir`` names; without it the warehouse, which executors share too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -49,11 +37,13 @@ def spread(df: DataFrame) -> DataFrame:
 class Store:
     """Writes each stage once as parquet and reads it back, so a lost executor only re-reads files."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, small_rows: int = SMALL_ROWS):
-        self.spark, self.small_rows = spark, small_rows
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark = spark
         run = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
         self.root = f"{(root or shared_root(spark)).rstrip('/')}/tallywork/{run}"
         self._saves = 0
+        if not root and not spark.conf.get("spark.checkpoint.dir", None):
+            atexit.register(self.close)  # nobody else cleans up the warehouse
 
     def save(self, name: str, df: DataFrame) -> Saved:
         # A name saved again gets a new path: frames read from the first one stay valid.
@@ -63,4 +53,9 @@ class Store:
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
         # A stated schema spares the footer-reading job.
         rows = seen.get["rows"]
-        return Saved(self.spark.read.schema(df.schema).parquet(path), rows, rows <= self.small_rows)
+        return Saved(self.spark.read.schema(df.schema).parquet(path), rows)
+
+    def close(self) -> None:
+        """Removes the stages of this run; frames read from them are no longer valid."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

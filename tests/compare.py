@@ -58,13 +58,9 @@ def difference(spark_df, db, statement: str) -> str | None:
     return None
 
 
-def run(spark, sf_dir: str, only: str = "", small_rows: int | None = None) -> int:
-    """Prints each outcome; ``small_rows`` 0 takes the path of large data everywhere."""
+def run(spark, sf_dir: str, only: str = "") -> int:
+    """Prints each outcome."""
     import __spark_entry__ as entry
-    from tallywork.plans import catalog
-    if small_rows is not None:
-        key = (spark.sparkContext.applicationId, sf_dir)
-        catalog._OPEN[key] = catalog.open_workspace(spark, sf_dir, small_rows=small_rows)
     db, statements, bad = connect(sf_dir), entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
         if only and only not in name:
@@ -89,5 +85,5 @@ def run(spark, sf_dir: str, only: str = "", small_rows: int | None = None) -> in
 if __name__ == "__main__":
     sys.path[:0] = ["/root/repo", "/root/repo/tests"]
     from conftest import session
-    folder, only, small = (sys.argv[1:] + ["/root/testdata/sf0.01", "", ""][len(sys.argv) - 1:])[:3]
-    run(session(), folder, only, int(small) if small else None)
+    folder, only = (sys.argv[1:] + ["/root/testdata/sf0.01", ""][len(sys.argv) - 1:])[:2]
+    run(session(), folder, only)

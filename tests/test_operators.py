@@ -1,10 +1,13 @@
-"""Ranks, quantiles and joins against stock Spark, with a third of the rows on one key and on both size paths."""
+"""Ranks, quantiles and joins against stock Spark, with a third of the rows on one key."""
+
+from decimal import Decimal
 
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallywork.functions import parsing, scalars
 from tallywork.operators import cleaning, cluster_metrics, stats
 from tallywork.operators import ranks as R
 from tallywork.operators.skew import lookup_join
@@ -12,9 +15,9 @@ from tallywork.params import Params
 from tallywork.sources.store import Store
 
 
-@pytest.fixture(params=[0, 200_000], ids=["large", "small"])
-def store(spark, request):
-    return Store(spark, small_rows=request.param)
+@pytest.fixture
+def store(spark):
+    return Store(spark)
 
 
 @pytest.fixture(scope="module")
@@ -73,8 +76,8 @@ def test_lookup_join_keeps_every_row(store, skewed):
     assert got.select("id", "x", "g", "top").exceptAll(stock).isEmpty() and got.count() == 3000
 
 
-def test_large_path_has_no_single_partition_window(spark, skewed):
-    store = Store(spark, small_rows=0)
+def test_ranks_have_no_single_partition_window(spark, skewed):
+    store = Store(spark)
     dist = R.distribution(store, "plan", skewed, ["x"])
     plan = R.ranked(skewed, "id", ["x"], dist, {"r": ("x", R.rank_of())})._jdf.queryExecution().toString()
     # The only ordered single task is the prefix sum over sort partitions.
@@ -115,7 +118,7 @@ def test_adjusted_rand_and_scatter(spark):
     assert row.inertia == pytest.approx(within, rel=1e-6)
     assert cluster_metrics.adjusted_rand(df, "label", "label").first()[0] == pytest.approx(1.0)
     assert 0.5 < cluster_metrics.adjusted_rand(df, "label", "other").first()[0] < 1
-    dist = np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(2))
+    dist = ((xs[:, None] - xs[None]) ** 2).sum(2)
     same = labels[:, None] == labels[None]
     own = np.where(same, dist, 0).sum(1) / (same.sum(1) - 1)
     other = np.min([np.where(labels == g, np.inf, dist[:, labels == g].mean(1)) for g in range(3)], axis=0)
@@ -124,6 +127,49 @@ def test_adjusted_rand_and_scatter(spark):
     assert got == pytest.approx(expected, rel=1e-9)
 
 
+def test_blank_ids_are_spread(spark, store):
+    """Half the ids are blank, and the other half has one hot id: no join task gets over three times the mean."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        i = F.col("id")
+        rows = spark.range(60_000).select(i.alias("src_row"), F.when(i % 2 == 0, "").when(i % 4 == 1, "T5").otherwise(
+            F.concat(F.lit("T1"), i)).alias("transaction_id"))
+        got = cleaning.mark_repeats(store, rows.withColumn("txn_id", F.trim("transaction_id")), rows)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 60_000 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("u, expected", [(50.0, 1.0), (80.0, 0.0257)])
+def test_mann_whitney_p(spark, store, u, expected):
+    """10 against 10 values: in the middle of U the probability is 1."""
+    wins = int(u)
+    first = [1.0 * k for k in range(1, 11)]
+    rest = [0.5 + wins // 10] * 10
+    df = spark.createDataFrame([(x, "a") for x in first] + [(y, "b") for y in rest], "x double, g string")
+    p = stats.mann_whitney(store, f"p{wins}", df, "x", "g", "a", "b").first().p_value
+    assert 0 <= p <= 1 and (p == 1.0 if expected == 1.0 else p < 0.05)
+
+
+@pytest.mark.parametrize("text, expected", [("0.004", "0.004"), ("10.005", "10.005"), ("1e-3", "0.001"), ("12345678901234567890", None),
+                                            (" 7 ", "7"), ("x", None)])
+def test_money_is_read_as_written(spark, text, expected):
+    got = spark.createDataFrame([(text,)], "t string").select(parsing.to_money(F.col("t"))).first()[0]
+    assert got == (None if expected is None else Decimal(expected))
+
+
+def test_latest_row_does_not_depend_on_the_id_size(spark):
+    rows = spark.createDataFrame([("2020-01-01", 100, 30_000_000, "T30000000", 1.0), ("2020-01-01", 102, 5, "T5", 2.0),
+                                  ("2020-01-01", 102, None, "TX-9", 3.0)], "d string, s int, q bigint, i string, v double")
+    at = scalars.latest_first(F.to_date("d"), F.col("s"), F.col("q"), F.col("i"))
+    assert rows.agg(F.max_by("v", at)).first()[0] == 2.0
+    assert rows.where("q is null or q > 5").agg(F.max_by("v", at)).first()[0] == 3.0
+
+
 @pytest.mark.parametrize("x, dof, expected", [(3.841458821, 1, 0.05), (18.30703805, 10, 0.05), (0.5, 3, 0.918891411), (60.0, 2, 9.3576e-14)])
 def test_chi_square_tail(spark, x, dof, expected):
     df = spark.createDataFrame([(x, float(dof))], "x double, d double")
