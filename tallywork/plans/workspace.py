@@ -41,9 +41,14 @@ class Workspace:
     def rejected(self) -> DataFrame:
         return cleaning.rejected(self.classified)
 
-    @property
+    @cached_property
     def _clean_rows(self) -> DataFrame:
-        return cleaning.clean(self.classified, self.variants, self.params)
+        """Typed clean rows, apart from the raw text of the log; cities, amounts, copies and the fact read them."""
+        return self.store.save("clean_rows", cleaning.clean(self.classified, self.variants, self.params)).df
+
+    def close(self) -> None:
+        """Removes the written stages."""
+        self.store.close()
 
     @property
     def waterfall(self) -> DataFrame:

@@ -16,19 +16,22 @@ SEGMENTS_FILE = Path(__file__).with_name("segments.json")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All-text CSV with header, no row lost; an empty field is NULL. ``src_row`` orders rows by file and place."""
-    raw = (spark.read.schema(RAW_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
-           .option("enforceSchema", True).csv(path).withColumn("_place", F.monotonically_increasing_id()))
+    """All-text CSV with header, no row lost; an empty field is NULL. ``src_row`` orders rows by file and place;
+    ``malformed`` marks lines with too few or too many fields."""
+    schema = T.StructType([*RAW_SCHEMA.fields, T.StructField("_bad", T.StringType())])
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).csv(path).withColumn("_place", F.monotonically_increasing_id()))
     # Input splits of one file are read as partitions by size, not by place; the block start restores file order.
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.col("_place"))
-    return raw.select(place.alias("src_row"), *RAW_COLUMNS)
+    return raw.select(place.alias("src_row"), *RAW_COLUMNS, F.col("_bad").isNotNull().alias("malformed"))
 
 
 def load_audit(staging: DataFrame) -> DataFrame:
     """Rows, bytes of text and an order-free fingerprint of a load."""
     line = F.xxhash64(*[F.coalesce(F.col(c), F.lit("\u0000")) for c in RAW_COLUMNS]).cast("decimal(38,0)")
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in RAW_COLUMNS), F.lit(0))
-    return staging.agg(F.count(F.lit(1)).alias("rows_loaded"), F.sum(size).alias("text_bytes"),
+    bad = F.count_if("malformed") if "malformed" in staging.columns else F.lit(0).cast("bigint")
+    return staging.agg(F.count(F.lit(1)).alias("rows_loaded"), F.sum(size).alias("text_bytes"), bad.alias("malformed_rows"),
                        F.sum(line).cast("string").alias("fingerprint"))
 
 
@@ -46,6 +49,7 @@ def segment_config(path: str | Path = SEGMENTS_FILE) -> dict:
 
 
 def segment_definitions(spark: SparkSession, config: dict) -> DataFrame:
+    """One row per segment. The descriptive texts are the caller's; a configuration may leave them out."""
     columns = ("cluster_key", "segment_id", "segment_name", "potential_needs", "action", "owner", "timing", "kpi",
                "expect")
     rows = [tuple(s.get(c) for c in columns) for s in config["segments"]]
