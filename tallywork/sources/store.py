@@ -42,8 +42,7 @@ class Store:
         run = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
         self.root = f"{(root or shared_root(spark)).rstrip('/')}/tallywork/{run}"
         self._saves = 0
-        if not root and not spark.conf.get("spark.checkpoint.dir", None):
-            atexit.register(self.close)  # nobody else cleans up the warehouse
+        atexit.register(self.close)  # frames over the stages end with the session
 
     def save(self, name: str, df: DataFrame) -> Saved:
         # A name saved again gets a new path: frames read from the first one stay valid.
@@ -56,6 +55,8 @@ class Store:
         return Saved(self.spark.read.schema(df.schema).parquet(path), rows)
 
     def close(self) -> None:
-        """Removes the stages of this run; frames read from them are no longer valid."""
+        """Removes the stages of this run; frames read from them are no longer valid. A stopped session leaves them."""
+        if self.spark.sparkContext._jsc is None:
+            return
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
