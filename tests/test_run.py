@@ -26,7 +26,7 @@ def db():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.CATALOG))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, FOLDER)
     if name in STATEMENTS:
