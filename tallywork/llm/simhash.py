@@ -88,8 +88,9 @@ def distance_table(fp: Column) -> list[Column]:
 
 
 def block_count(nodes: int, link: int = LINK) -> int:
-    """The fewest blocks for which a bucket key has as many values as there are nodes."""
-    blocks = link + 1
+    """The fewest blocks, from link + 2 on, for which a bucket key has as many values as there are nodes. Texts of one
+    language share many bits, so keys of a single block would be far from even."""
+    blocks = link + 2
     while blocks < 16 and 2 ** (64 * (blocks - link) // blocks) < nodes:
         blocks += 1
     return blocks
