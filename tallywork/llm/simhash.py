@@ -19,7 +19,7 @@ id; a component of NULL ids only has a NULL id. Repeated rows have one fingerpri
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -181,6 +181,15 @@ def links(store: Store, nodes: DataFrame, count: int, link: int = LINK, bucket_r
     return dealt.mapInArrow(_linked, "a bigint, b bigint")
 
 
+def component_ids(store: Store, ids: DataFrame, parts: DataFrame) -> DataFrame:
+    """(fp, component_id) of all nodes (fp, least_id), given the components of the linked ones."""
+    linked = ids.join(parts, ids["fp"] == parts["node"]).select("fp", "component", "least_id")
+    lowest = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = linked.join(lowest, "component").select("fp", "component_id")
+    alone = ids.join(parts, ids["fp"] == parts["node"], "left_anti").select("fp", F.col("least_id").alias("component_id"))
+    return store.save("component_names", named.unionByName(alone)).df
+
+
 def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
     """One row per document: doc_id, fp and component_id, the smallest id it is connected to."""
     store = store or Store(docs.sparkSession)
@@ -188,20 +197,17 @@ def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
     nodes = store.save("nodes", prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
                        .select("fp", "least_id", *distance_table(F.col("fp"))))
     parts = store.save("components", components(store, links(store, nodes.df.select("fp", "d0", "d1"), nodes.rows))).df
-    ids = nodes.df.select("fp", "least_id")
-    linked = ids.join(parts, ids["fp"] == parts["node"]).select("fp", "component", "least_id")
-    lowest = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = linked.join(lowest, "component").select("fp", "component_id")
-    alone = ids.join(parts, ids["fp"] == parts["node"], "left_anti").select("fp", F.col("least_id").alias("component_id"))
-    names = store.save("component_names", named.unionByName(alone)).df
+    names = component_ids(store, nodes.df.select("fp", "least_id"), parts)
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, store: Store | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, store: Store | None = None,
+                 find: Callable[[DataFrame, Store], DataFrame] = near_duplicates) -> DataFrame:
     """The documents with the smallest id of each group, with their own columns; of rows with one id, one stays.
+    ``find`` gives doc_id and component_id; by default the groups are those of op6.
     Ids to drop and repeated ids are written first, so Spark knows their size when it plans the joins."""
     store = store or Store(docs.sparkSession)
-    found = store.save("near_duplicates", near_duplicates(docs, store)).df
+    found = store.save("near_duplicates", find(docs, store)).df
     drop = store.save("copies", found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
                       .select(F.col("doc_id").alias("_id")).distinct()).df
     twice = store.save("repeated_ids", found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))

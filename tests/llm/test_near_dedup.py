@@ -1,0 +1,66 @@
+"""The near_dedup stage against brute force: five-word shingles, similarity 0.8 or more."""
+
+import random
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from tallywork.llm import shingle_sets, simhash
+
+
+def shingles(text):
+    words = (text or "").lower().encode().split()
+    size = max(1, min(5, len(words)))
+    return {tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def brute(rows):
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+def near_rows():
+    """Copies with 1 to 8 % of their words changed, some just under and some just over the similarity."""
+    rng, rows = random.Random(11), []
+    word = lambda: f"w{rng.randrange(5000)}"
+    for family in range(25):
+        base = [word() for _ in range(rng.choice((60, 150, 400)))]
+        for copy in range(5):
+            words = list(base)
+            for _ in range(copy * len(words) * rng.choice((5, 8, 15, 20)) // 2000):
+                words[rng.randrange(len(words))] = word()
+            rows.append((len(rows), " ".join(words)))
+    rows += [(200, None), (201, ""), (202, "one two"), (203, "One  two"), (204, rows[0][1]), (None, rows[5][1]), (205, rows[7][1]),
+             (205, rows[7][1])]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("group_bytes", [shingle_sets.GROUP_BYTES, 1500])
+def test_near_copies_are_found_and_others_stay(spark, group_bytes):
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    roots = brute(rows)
+    least = {}
+    for (i, _), r in zip(rows, roots):
+        least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
+    got = shingle_sets.near_duplicates(docs, group_bytes=group_bytes).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter((i, least[r]) for (i, _), r in zip(rows, roots))
+
+
+def test_stage_takes_near_copies_out(spark):
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert out.count() == len(set(brute(rows))) < simhash.deduplicated(docs).count()
