@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and password guess costs for values in a credential context.
 
 The patterns find assignments, access keys and hex strings. Every value that follows a credential word (a wider set
-than the assignment pattern, with any characters but spaces and quotes) gets the lowest number of guesses that an
+than the assignment pattern; a quoted value runs to its closing quote on the line, another one to white space) gets the lowest number of guesses that an
 attacker needs, as its base-10 logarithm: a dynamic program cuts the value into dictionary words (with capitals and
 look-alike characters), dates, repeats, keyboard walks and brute-force characters at the lowest total cost. A value of
 ``STRONG`` or more is a real secret and adds a ``guess`` span; "changeme1" and the like do not.
@@ -36,9 +36,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
+NAMES = r"""(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?)"""
+# A name may end a longer word (clientSecret); before " is " only in camel case, as "compass is" is prose.
 CONTEXT = re.compile(
-    r"""(?<![a-z0-9])(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_ -]?key|access[_ -]?key|"""
-    r"""private[_ -]?key|credentials?)["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?([^\s"'<>,;]{6,})""",
+    rf"""(?:{NAMES}["']?[\x20\t]*(?:=>|:=|==|[:=])|(?:(?<![a-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z]))){NAMES}["']?[\x20\t]+is[\x20\t])"""
+    r"""[\x20\t]*(?:"((?:[^"\\\r\n]|\\[^\r\n])*)"|'((?:[^'\\\r\n]|\\[^\r\n])*)'|["']?([^\s"']\S{5,}))""",
     re.IGNORECASE | re.ASCII)
 HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential")
 HEX_MARK = bytes(ord("x") if chr(b) in "0123456789abcdef" else ord(" ") for b in range(256))
@@ -148,9 +150,10 @@ def spans_of(data: bytes | None, ranks: dict[str, int], strong: float = STRONG)
     if hinted:
         found += [("assign", *m.span(), None) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".!?:)]}")
+            at = m.lastindex
+            value = m[at] if at < 3 else m[at].rstrip(".!?:)]},;\"'")
             if len(value) >= ASSIGN_LEAST and (cost := guess_cost(value, ranks)) >= strong:
-                found.append(("guess", m.start(1), m.start(1) + len(value), cost))
+                found.append(("guess", m.start(at), m.start(at) + len(value), cost))
     if keyed:
         found += [("access", *m.span(), None) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     if hexed:
