@@ -27,10 +27,14 @@ ROWS_PER_RUN = 50_000
 ROW_BYTES = 16
 
 
-def text_coordinate(value: Column) -> Column:
-    """The first seven UTF-8 bytes as a number, so order by code point is kept; longer equal heads are ties."""
-    head = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("bigint"), F.lit(-1))
+def with_ranks(store: Store, rows: DataFrame, column: str, rank: str) -> DataFrame:
+    """Replaces a text column by ``rank``, the place of its value among the distinct ones in code-point order; NULL is -1.
+    The values are sorted and numbered by partition, none passes through the driver."""
+    values = store.save("values", rows.select(F.col(column).alias("_value")).where("_value is not null").distinct()).df
+    numbered = values.sort("_value").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
+    ranks = store.save("ranks", store.spark.createDataFrame(numbered, "_value string, _rank bigint")).df
+    joined = rows.join(ranks, rows[column] == ranks["_value"], "left")
+    return joined.withColumn(rank, F.coalesce("_rank", F.lit(-1).cast("bigint"))).drop(column, "_value", "_rank")
 
 
 def number_coordinate(value: Column) -> Column:
@@ -174,15 +178,17 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
     """One row per document: doc_id, size (UTF-8 bytes plus 16), text_crc32, shard and slot. Either the number of
     leaves or the bytes of a leaf is given. Dimensions are source, language, length and id."""
     store = store or Store(docs.sparkSession)
-    dims = {"by_source": text_coordinate(F.col("source")), "by_lang": text_coordinate(F.col("lang")),
-            "by_length": number_coordinate(F.col("n_chars")), "by_id": number_coordinate(F.col("doc_id"))}
+    dims = ["by_source", "by_lang", "by_length", "by_id"]
     crc = F.coalesce(F.crc32(F.col("text")), F.lit(0))
-    narrow = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("bigint").alias("size"),
-                         crc.alias("text_crc32"), *[c.alias(k) for k, c in dims.items()])
+    narrow = store.save("shard_narrow", docs.select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("bigint").alias("size"),
+        crc.alias("text_crc32"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+        number_coordinate(F.col("n_chars")).alias("by_length"), number_coordinate(F.col("doc_id")).alias("by_id"))).df
+    narrow = with_ranks(store, with_ranks(store, narrow, "source", "by_source"), "lang", "by_lang")
     mixed = F.xxhash64("doc_id", "text_crc32", *dims)
     rows = store.save("shard_rows", narrow.withColumn("tie", F.shiftrightunsigned(mixed, 64 - TIE_BITS)))
     if shards is None:
         shards = max(1, ceil((rows.df.agg(F.sum("size")).first()[0] or 0) / target_bytes))
-    nodes, leaves = kd_tree(store, rows, list(dims), shards)
+    nodes, leaves = kd_tree(store, rows, dims, shards)
     assigned = leaves.of(leaves.df.withColumn("shard", _of_node([n.first for n in nodes])))
     return with_slots(store, assigned, shards).select("doc_id", "size", "text_crc32", "shard", "slot")
