@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, line_dedup, mixing, ngram_model, quality, secrets, sharding, simhash, substrings,
-               url_filter)
+from . import (decontaminate, exact_dedup, lexical_search, line_dedup, mixing, ngram_model, prefix_trie, quality, secrets,
+               sharding, simhash, substrings, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHARDS = 40
@@ -91,3 +91,19 @@ def op9_bloom_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_digest_array_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_block_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"), group=100, heads=6)
+    return out.withColumnRenamed("saved", "saved_tokens")
+
+
+@query
+def op12_shared_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query
+def op13_heavy_hitter_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))

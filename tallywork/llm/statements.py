@@ -169,3 +169,67 @@ left_over AS (SELECT r, string_agg(word, ' ' ORDER BY word.p) FILTER (gone.p IS
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM doc LEFT JOIN left_over USING (r)
 """
+
+# The CRC-32 of the decimal id is computed bit by bit: every eighth step takes in the next character.
+STATEMENTS["op11_block_prefix_trie"] = r"""
+WITH RECURSIVE
+turn_row AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+             FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, digest, length(text) AS size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS p FROM turn_row),
+crc(c, step, v) AS (
+  SELECT DISTINCT c, 0, 4294967295::BIGINT FROM own
+  UNION ALL
+  SELECT c, step + 1, xor(w >> 1, CASE WHEN w & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT c, step, CASE WHEN step % 8 = 0 THEN xor(v, ascii(substr(c::VARCHAR, step // 8 + 1, 1))::BIGINT) ELSE v END AS w
+        FROM crc WHERE step < 8 * length(c::VARCHAR)) t),
+head AS (SELECT c, c - c % 100 AS b, xor(arg_max(v, step), 4294967295) % 6 AS h FROM crc GROUP BY c),
+given AS (SELECT head.c AS c, h, count(own.p) AS k FROM head LEFT JOIN own ON own.c = head.b AND own.p <= head.h GROUP BY head.c, h, b),
+rebuilt AS (
+  SELECT head.c, own.p, digest, size FROM head JOIN own ON own.c = head.b AND own.p <= head.h
+  UNION ALL
+  SELECT own.c, own.p - h + k, digest, size FROM own JOIN given ON own.c = given.c WHERE own.p > h),
+path AS (SELECT c, p, size, string_agg(digest, '') OVER (PARTITION BY c ORDER BY p) AS seq FROM rebuilt
+         UNION ALL SELECT c, 0, 0, '' FROM head),
+node AS (SELECT p, seq, min(c) AS c, count(*) AS n, any_value(size) AS size FROM path GROUP BY p, seq),
+kids AS (SELECT p - 1 AS p, left(seq, length(seq) - 64) AS seq, count(*) AS n FROM node WHERE p > 0 GROUP BY ALL),
+grown AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (p, seq)),
+ends AS (SELECT p, seq, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+         FROM (SELECT c, max(p) AS p, arg_max(seq, p) AS seq FROM path GROUP BY c) GROUP BY p, seq),
+below AS (SELECT a.p, a.seq, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n - 1) * b.size) AS saved
+          FROM grown a JOIN grown b ON b.p >= a.p AND starts_with(b.seq, a.seq) GROUP BY a.p, a.seq)
+SELECT node.c AS conv_id, node.p::BIGINT AS depth, up.c AS parent_conv_id, node.n::BIGINT AS n_convs,
+       node.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM grown node JOIN below USING (p, seq) LEFT JOIN ends USING (p, seq)
+LEFT JOIN node up ON up.p = node.p - 1 AND up.seq = left(node.seq, greatest(length(node.seq) - 64, 0))
+"""
+
+STATEMENTS["op12_shared_term_search"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT row_number() OVER () AS q, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+total AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM doc),
+wanted AS (SELECT DISTINCT q, item_id, unnest(w) AS term FROM item),
+posting AS (SELECT r, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM doc)
+            WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weighed AS (SELECT term, floor(1000 * ln((2 * total.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+            FROM posting, total GROUP BY term, total.n),
+worth AS (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * p.n * total.n) // total.l))) AS s
+          FROM posting p JOIN weighed USING (term), total),
+scored AS (SELECT q, item_id, r, doc_id, sum(s)::BIGINT AS score FROM wanted JOIN worth USING (term) GROUP BY ALL HAVING sum(s) > 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scored)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
+STATEMENTS["op13_heavy_hitter_dedup"] = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, sha256(coalesce(text, '')) AS h FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id DESC NULLS LAST, r) AS no,
+                  max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS n FROM doc)
+SELECT doc_id, keep_id, n AS group_size, no = 1 AS kept, h AS text_sha256 FROM ranked
+"""

@@ -66,6 +66,23 @@ def hard_rows():
 BENCHMARK = [(1, None), (2, ""), (3, "ba"), (4, "two Words"), (5, None), (None, "a row without an id")]
 
 
+def hard_conversations():
+    """Turns (conv_id, turn, role, text): shared beginnings, copies, ties, NULLs, repeated rows, one long conversation, ids
+    whose head conversation is absent or shorter, and rows without an id."""
+    rng = random.Random(9)
+    rows = []
+    for conv in [*range(0, 12), 100, 101, 103, 104, 107, 201, 202, 205, 300, 301, 302, 310, -5, -100, -107]:
+        for turn in range(rng.randint(1, 9)):
+            rows.append((conv, turn, "user" if turn % 2 == 0 else "assistant", rng.choice(["Hi.", "Yes é?", "No", sentence(rng, 3)])))
+    rows += [(400 + i, turn, "user", f"step {turn}") for i in range(9) for turn in range(3 + i % 2 * 6)]
+    rows += [(500, turn, "user", f"long {turn % 5}") for turn in range(60)]
+    rows += [(501 + i, turn, "user", f"long {turn % 5}") for i in range(4) for turn in range(20 * i)]
+    rows += [(600, 1, "user", "tie b"), (600, 1, "user", "tie a"), (600, 1, "user", "tie a"), (600, None, None, None),
+             (601, 2, "u", "ser"), (601, 2, "us", "er"), (602, 0, None, ""), (602, 1, "", None), (None, 0, "user", "lost"),
+             (None, 1, None, None)]
+    return [(*r, "z", 5) for r in rows]
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("hard"))
@@ -81,6 +98,8 @@ def folder(spark, tmp_path_factory):
             "http://a.com./x", "http://bets.net/es"]
     spark.createDataFrame([(i % 15, u) for i, u in enumerate(urls)], "page_id bigint, url string").write.parquet(
         f"{path}/pages.parquet")
+    spark.createDataFrame(hard_conversations(), "conv_id bigint, turn bigint, role string, text string, pos string, n int").repartition(
+        3).write.parquet(f"{path}/conversations.parquet")
     return path
 
 
@@ -104,7 +123,7 @@ def plain(rows):
 def test_query_equals_statement(spark, folder, name, where):
     path = folder if where == "hard" else where
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "conversations"):
         source = f"{path}/{table}.parquet" + ("/*.parquet" if where == "hard" else "")
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{source}')")
     got = QUERIES[name](spark, path)
@@ -115,7 +134,7 @@ def test_query_equals_statement(spark, folder, name, where):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, folder, tmp_path, name):
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "conversations"):
         spark.read.parquet(f"{folder}/{table}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
 
