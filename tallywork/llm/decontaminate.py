@@ -311,9 +311,11 @@ def covered_words(spans: Column) -> Column:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, store: Store | None = None) -> DataFrame:
-    """The documents without a hit word, with their own columns. The ids to drop are written first, so Spark knows
-    their size when it plans the join."""
+    """The documents without a hit word, with their own columns. Rows are known by a hash of id and text, so a clean text
+    stays when another one with its id goes. The rows to drop are written first, so Spark knows their size when it plans
+    the join."""
     store = store or Store(docs.sparkSession)
-    hit = contamination(docs, items, store=store).where(F.size("items") > 0)
-    drop = store.save("contaminated_ids", hit.select(F.col("doc_id").alias("_hit_id")).distinct()).df
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_hit_id"]), "left_anti")
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    found = contamination(docs.select(key.alias("doc_id"), docs["text"].alias("text")), items, store=store)
+    drop = store.save("contaminated_rows", found.where(F.size("items") > 0).select(F.col("doc_id").alias("_hit_row")).distinct()).df
+    return docs.join(drop, key == drop["_hit_row"], "left_anti")

@@ -19,7 +19,7 @@ id; a component of NULL ids only has a NULL id. Repeated rows have one fingerpri
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -201,18 +201,27 @@ def near_duplicates(docs: DataFrame, store: Store | None = None) -> DataFrame:
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, store: Store | None = None,
-                 find: Callable[[DataFrame, Store], DataFrame] = near_duplicates) -> DataFrame:
-    """The documents with the smallest id of each group, with their own columns; of rows with one id, one stays.
-    ``find`` gives doc_id and component_id; by default the groups are those of op6.
-    Ids to drop and repeated ids are written first, so Spark knows their size when it plans the joins."""
+def deduplicated(docs: DataFrame, store: Store | None = None) -> DataFrame:
+    """The documents that stay, with their own columns: of each group the row with the smallest id, of rows with one id the
+    one with the smallest text hash, of equal rows (id and text) one. NULL ids come last.
+    Rows are known by id and text, so a text is judged apart from others that share its id. The rows to drop are written
+    first, so Spark knows their size when it plans the joins."""
     store = store or Store(docs.sparkSession)
-    found = store.save("near_duplicates", find(docs, store)).df
-    drop = store.save("copies", found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-                      .select(F.col("doc_id").alias("_id")).distinct()).df
-    twice = store.save("repeated_ids", found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
-                       .where("_n > 1").select("_id")).df
-    same = lambda t: docs["doc_id"].eqNullSafe(t["_id"])
-    left = docs.join(drop, same(drop), "left_anti")
+    names = [f"c{at}" for at in range(len(docs.columns))]
+    own, by_name = docs.toDF(*names), dict(zip(docs.columns, names))
+    doc_id, text = F.col(by_name["doc_id"]), F.col(by_name["text"])
+    key = F.struct(doc_id.isNull().alias("no_id"), doc_id.alias("id"), F.xxhash64(text).alias("hash"))
+    found = store.save("near_duplicates", near_duplicates(own.select(key.alias("doc_id"), text.alias("text")), store)).df
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    row = [F.col("doc_id.id").alias("_id"), F.col("doc_id.hash").alias("_hash")]
+    drop = store.save("copies", found.where(~stays).select(*row).distinct()).df
+    twice = store.save("repeated_rows", found.where(stays).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                       .select(*row)).df
+
+    def same(table: DataFrame) -> Column:
+        return (F.col("_row_hash") == table["_hash"]) & doc_id.eqNullSafe(table["_id"])
+
+    left = own.withColumn("_row_hash", F.xxhash64(text)).join(drop, same(drop), "left_anti")
     once = left.join(twice, same(twice), "left_anti")
-    return once.unionByName(left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id"]))
+    one_of = left.join(twice, same(twice), "left_semi").dropDuplicates([by_name["doc_id"], "_row_hash"])
+    return once.unionByName(one_of).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
