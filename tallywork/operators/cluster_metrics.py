@@ -1,4 +1,4 @@
-"""Quality measures of a labelling: inertia, Calinski-Harabasz, adjusted Rand, silhouette, and the k grid."""
+"""Quality measures of a labelling: inertia, Calinski-Harabasz, adjusted Rand, silhouette. Those of a whole grid are in ``batch_kmeans``."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import segments as G
-
 
 def scatter(labelled: DataFrame, features) -> DataFrame:
     """Within-group squares (inertia about the group means), between-group squares, Calinski-Harabasz and the smallest
@@ -64,24 +62,3 @@ def silhouette(labelled: DataFrame, features) -> DataFrame:
     other = F.array_min(F.array_compact(F.array(*others)))
     return labelled.select("customer_id", F.when(own.isNull() | other.isNull(), 0.0).otherwise(
         (other - own) / F.nullif(F.greatest(own, other), F.lit(0.0))).alias("silhouette")).fillna(0.0, ["silhouette"])
-
-
-def k_grid(scaled: DataFrame, features, ks, seed: int, seeds, starts: int) -> list[dict]:
-    """One row per k: cost, separation, agreement across seeds and the smallest share. The fits of a k are submitted
-    together; they and their summary numbers run from the driver, points and labels stay on the executors."""
-    points = G.assembled(scaled, features).persist()
-    out = []
-    try:
-        for k in ks:
-            base, *others = G.fit_all(points, k, [seed, *seeds], starts)
-            shown = base.transform(points)
-            row = scatter(shown, features).first().asDict()
-            score = silhouette(shown, features).agg(F.avg("silhouette")).first()[0]
-            first = shown.withColumnRenamed("label", "a")
-            rand = [adjusted_rand(m.transform(first), "a", "label").first()[0] for m in others]
-            out.append({"k": k, "inertia": float(base.summary.trainingCost), "silhouette": score,
-                        "calinski_harabasz": row["calinski_harabasz"], "ari_min": min(rand),
-                        "ari_mean": sum(rand) / len(rand), "min_cluster_share": row["min_cluster_share"]})
-    finally:
-        points.unpersist()
-    return out

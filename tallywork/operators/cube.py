@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import scalars as S
+from .reconcile import cells
 
 DIMENSIONS = ("segment_name", "age_group", "gender", "city", "tier", "evidence_level")
 WIDE_DIMENSIONS = ("segment_id", "segment_name", "age_group", "gender", "city", "city_tier", "tier", "evidence_level",
@@ -199,3 +200,23 @@ def lookup_or(left: DataFrame, right: DataFrame, key: str, columns: list[str], d
     """Looked-up columns with a default for a missing key. Both lists are bounded report extracts."""
     found = left.join(right.select(key, *columns), key, "left")
     return found.select(*left.columns, *[F.coalesce(F.col(x).cast("string"), F.lit(default)).alias(x) for x in columns])
+
+
+CELL_MEASURES = ("customers", "txns", "value", "bal_n", "active", "high_value", "any_signal", "addressable")
+
+
+def cube_cells(cube_df: DataFrame) -> DataFrame:
+    """Cells of all grains from the cube."""
+    add = {m: F.sum(F.col(m).cast("decimal(38,4)")).cast("double") for m in CELL_MEASURES}
+    return cells(cube_df, DIMENSIONS, add)
+
+
+def customer_cells(view: DataFrame, top: DataFrame) -> DataFrame:
+    """The same cells from the customers, apart from the cube."""
+    c, double = F.col, lambda x: x.cast("double")
+    known = F.when(c("any_signal"), c("latest_balance"))
+    return cells(with_city_bucket(view, top), DIMENSIONS, {
+        "customers": double(F.count(F.lit(1))), "txns": double(F.sum("txn_count")), "value": double(F.sum("total_txn_value")),
+        "bal_n": double(F.count("avg_balance")), "active": double(F.count_if("is_active")),
+        "high_value": double(F.count_if("is_high_value")), "any_signal": double(F.count_if("any_signal")),
+        "addressable": double(F.coalesce(F.sum(known), F.lit(0)))})

@@ -137,16 +137,42 @@ def fact_kpis(store: Store, fact: DataFrame, opportunity: DataFrame, p: Params)
     c, n = F.col, F.count(F.lit(1))
     per = store.save("kpi_customers", fact.groupBy("customer_id").agg(
         n.alias("n"), F.sum("amount").alias("value"), S.ratio(F.sum("balance"), F.count("balance")).alias("balance"),
-        F.max("txn_date").alias("last_day"))).df
+        F.max("txn_date").alias("last_day"),
+        F.max_by("balance", F.when(c("balance").isNotNull(), S.latest_first(c("txn_date"), c("txn_sec"), c("txn_seq"), c("transaction_id"))))
+        .alias("last_balance"))).df
     one = per.agg(
         n.cast("double").alias("Total Customers"), F.sum("n").cast("double").alias("Total Transactions"),
         F.sum("value").cast("double").alias("Total Txn Value"), S.fixed(S.ratio(F.sum("value"), F.sum("n")), 4).alias("Avg Txn Value"),
         S.fixed(S.mean_of(c("balance")), 4).alias("Avg Balance"),
         F.count_if(F.date_diff(F.lit(p.as_of), c("last_day")) <= p.active_days).cast("double").alias("Active Customers"))
-    median = R.quantiles(R.distribution(store, "kpi_balances", per, ["balance"]), {"m": ("balance", 0.5)}).scalar()
+    spread = R.distribution(store, "kpi_balances", per, ["balance", "last_balance", "value"], keep=True)
+    median = R.quantiles(spread, {"m": ("balance", 0.5)}).scalar()
+    cuts = R.quantiles(spread, {"b": ("last_balance", 0.90), "v": ("value", 0.90)})
+    high = per.agg(F.count_if(F.coalesce(c("last_balance").cast("double") >= cuts.select("b").scalar(), F.lit(False))
+                              | (c("value").cast("double") >= cuts.select("v").scalar())))
+    signalled = opportunity.where("signal_count > 0").select("customer_id").join(per.select("customer_id", "last_balance"), "customer_id")
     ranks = opportunity.agg(n.alias("n"), F.count_if(c("signal_count") > 0).cast("double").alias("signals"))
     tier_a = opportunity.agg(F.count_if(c("priority_rank") <= F.lit(dict(p.tier_cuts)["A"]) * ranks.select("n").scalar()))
     one = one.withColumns({"Median Balance": median, "Opportunity Count": ranks.select("signals").scalar(),
-                           "Tier A Customers": tier_a.scalar().cast("double")})
+                           "Tier A Customers": tier_a.scalar().cast("double"),
+                           "High Value Customers": high.scalar().cast("double"),
+                           "Addressable Balance": signalled.agg(total(c("last_balance"))).scalar()})
+    pairs = [F.struct(F.lit(k).alias("kpi"), c(f"`{k}`").alias("sql_value")) for k in one.columns]
+    return one.select(F.inline(F.array(*pairs)))
+
+
+def cube_kpis(cube_df: DataFrame, balances: Saved) -> DataFrame:
+    """KPIs from the additive measures of a cube. The median is no sum of cells, so it comes from the balances themselves."""
+    c = F.col
+    exact = lambda x: F.sum(c(x).cast("decimal(38,4)"))
+    count = lambda x: F.sum(x).cast("double")
+    one = cube_df.agg(
+        count("customers").alias("Total Customers"), count("txns").alias("Total Transactions"),
+        exact("value").cast("double").alias("Total Txn Value"), S.fixed(S.ratio(exact("value"), exact("txns")), 4).alias("Avg Txn Value"),
+        S.fixed(S.ratio(exact("bal_sum"), exact("bal_n")), 4).alias("Avg Balance"), count("active").alias("Active Customers"),
+        count("high_value").alias("High Value Customers"), count("any_signal").alias("Opportunity Count"),
+        count(F.when(c("tier") == "A", c("customers"))).alias("Tier A Customers"),
+        exact("addressable").cast("double").alias("Addressable Balance"))
+    one = one.withColumn("Median Balance", R.quantiles(balances, {"m": ("avg_balance", 0.5)}).scalar())
     pairs = [F.struct(F.lit(k).alias("kpi"), c(f"`{k}`").alias("sql_value")) for k in one.columns]
     return one.select(F.inline(F.array(*pairs)))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +19,7 @@ from ..sources.store import Store
 from . import ranks as R
 
 FITS_AT_ONCE = 8
+FILLED_BY = {"log_avg_balance": "avg_balance"}  # the column whose median fills a feature
 
 
 @dataclass(frozen=True)
@@ -133,6 +134,12 @@ def populations(customers: DataFrame, design: str) -> dict[str, DataFrame]:
     return {"J": customers}
 
 
+def grid_populations(customers: DataFrame) -> dict[str, tuple[DataFrame, bool]]:
+    """The populations that a number of clusters is chosen for, and whether age is a feature."""
+    return {"joint": (customers, False), "joint_age": (customers, True), "single": (customers.where("txn_count = 1"), False),
+            "repeat": (customers.where("txn_count > 1"), False)}
+
+
 def segment(store: Store, customers: DataFrame, config: dict, definitions: DataFrame, p: Params,
             centroids: dict[str, list] | None = None, starts: int = 10):
     """(customer_segment, fits by population, scaled rows by population). Centroids may be given; else they are fitted."""
@@ -207,10 +214,3 @@ def pca(scaled: DataFrame, features, k: int = 2):
     shown = model.transform(points).select("customer_id", *[
         vector_to_array("projected")[i].alias(f"pc{i + 1}") for i in range(k)])
     return shown, [float(x) for x in model.explainedVariance]
-
-
-def second_method(scaled: DataFrame, features, k: int, seed: int) -> DataFrame:
-    """Labels of a bisecting K-Means, for agreement with the main labels."""
-    points = assembled(scaled, features)
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="point", predictionCol="other").fit(points)
-    return model.transform(points).select("customer_id", "other")

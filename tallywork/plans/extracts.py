@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import cube, stats
+from ..sources.store import remove_folder, replace_folder
 from .questions import QUESTIONS
 from .workspace import Workspace
 
@@ -28,12 +30,18 @@ OPPORTUNITY_COLUMNS = (
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: str | None = None) -> int:
-    """Replaces the table at ``path``; returns its row count, counted while writing."""
-    seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format(fmt)
+    """Replaces the table at ``path``; returns its row count, counted while writing. The rows are written beside it and swapped
+    in by a rename, so a job that fails leaves the old rows."""
+    made, seen = f"{path}.new-{uuid.uuid4().hex[:8]}", Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
-    (writer.partitionBy(by) if by else writer).save(path)
+    try:
+        (writer.partitionBy(by) if by else writer).save(made)
+    except Exception:
+        remove_folder(df.sparkSession, made)
+        raise
+    replace_folder(df.sparkSession, made, path)
     return seen.get["rows"]
 
 

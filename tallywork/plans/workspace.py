@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import cleaning, cube, features, model, opportunity, publish, quality, segments
+from ..operators import batch_kmeans, cleaning, cube, features, model, opportunity, publish, quality, segments
 from ..params import Params
 from ..sources import staging as src
 from ..sources.store import Saved, Store, spread
@@ -151,6 +151,23 @@ class Workspace:
     def scaled_features(self) -> dict[str, DataFrame]:
         return self._segmentation[2]
 
+    @cached_property
+    def k_selection(self) -> DataFrame:
+        """Quality of every number of clusters for every population that has customers."""
+        parts, names = [], []
+        for name, (people, use_age) in segments.grid_populations(self.customer_360).items():
+            prep, scaled = segments.fit_prep(self.store, f"grid_{name}", people, self.params, use_age)
+            if not scaled.isEmpty():
+                parts.append((scaled, prep.features))
+                names.append(name)
+        points, width = batch_kmeans.stacked(parts)
+        points = self.store.save("grid_points", points).df
+        p = self.params
+        rows = batch_kmeans.grid(points, width, names, p.grid_k, p.seed, p.grid_seeds, self.starts)
+        shape = ("population string, k int, customers bigint, inertia double, silhouette double, calinski_harabasz double, "
+                 "ari_min double, ari_mean double, min_cluster_share double, clusters int")
+        return self.store.save("k_selection", self.spark.createDataFrame(rows, shape)).df
+
     @cached_property
     def segment_profile(self) -> DataFrame:
         return segments.profile(self.store, "segment_name", self.view, "segment_name")

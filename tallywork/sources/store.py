@@ -34,6 +34,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def replace_folder(spark: SparkSession, made: str, path: str) -> None:
+    """Puts the written folder ``made`` in the place of ``path`` by renames. The old folder goes last, and comes back when the
+    new one cannot take its place."""
+    new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target, fresh, old = new_path(path), new_path(made), new_path(f"{path}.old-{uuid.uuid4().hex[:8]}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(fresh, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"cannot put {made} in the place of {path}")
+    if had:
+        fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Store:
     """Writes each stage once as parquet and reads it back, so a lost executor only re-reads files."""
 
@@ -44,10 +67,14 @@ class Store:
         self._saves = 0
         atexit.register(self.close)  # frames over the stages end with the session
 
+    def path(self, name: str) -> str:
+        """A new folder of this run for tables that are not stages."""
+        self._saves += 1
+        return f"{self.root}/{self._saves:04d}_{re.sub(r'[^A-Za-z0-9_]', '_', name)}"
+
     def save(self, name: str, df: DataFrame) -> Saved:
         # A name saved again gets a new path: frames read from the first one stay valid.
-        self._saves += 1
-        path = f"{self.root}/{self._saves:04d}_{re.sub(r'[^A-Za-z0-9_]', '_', name)}"
+        path = self.path(name)
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
         # A stated schema spares the footer-reading job.
@@ -58,5 +85,4 @@ class Store:
         """Removes the stages of this run; frames read from them are no longer valid. A stopped session leaves them."""
         if self.spark.sparkContext._jsc is None:
             return
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(self.spark, self.root)
