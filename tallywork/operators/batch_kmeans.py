@@ -165,9 +165,10 @@ def rand_index(table: np.ndarray) -> float:
 
 
 def grid(points: DataFrame, width: int, names: list[str], ks, seed: int, seeds, starts: int) -> list[dict]:
-    """One row per (population, k): cost, squared-Euclidean silhouette, Calinski-Harabasz, agreement with the other seeds,
+    """One row per (population, k) with at least k points: cost, squared-Euclidean silhouette, Calinski-Harabasz, agreement with the other seeds,
     smallest share. All fits share their passes; afterwards one pass gives all contingency tables and silhouettes."""
-    found = best_of(fit(points, width, [(p, k, s, start) for p in range(len(names)) for k in ks
+    sizes = {r.population: r["count"] for r in points.groupBy("population").count().collect()}
+    found = best_of(fit(points, width, [(p, k, s, start) for p in range(len(names)) for k in ks if k <= sizes.get(p, 0)
                                         for s in (seed, *seeds) for start in range(starts)]))
     plans = [(base, [found[p, k, s] for s in seeds]) for (p, k, s), base in sorted(found.items()) if s == seed]
     tables, scores = _agreement(points, width, plans)

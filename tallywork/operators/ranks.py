@@ -89,13 +89,17 @@ def quantiles(dist: Saved, wanted: dict[str, tuple[str, float]], by: list[str] |
     return dist.df.where(hits).groupBy(*(by or [])).agg(*columns)
 
 
-def weighted_summary(store: Store, name: str, df: DataFrame, column: str, copies: str, by: list[str]) -> DataFrame:
-    """Per group: rows, mean and median of a column whose rows stand for several copies."""
-    dist = distribution(store, name, df, [column], by=by, weight=F.col(copies))
-    medians = quantiles(dist, {f"median_{column}": (column, 0.5)}, by)
+def weighted_summary(store: Store, name: str, df: DataFrame, column: str, copies: str | None, by: list[str],
+                     places: int = 2) -> DataFrame:
+    """Per group: rows, mean and median of a column whose rows may stand for several copies, from one aggregate over the
+    distribution. NULL values are left out."""
+    dist = distribution(store, name, df, [column], by=by, weight=F.col(copies) if copies else None)
+    at = (F.col("total") - 1).cast("double") * 0.5
+    low, high = ((place + 1).between(F.col("first"), F.col("last")) for place in (F.floor(at), F.ceil(at)))
+    lo, hi = F.max(F.when(low, F.col("value"))), F.max(F.when(high, F.col("value")))
     worth = F.sum(F.col("value").cast("decimal(38,6)") * F.col("n")).cast("double")
-    means = dist.df.groupBy(*by).agg(F.sum("n").alias("rows"), fixed(worth / F.sum("n"), 2).alias(f"mean_{column}"))
-    return means.join(medians, by)
+    return dist.df.groupBy(*by).agg(F.sum("n").alias("rows"), fixed(worth / F.sum("n"), places).alias(f"mean_{column}"),
+                                    (lo + (hi - lo) * F.max(at - F.floor(at))).alias(f"median_{column}"))
 
 
 # Rank functions of a value from its positions.

@@ -51,6 +51,16 @@ def log_histogram(df: DataFrame, column: str, bins: int, top: Column) -> DataFra
     return df.where(value >= 1).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def spread_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """Counts in bins of equal width in log10(1 + value) between the smallest and the largest value; unknown values are left
+    out. One bin holds all when every value is the same."""
+    place = F.log10(F.col(column).cast("double") + 1)
+    logs = df.where(F.col(column).isNotNull()).select(place.alias("x"))
+    ends = logs.agg(F.min("x").alias("low"), F.max("x").alias("high")).select(F.struct("low", "high")).scalar()
+    at = F.floor((F.col("x") - ends["low"]) * bins / F.nullif(ends["high"] - ends["low"], F.lit(0.0)))
+    return logs.groupBy(F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def hour_profile(fact: DataFrame) -> DataFrame:
     """Mean rows per weekday and hour, over the days on which that weekday has rows in that hour."""
     per_day = fact.groupBy("day_of_week", "txn_hour", "txn_date").agg(F.count(F.lit(1)).alias("n"))

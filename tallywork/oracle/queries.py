@@ -124,6 +124,9 @@ Q["q26_cities_with_many_priority"] = ("clean_city customers:i pct_tier_ab:d avg_
 
 # sources and sinks
 Q["a01_csv_staging"] = (" ".join(RAW_COLUMNS), "SELECT " + ", ".join(f"nullif({c}, '') AS {c}" for c in RAW_COLUMNS) + " FROM stg")
+Q["a02_file_ledger"] = ("year rows_loaded:i text_bytes:i malformed_rows:i whole_files:b", "SELECT right(transaction_date, 2) AS year, "
+                        "count(*) AS rows_loaded, sum(" + " + ".join(f"strlen({c})" for c in RAW_COLUMNS)
+                        + ") AS text_bytes, 0 AS malformed_rows, true AS whole_files FROM stg GROUP BY 1")
 Q["a02_load_audit"] = ("rows_loaded:i text_bytes:i", "SELECT count(*) AS rows_loaded, sum(" + " + ".join(
     f"strlen({c})" for c in RAW_COLUMNS) + ") AS text_bytes FROM stg")
 Q["m01_daily_city"] = Q["a06_replace_table"] = ("date_key:i location_key:i txns:i total_value:d high_value_txns:i customers:i", "SELECT * FROM dailyc")
@@ -164,6 +167,9 @@ Q["a09_dashboard_document"] = ("section rows:i", " UNION ALL ".join(
        "SELECT 'hour_weekday', count(*) FROM (SELECT DISTINCT day_of_week, txn_hour FROM fact)"]))
 Q["a10_answer_index"] = ("question rows:i", " UNION ALL ".join(
     f"SELECT 'Q{k[1:].split('_')[0]}' AS question, count(*) AS rows FROM ({body})" for k, (_, body) in Q.items() if k.startswith("q")))
+for _made, _from, _name in (("a07_report_contents", "a07_report_extracts", "extract"), ("a08_sheet_contents", "a08_sheet_extracts", "extract"),
+                            ("a09_dashboard_contents", "a09_dashboard_document", "section"), ("a10_answer_contents", "a10_answer_index", "question")):
+    Q[_made] = (f"{_name} rows:i same:b", f"SELECT *, true AS same FROM ({Q[_from][1]})")
 Q["a11_segment_model"] = ("population feature low:d high:d mean:d scale:d", " UNION ALL ".join(f"""
  SELECT 'J' AS population, '{f}' AS feature, {fix(f'(SELECT quantile_cont({f}, 0.01) FROM rawf)', 5, 10)} AS low,
    {fix(f'(SELECT quantile_cont({f}, 0.99) FROM rawf)', 5, 10)} AS high, {fix(f'avg({f})', 5, 10)} AS mean,
@@ -236,6 +242,10 @@ Q["e12_segment_tier_shares"] = ("segment_name A:d B:d C:d Watch:d", "SELECT segm
     pct(f"count(*) FILTER (WHERE tier = '{t}')", "count(*)") + f" AS {t}" for t in L.TIER_ORDER) + " FROM view GROUP BY 1")
 Q["e13_weekday_hour_grid"] = ("day_of_week_num:i " + " ".join(f"h{h:02d}:i" for h in range(24)), "SELECT isodow(txn_date) AS day_of_week_num, " + ", ".join(
     f"count(*) FILTER (WHERE txn_hour = {h}) AS h{h:02d}" for h in range(24)) + " FROM fact GROUP BY 1")
+Q["e13_segment_age_pivot"] = ("segment_name " + " ".join(f"age{i}:i" for i in range(len(L.AGE_ORDER))), "SELECT segment_name, " + ", ".join(
+    f"count(*) FILTER (WHERE age_group = '{a}') AS age{i}" for i, a in enumerate(L.AGE_ORDER)) + " FROM view GROUP BY 1")
+Q["e13_city_tier_pivot"] = ("city A:i B:i C:i Watch:i", f"SELECT {_BUCKET} AS city, " + ", ".join(
+    f"count(*) FILTER (WHERE tier = '{t}') AS {t}" for t in L.TIER_ORDER) + " FROM view GROUP BY 1")
 Q["e14_sheet_cells"] = ("balance_band customers_f:i customers_m:i customers_unknown:i tier_a_high:i signals_unknown_city:i", f"""
  SELECT {BAL_BAND('latest_balance')} AS balance_band, count_if(gender = 'F') AS customers_f, count_if(gender = 'M') AS customers_m,
    count_if(gender = 'Unknown') AS customers_unknown, count_if(tier = 'A' AND evidence_level = 'High') AS tier_a_high,
@@ -328,7 +338,7 @@ Q["k07_grid_checks"] = ("population k:i customers:i clusters:i cost_falls:b in_r
  SELECT population, k, n AS customers, k AS clusters, true AS cost_falls, true AS in_range FROM (
    SELECT unnest(['joint', 'joint_age', 'single', 'repeat']) AS population,
      unnest([count(*), count(*), count(*) FILTER (txn_count = 1), count(*) FILTER (txn_count > 1)]) AS n FROM c360), range(3, 11) t(k)
- WHERE n > 0""")
+ WHERE n >= k""")
 Q["k17_linkage_checks"] = ("customers:i clusters:i heights_rise:b all_squares:d", f"""
  SELECT count(*) AS customers, 5 AS clusters, true AS heights_rise, {fix(' + '.join(f'var_pop({f}) * count(*)' for f in FEATS), 2, 6)} AS all_squares FROM scaled""")
 _WITHIN = " + ".join(f"var_pop({f}) * count(*)" for f in FEATS)
@@ -525,6 +535,11 @@ Q["p01_ticket_by_gender"] = ("gender n:i mean:d min:d max:d std:d p25:d p50:d p7
 Q["p02_amount_histogram"] = ("bin:i n:i", """
  SELECT least(floor(log10(amount::DOUBLE) / ((SELECT log10(max(amount)::DOUBLE) FROM fact) / 59)), 58) AS bin, count(*) AS n FROM fact WHERE amount >= 1 GROUP BY 1""")
 
+_LOG = "log10(latest_balance::DOUBLE + 1)"
+Q["p02_balance_histogram"] = ("bin:i n:i", f"""
+ SELECT coalesce(least(floor(({_LOG} - low) * 60 / nullif(high - low, 0)), 59), 0) AS bin, count(*) AS n
+ FROM c360, (SELECT min({_LOG}) AS low, max({_LOG}) AS high FROM c360) WHERE latest_balance IS NOT NULL GROUP BY 1""")
+
 
 def _top(x: str, share: float, table: str = "c360") -> str:
     return fix(f"100 * (SELECT CAST(sum({x}) AS DOUBLE) FROM (SELECT {x} FROM {table} WHERE {x} IS NOT NULL ORDER BY {x} DESC "
@@ -645,6 +660,18 @@ Q["p19_headline_facts"] = ("fact value:d", " UNION ALL ".join((
     f"SELECT 'weekend_uplift_pct', uplift_pct FROM ({Q['p07_weekend_uplift'][1]})",
     *[f"SELECT 'sensitivity_{m}_overlap', {m}(overlap) FROM ({Q['l09_d14_sensitivity'][1]})" for m in ("min", "max")], _FACT("cities", "count(*)", "loc"),
     _FACT("raw_locations", "count(DISTINCT cust_location)", "stg"))))
+Q["p02_balance_facts"] = ("fact value:d", " UNION ALL ".join((
+    *[_FACT(k, fix(f"quantile_cont(latest_balance::DOUBLE, {q})", 2), "c360") for k, q in (("median", 0.5), ("p90", 0.9), ("p99", 0.99))],
+    _FACT("mean", fix(mean("latest_balance"), 2), "c360"), _FACT("near_zero_pct", pct("count_if(latest_balance < 1)", "count(latest_balance)"), "c360"),
+    f"SELECT 'top_10_pct', {_top('latest_balance', 0.1)}")))
+Q["p19_more_facts"] = ("fact value:d", " UNION ALL ".join((
+    "SELECT 'id_consistent_pct' AS fact, pass_pct AS value FROM (" + Q["i01_i24_scorecard"][1] + ") WHERE check_id = 'DQ-20'",
+    f"""SELECT 'top_5_city_pct', {pct('(SELECT sum(v) FROM (SELECT sum(total_txn_value) AS v FROM c360 WHERE clean_city <> $$UNKNOWN$$ GROUP BY clean_city ORDER BY v DESC, clean_city LIMIT 5))',
+                                  '(SELECT sum(total_txn_value) FROM c360)')}""",
+    *[_FACT(f"theme_{t}", f"count_if(sig_{t})", "view") for t in THEMES],
+    f"SELECT 'sensitivity_min_rho', min(spearman_vs_base) FROM ({Q['l09_d14_sensitivity'][1]})")))
+Q["p19_tier_facts"] = ("tier customers:i least_score:d addressable_balance:d", f"""
+ SELECT tier, count(*) AS customers, min(overall_score) AS least_score, {_ADDR} AS addressable_balance FROM view GROUP BY 1""")
 Q["p19_theme_rates"] = ("segment_name theme rate:d", " UNION ALL ".join(f"""
  SELECT segment_name, '{L.THEME_NAMES[t]}' AS theme, {_RATE(f'count_if(sig_{t})', 'count(*)')} AS rate FROM view GROUP BY 1""" for t in THEMES))
 Q["p20_age_distribution"] = ("age_group place:i customers:i pct_customers:d", f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..operators import (batch_kmeans, cleaning, cluster_metrics, cube, measures
                          reconcile, segments, stats)
 from ..operators import opportunity as O
 from ..operators import ranks as R
+from ..sources import ledger
 from ..sources import staging as src
 from ..sources.fixture import PARAMS, VARIANTS, expected_rows, staging
 from . import extracts
@@ -107,12 +109,54 @@ def a08(w):
 
 @query("a09_dashboard_document")
 def a09(w):
-    extracts.write_dashboard(w, f"{w.store.root}/dashboard")
-    # Read back as a document: the number of entries in each section.
-    text = w.spark.read.text(f"{w.store.root}/dashboard")
-    section = text.select("value", F.explode(F.json_object_keys("value")).alias("section"))
-    sections = F.from_json("value", "map<string, array<string>>")
-    return section.select("section", F.size(F.element_at(sections, c("section"))).alias("rows"))
+    # Read back as a document: every section that the index names.
+    path = w.store.path("dashboard")
+    extracts.write_dashboard(w, path)
+    index = w.spark.read.json(f"{path}/index")
+    counts = [w.spark.read.text(f"{path}/{r.section}").agg(n_rows().alias("rows")).select(F.lit(r.section).alias("section"), "rows")
+              for r in index.select("section").collect()]
+    return index.select("section").join(reduce(DataFrame.unionByName, counts), "section")
+
+
+@query("a09_dashboard_contents")
+def a09b(w):
+    path, sections = w.store.path("dashboard"), extracts.dashboard_sections(w)
+    extracts.write_document(w.spark, sections, path)
+    return extracts.contents(w.spark, sections, path, "json").withColumnRenamed("extract", "section")
+
+
+@query("a07_report_contents")
+def a07b(w):
+    path, tables = w.store.path("report"), extracts.report_tables(w)
+    extracts.write_extracts(tables, path)
+    return extracts.contents(w.spark, tables, path, "csv")
+
+
+@query("a08_sheet_contents")
+def a08b(w):
+    path, tables = w.store.path("sheets"), extracts.sheet_tables(w)
+    extracts.write_extracts(tables, path)
+    return extracts.contents(w.spark, tables, path, "csv")
+
+
+@query("a10_answer_contents")
+def a10b(w):
+    path, tables = w.store.path("answers"), extracts.answers(w)
+    extracts.write_extracts(tables, path)
+    return extracts.contents(w.spark, tables, path, "csv").withColumnRenamed("extract", "question")
+
+
+@query("a02_file_ledger")
+def a02b(w):
+    """The log as one file per year of its dates, loaded through the ledger."""
+    path, ledger_path = w.store.path("log_files"), w.store.path("ledger")
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "header": True}
+    year = F.right(c("transaction_date"), F.lit(2)).alias("year")
+    (w.staging.select(*src.RAW_COLUMNS, year).repartition("year").write.partitionBy("year").options(**keep).csv(path))
+    ledger.load_new(w.spark, path, ledger_path, lambda rows: w.store.save("ledger_load", rows).df)
+    rows = ledger.read_ledger(w.spark, ledger_path)
+    year = F.regexp_extract("file_name", "year=([0-9]+)", 1).alias("year")
+    return rows.select(year, "rows_loaded", "text_bytes", "malformed_rows", (c("file_bytes") > c("text_bytes")).alias("whole_files"))
 
 
 @query("a10_answer_index")
@@ -305,6 +349,17 @@ def e13(w):
     return grid.withColumnsRenamed({str(h): f"h{h:02d}" for h in range(24)})
 
 
+@query("e13_segment_age_pivot")
+def e13b(w):
+    tab = cube.cross_tab(w.cube, "segment_name", "age_group", L.AGE_ORDER, F.sum("customers"))
+    return tab.select("segment_name", *[c(f"`{a}`").alias(f"age{i}") for i, a in enumerate(L.AGE_ORDER)])
+
+
+@query("e13_city_tier_pivot")
+def e13c(w):
+    return cube.cross_tab(w.cube, "city", "tier", L.TIER_ORDER, F.sum("customers"))
+
+
 @query("e14_sheet_cells")
 def e14(w):
     bands = w.wide_cube.groupBy("balance_band").agg(
@@ -446,7 +501,7 @@ def k07b(w):
     unit = lambda x: c(x).between(-1, 1)
     return w.k_selection.select(
         "population", "k", "customers", "clusters", F.coalesce(c("inertia") < before, F.lit(True)).alias("cost_falls"),
-        (unit("silhouette") & unit("ari_min") & unit("ari_mean") & (c("ari_min") <= c("ari_mean")) & (c("calinski_harabasz") > 0)
+        (unit("silhouette") & unit("ari_min") & unit("ari_mean") & (c("ari_min") <= c("ari_mean")) & (F.coalesce("calinski_harabasz", F.lit(1.0)) > 0)
          & c("min_cluster_share").between(0, 1 / c("k"))).alias("in_range"))
 
 
@@ -760,6 +815,22 @@ def p02(w):
     return stats.log_histogram(w.fact, "amount", 59, w.fact.agg(F.max("amount").cast("double")).scalar())
 
 
+@query("p02_balance_histogram")
+def p02b(w):
+    return stats.spread_histogram(w.customer_360, "latest_balance", 60)
+
+
+@query("p02_balance_facts")
+def p02c(w):
+    marks = {"median": 0.5, "p90": 0.9, "p99": 0.99}
+    cuts = R.quantiles(w.value_places, {k: ("latest_balance", q) for k, q in marks.items()})
+    known = w.customer_360.where("latest_balance IS NOT NULL")
+    return stats.facts({
+        **{k: cuts.select(S.fixed(c(k), 2)) for k in marks}, "mean": known.agg(S.fixed(S.mean_of(c("latest_balance")), 2)),
+        "near_zero_pct": known.agg(S.percent(F.count_if(c("latest_balance") < 1), n_rows())),
+        "top_10_pct": stats.concentration(w.value_places.df, "latest_balance", (0.10,))})
+
+
 @query("p03_p05_concentration")
 def p03(w):
     return stats.concentration(w.value_places.df, "total_txn_value")
@@ -921,6 +992,24 @@ def p19(w):
         "raw_locations": w.classified.groupBy("cust_location").agg(n_rows().alias("n")).agg(F.count("cust_location"))})
 
 
+@query("p19_more_facts")
+def p19c(w):
+    cities = w.agg_city_summary.orderBy(F.desc("total_value"), "clean_city").limit(5)
+    top = cities.agg(F.sum(c("total_value").cast("decimal(38,2)")).alias("v"))
+    whole = w.customer_360.agg(F.sum("total_txn_value")).scalar()
+    return stats.facts({
+        "id_consistent_pct": w.dq_log.where("check_id = 'DQ-20'").select("pass_pct"),
+        "top_5_city_pct": top.select(S.percent(c("v"), whole)),
+        **{f"theme_{t}": w.view.agg(F.count_if(f"sig_{t}")) for t in L.THEMES},
+        "sensitivity_min_rho": w.sensitivity.agg(F.min("spearman_vs_base"))})
+
+
+@query("p19_tier_facts")
+def p19d(w):
+    return w.view.groupBy("tier").agg(n_rows().alias("customers"), F.min("overall_score").alias("least_score"),
+                                      publish.addressable().alias("addressable_balance"))
+
+
 @query("p19_theme_rates")
 def p19b(w):
     sizes = w.agg_segment_summary.select("segment_id", c("customers"))

@@ -6,7 +6,7 @@ import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -93,19 +93,41 @@ def dashboard_sections(w: Workspace) -> dict[str, DataFrame]:
         "dq": w.dq_log, "waterfall": w.waterfall, "sensitivity": w.sensitivity}
 
 
-def dashboard(w: Workspace) -> DataFrame:
-    """One row, one column: the whole document as JSON text. Sections are short, so one row holds them."""
-    parts = [df.select(F.to_json(F.struct("*")).alias("j"))
-             .agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("j")), ","), F.lit("]")).alias("rows"))
-             .select(F.lit(name).alias("section"), "rows") for name, df in dashboard_sections(w).items()]
-    entry = F.concat(F.lit('"'), F.col("section"), F.lit('":'), F.col("rows"))
-    stacked = reduce(DataFrame.unionByName, parts)
-    body = F.array_join(F.sort_array(F.collect_list(entry)), ",")
-    return stacked.agg(F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
+def write_document(spark: SparkSession, sections: dict[str, DataFrame], path: str) -> DataFrame:
+    """A document as one folder of JSON lines per section and an index of them. Rows stream from the tasks into the files, so
+    no section passes through one cell or task. The index (section, rows, columns) is written last: a document that has
+    it is whole."""
+    rows = {name: write_table(df, f"{path}/{name}", "json") for name, df in sections.items()}
+    index = [(name, rows[name], df.columns) for name, df in sections.items()]
+    made = spark.createDataFrame(index, "section string, rows bigint, columns array<string>").coalesce(1)
+    write_table(made, f"{path}/index", "json")
+    return made
+
+
+def read_section(spark: SparkSession, path: str, name: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(f"{path}/{name}")
+
+
+def write_dashboard(w: Workspace, path: str) -> DataFrame:
+    return write_document(w.spark, dashboard_sections(w), path)
+
+
+def checksum(df: DataFrame) -> DataFrame:
+    """(rows, checksum): equal for equal contents in any order, whatever the columns' types."""
+    shown = [F.coalesce(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))), F.lit("")) for c in df.columns]
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*shown).cast("decimal(38,0)")).alias("checksum"))
 
 
-def write_dashboard(w: Workspace, path: str) -> None:
-    dashboard(w).write.mode("overwrite").text(path)
+def contents(spark: SparkSession, tables: dict[str, DataFrame], folder: str, fmt: str) -> DataFrame:
+    """(extract, rows, same): whether each written extract reads back as the table it was made from."""
+    parts = []
+    for name, df in tables.items():
+        read = spark.read.schema(df.schema).format(fmt)
+        back = checksum((read.option("header", True) if fmt == "csv" else read).load(f"{folder}/{name}"))
+        made = checksum(df).select(F.struct("rows", "checksum").alias("_made"))
+        parts.append(back.crossJoin(made).select(  # one row each
+            F.lit(name).alias("extract"), "rows", (F.struct("rows", "checksum").eqNullSafe(F.col("_made"))).alias("same")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def masked(df: DataFrame) -> DataFrame:

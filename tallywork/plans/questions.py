@@ -106,11 +106,11 @@ def q08(w):
 
 @question("Q09", "Ticket size by gender and age group")
 def q09(w):
-    """Amounts are counted per customer first, then spread over both groupings, so a customer with very many rows
-    joins as its distinct amounts."""
+    """Rows of a customer with very many are spread in the join; amounts are counted per gender and age group, and only the
+    counts are put into both groupings."""
     people = w.base.of(w.base.df.select("customer_id", "gender", "age_group", "txn_count"))
-    counted = w.fact.groupBy("customer_id", "amount").agg(n_rows().alias("copies"))
-    named = lookup_join(counted, people, ["customer_id"], "txn_count", c("amount"))
+    rows = lookup_join(w.fact.select("customer_id", "amount"), people, ["customer_id"], "txn_count", c("amount"))
+    named = rows.groupBy("gender", "age_group", "amount").agg(n_rows().alias("copies"))
     groups = F.array(*[F.struct(F.lit(d).alias("dimension"), c(d).alias("group_value")) for d in ("gender", "age_group")])
     tall = named.select("amount", "copies", F.inline(groups))
     made = R.weighted_summary(w.store, "ticket", tall, "amount", "copies", ["dimension", "group_value"])
@@ -219,11 +219,11 @@ def q19(w):
     groups = F.array(F.struct(F.lit("city_tier").alias("level"), c("city_tier").alias("name")),
                      F.struct(F.lit("top20_city").alias("level"), F.when(c("_top"), c("clean_city")).alias("name")))
     tall = marked.select("avg_balance", F.inline(groups)).where(c("name").isNotNull())
-    spread = R.distribution(w.store, "group_balances", tall, ["avg_balance"], by=["level", "name"])
-    medians = R.quantiles(spread, {"median_avg_balance": ("avg_balance", 0.5)}, ["level", "name"])
-    sums = tall.groupBy("level", "name").agg(
-        n_rows().alias("customers"), S.fixed(S.mean_of(c("avg_balance")), 0).alias("mean_avg_balance"))
-    return sums.join(medians, ["level", "name"], "left")
+    made = R.weighted_summary(w.store, "group_balances", tall, "avg_balance", None, ["level", "name"], 0)
+    unknown = tall.where("avg_balance is null").groupBy("level", "name").agg(n_rows().alias("_unknown"))
+    count = F.coalesce("rows", F.lit(0)) + F.coalesce("_unknown", F.lit(0))
+    return made.join(unknown, ["level", "name"], "full").select("level", "name", count.alias("customers"), "mean_avg_balance",
+                                                                "median_avg_balance")
 
 
 @question("Q20", "Highest ticket to balance ratio")

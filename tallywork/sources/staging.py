@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS
 SEGMENTS_FILE = Path(__file__).with_name("segments.json")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All-text CSV with header, no row lost; an empty field is NULL. ``src_row`` orders rows by file and place;
     ``malformed`` marks lines with too few or too many fields."""
     schema = T.StructType([*RAW_SCHEMA.fields, T.StructField("_bad", T.StringType())])
@@ -26,13 +26,21 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(place.alias("src_row"), *RAW_COLUMNS, F.col("_bad").isNotNull().alias("malformed"))
 
 
+def text_bytes() -> Column:
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in RAW_COLUMNS), F.lit(0))
+
+
+def text_fingerprint() -> Column:
+    """Aggregate: equal for equal rows in any order."""
+    line = F.xxhash64(*[F.coalesce(F.col(c), F.lit("\u0000")) for c in RAW_COLUMNS]).cast("decimal(38,0)")
+    return F.sum(line).cast("string")
+
+
 def load_audit(staging: DataFrame) -> DataFrame:
     """Rows, bytes of text and an order-free fingerprint of a load."""
-    line = F.xxhash64(*[F.coalesce(F.col(c), F.lit("\u0000")) for c in RAW_COLUMNS]).cast("decimal(38,0)")
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in RAW_COLUMNS), F.lit(0))
     bad = F.count_if("malformed") if "malformed" in staging.columns else F.lit(0).cast("bigint")
-    return staging.agg(F.count(F.lit(1)).alias("rows_loaded"), F.sum(size).alias("text_bytes"), bad.alias("malformed_rows"),
-                       F.sum(line).cast("string").alias("fingerprint"))
+    return staging.agg(F.count(F.lit(1)).alias("rows_loaded"), F.sum(text_bytes()).alias("text_bytes"), bad.alias("malformed_rows"),
+                       text_fingerprint().alias("fingerprint"))
 
 
 def file_audit(staging: DataFrame) -> DataFrame:
