@@ -58,7 +58,7 @@ def spread_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     logs = df.where(F.col(column).isNotNull()).select(place.alias("x"))
     ends = logs.agg(F.min("x").alias("low"), F.max("x").alias("high")).select(F.struct("low", "high")).scalar()
     at = F.floor((F.col("x") - ends["low"]) * bins / F.nullif(ends["high"] - ends["low"], F.lit(0.0)))
-    return logs.groupBy(F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return logs.groupBy(F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def hour_profile(fact: DataFrame) -> DataFrame:

@@ -537,7 +537,7 @@ Q["p02_amount_histogram"] = ("bin:i n:i", """
 
 _LOG = "log10(latest_balance::DOUBLE + 1)"
 Q["p02_balance_histogram"] = ("bin:i n:i", f"""
- SELECT coalesce(least(floor(({_LOG} - low) * 60 / nullif(high - low, 0)), 59), 0) AS bin, count(*) AS n
+ SELECT least(coalesce(floor(({_LOG} - low) * 60 / nullif(high - low, 0)), 0), 59) AS bin, count(*) AS n
  FROM c360, (SELECT min({_LOG}) AS low, max({_LOG}) AS high FROM c360) WHERE latest_balance IS NOT NULL GROUP BY 1""")
 
 
