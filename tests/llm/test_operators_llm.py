@@ -346,16 +346,33 @@ def test_word_scores(docs, rows):
             n = min(floor.get((h, w), 0), count[w], c)
             score += math.log10((n + (c + kept[h] - mass[h]) * p[w]) / (c + kept[h])) if c else math.log10(p[w])
         expected.append((doc_id, held[i], len(ws), sum(count[w] > 0 for w in ws), total, base, score))
-    got = plain(tuple(r) for r in ngram_model.scored(docs, filter_bits=1 << 24, bits_per_entry=40).collect())
+    got = plain(tuple(r) for r in ngram_model.scored(docs, bits_per_entry=4000).collect())
     assert [r[:5] for r in got] == [r[:5] for r in plain(expected)]
     for a, b in zip(got, plain(expected)):
         assert a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], rel=1e-3)
 
 
-def test_small_filter_keeps_the_most_frequent_pairs(docs):
-    full = {r.doc_id: r for r in ngram_model.scored(docs, filter_bits=1 << 24).collect()}
-    small = {r.doc_id: r for r in ngram_model.scored(docs, filter_bits=1 << 13).collect()}
-    assert all(small[i].base_score == pytest.approx(r.base_score) and math.isfinite(small[i].score) for i, r in full.items())
+def test_a_filter_too_large_to_broadcast_gives_the_same_scores(docs):
+    """Probed where it was built, the filter gives the scores of the broadcast form to the last bit."""
+    sent, stays = (plain(tuple(r) for r in ngram_model.scored(docs, broadcast_bytes=b).collect()) for b in (1 << 26, 0))
+    assert sent == stays and all(math.isfinite(r[-1]) for r in sent)
+
+
+def test_filter_holds_every_pair():
+    """A segment is sized by its entries: no pair is left out, and few others seem to be in."""
+    rng, pa = np.random.default_rng(3), ngram_model.pa
+    words = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+    followers = rng.integers(0, 60, len(words))
+    next_words = np.concatenate([np.sort(rng.choice(1 << 31, n, False)) for n in followers]).astype(np.uint32)
+    times = rng.integers(0, 9, len(next_words))
+    row = {"words": (words, np.uint64), "counts": (np.ones(len(words)), np.uint32), "followers": (followers, np.uint32),
+           "next_words": (next_words, np.uint32), "pair_counts": (times, np.uint32)}
+    table = pa.table({"block": pa.array([0]), "bucket": pa.array([0], pa.int32()), **{k: [ngram_model.pack(*v)] for k, v in row.items()}})
+    segment = ngram_model._sum_bucket(10, False)(table).column("segment")[0].as_py()
+    level = ngram_model.unpack(ngram_model._sum_bucket(10, True)(table).column("levels")[1].as_py(), np.uint8)
+    exact = np.where(times > 0, ngram_model.levels_of(times), 0)
+    assert (level >= exact).all() and (level > exact).mean() < 0.05
+    assert len(segment) * 8 < 11 * exact.sum() + 64
 
 
 def test_held_out_text_is_predicted_better_than_by_words(spark):
