@@ -4,8 +4,8 @@ A window is ``WINDOW`` consecutive words. Its minimiser is the smallest hash amo
 Consecutive windows with one minimiser travel as one packed string of words to the bucket of the minimiser, so equal
 windows always meet. A block of documents sends each distinct string once, from its smallest (id, start); the other
 copies in the block are known to repeat and travel as positions only. So a passage that is in every document reaches
-its bucket once per block. In the bucket the windows are sorted; equal ones are verified word by word, and all but the
-smallest (id, start) are marked. Marked windows go back to their documents as word ranges.
+its bucket once per block. In the bucket the windows are sorted by a hash of their bytes, taken from prefix sums; windows
+with one hash are compared in full, and all but the smallest (id, start) of equal ones are marked. Marked windows go back to their documents as word ranges.
 
 Buckets are as many as four times the shuffle partitions, so their size is set there.
 
@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +29,7 @@ from .packing import pack, pack_text, ranges, record_batch, starts_of, text_bloc
 
 WINDOW, SEED_WORDS = 20, 4
 BUCKETS_A_PARTITION = 4
+PIECE_BYTES = 1 << 20  # bytes hashed at once in a block
 NO_ID = -(1 << 63)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd constant with well spread bits
 
@@ -90,17 +90,65 @@ def super_kmers(hashes: np.ndarray, lengths: np.ndarray, window: int, seed: int)
     return window_at[first], count + window - 1, value[first]
 
 
+def _powers(base: int):
+    """Powers of an odd number modulo 2^64, kept and extended as needed: of(n) has at least n of them."""
+    table = np.ones(1, np.uint64)
+
+    def of(n: int) -> np.ndarray:
+        nonlocal table
+        if n > len(table):
+            table = np.full(max(n, 2 * len(table)), base, np.uint64)
+            table[0] = 1
+            np.multiply.accumulate(table, out=table)
+        return table
+    return of
+
+
+def byte_hasher():
+    """hashes(data, begin, end): one number for each byte range, equal for equal ranges, from prefix sums over the
+    bytes. Both ends of the ranges ascend. Different ranges may share a number. The sums are taken over pieces of about
+    ``PIECE_BYTES``, so that they stay small."""
+    up, down = _powers(int(MULTIPLY)), _powers(pow(int(MULTIPLY), -1, 1 << 64))
+
+    def piece(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = len(data)
+        sums = np.zeros(n + 1, np.uint64)
+        np.multiply(data, up(n)[:n], out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
+        return spread((sums[end] - sums[begin]) * down(n + 1)[begin])
+
+    def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        cuts = np.searchsorted(begin, np.arange(0, len(data), PIECE_BYTES)).tolist()
+        out = np.empty(len(begin), np.uint64)
+        for low, high in zip(cuts, [*cuts[1:], len(begin)]):
+            if low < high:
+                origin = begin[low]
+                out[low:high] = piece(data[origin:end[high - 1]], begin[low:high] - origin, end[low:high] - origin)
+        return out
+    return hashes
+
+
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text with single spaces begin and end. The text is not empty."""
+    spaces = np.flatnonzero(data == 32)
+    return np.r_[0, spaces + 1], np.r_[spaces, len(data)]
+
+
 def _scan(buckets: int, window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = byte_hasher()
         for rows, texts in text_blocks(batches, "text"):
-            words = [t.split() for t in texts]
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            flat = [w for doc in words for w in doc]
-            del words
-            hash_of = {w: xxhash.xxh64_intdigest(w) for w in set(flat)}
-            hashes = np.fromiter(map(hash_of.__getitem__, flat), np.uint64, len(flat))
-            del hash_of
-            first, size, least = super_kmers(hashes, lengths, window, seed)
+            lengths = np.empty(len(texts), np.int64)
+            for at, text in enumerate(texts):
+                words = text.split()
+                lengths[at], texts[at] = len(words), b" ".join(words)
+            text = b" ".join([t for t in texts if t])
+            del texts
+            if not text:
+                continue
+            data = np.frombuffer(text, np.uint8)
+            begin, end = word_places(data)
+            first, size, least = super_kmers(hashes(data, begin, end), lengths, window, seed)
             if not len(first):
                 continue
             doc_starts = starts_of(lengths)
@@ -108,13 +156,10 @@ def _scan(buckets: int, window: int, seed: int):
             ids = np.array([NO_ID if r[0] is None else r[0] for r in rows], np.int64)[doc]
             prints = np.array([r[1] for r in rows], np.int64)[doc]
             start = first - doc_starts[doc]
-            text = b" ".join(flat)
-            begin = starts_of(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)
-            del flat
             order = np.lexsort((start, ids))  # the smallest place of a string comes first
             seen: dict[bytes, int] = {}
             head = np.empty(len(first), np.int64)
-            for k, s, e in zip(order.tolist(), begin[first[order]].tolist(), (begin[first[order] + size[order]] - 1).tolist()):
+            for k, s, e in zip(order.tolist(), begin[first[order]].tolist(), end[first[order] + size[order] - 1].tolist()):
                 head[k] = seen.setdefault(text[s:e], k)
             sent = np.fromiter(seen.values(), np.int64, len(seen))
             strings = list(seen)
@@ -136,23 +181,36 @@ def _scan(buckets: int, window: int, seed: int):
     return run
 
 
-def repeats(number: np.ndarray, sizes: np.ndarray, ids: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(string, window in it) of every window whose words also start at a smaller (id, start). ``number`` holds the
-    numbers of the words of all strings in a row."""
-    n_windows = sizes - window + 1
-    at = ranges(starts_of(sizes)[:-1], n_windows)
-    rolled = spread(chained(spread(number.astype(np.uint64)), window, _rolled))[at]
+def repeats(texts: list[bytes], sizes: list[np.ndarray], ids: np.ndarray, starts: np.ndarray,
+            window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, window in it) of every window whose words also start at a smaller (id, start). Each text holds strings
+    with single spaces between all words, ``sizes`` the words of its strings; ids and starts are those of all strings."""
+    hashes, held, begins, ends = byte_hasher(), [], [], []
+    for text, own in zip(texts, sizes):
+        data = np.frombuffer(text, np.uint8)
+        begin, end = word_places(data)
+        at = ranges(starts_of(own)[:-1], own - window + 1)
+        begin, end = begin[at], end[at + window - 1]
+        held.append(hashes(data, begin, end))
+        begins.append(begin.astype(np.uint32))
+        ends.append(end.astype(np.uint32))
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(h) for h in held])
+    rolled, begin, end = np.concatenate(held), np.concatenate(begins), np.concatenate(ends)
+    del held, begins, ends
     order = np.argsort(rolled)
     ranked = rolled[order]
     same = ranked[1:] == ranked[:-1]
     twice = order[np.r_[same, False] | np.r_[False, same]]  # a hash that occurs once is a window that occurs once
+    del rolled, ranked, order, same
     if not len(twice):
         return twice, twice
-    string = np.repeat(np.arange(len(sizes)), n_windows)[twice]
-    offset = at[twice] - starts_of(sizes)[string]
-    words = number[at[twice][:, None] + np.arange(window)]
-    _, group = np.unique(words, axis=0, return_inverse=True)
-    group = group.ravel()
+    numbers: dict[bytes, int] = {}
+    group = np.fromiter((numbers.setdefault(texts[t][b:e], len(numbers)) for t, b, e in
+                         zip(text_of[twice].tolist(), begin[twice].tolist(), end[twice].tolist())), np.int64, len(twice))
+    del numbers
+    before = starts_of(np.concatenate(sizes) - window + 1)
+    string = np.searchsorted(before, twice, "right") - 1
+    offset = twice - before[string]
     place = starts[string] + offset
     order = np.lexsort((place, ids[string], group))
     group, by_id, by_place = group[order], ids[string][order], place[order]
@@ -164,17 +222,17 @@ def repeats(number: np.ndarray, sizes: np.ndarray, ids: np.ndarray, starts: np.n
 
 def _bucket(window: int):
     def run(table: pa.Table) -> pa.Table:
+        def parts(column: str, dtype) -> list[np.ndarray]:
+            return [unpack(v, dtype) for v in table.column(column).to_pylist()]
+
         def joined(column: str, dtype) -> np.ndarray:
-            return np.concatenate([unpack(v, dtype) for v in table.column(column).to_pylist()])
+            return np.concatenate(parts(column, dtype))
 
-        known: dict[bytes, int] = {}
-        number = np.concatenate([np.array([known.setdefault(w, len(known)) for w in unpack_text(v).split(b" ")], np.int32)
-                                 for v in table.column("words").to_pylist()])
-        del known
-        sizes, ids, prints = joined("sizes", np.uint32).astype(np.int64), joined("ids", np.int64), joined("prints", np.int64)
+        texts = [unpack_text(v.as_py()) for v in table.column("words")]
+        ids, prints = joined("ids", np.int64), joined("prints", np.int64)
         starts = joined("starts", np.uint32).astype(np.int64)
-        string, offset = repeats(number, sizes, ids, starts, window)
-        del number
+        string, offset = repeats(texts, [s.astype(np.int64) for s in parts("sizes", np.uint32)], ids, starts, window)
+        del texts
         begin = np.r_[starts[string] + offset, joined("again_starts", np.uint32).astype(np.int64)]
         end = np.r_[starts[string] + offset + window,
                     joined("again_starts", np.uint32).astype(np.int64) + joined("again_sizes", np.uint32)]

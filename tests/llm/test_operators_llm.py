@@ -323,6 +323,41 @@ def test_super_kmers_cover_every_window(window):
         assert by_words.setdefault(tuple(hashes[i:i + window].tolist()), of[i]) == of[i]
 
 
+def test_byte_ranges_share_a_hash_when_equal(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(20):
+        words = [bytes(rng.choice(b"ab\0\xc3") for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 40))]
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        begin, end = substrings.word_places(data)
+        assert [data[b:e].tobytes() for b, e in zip(begin, end)] == words
+        whole = substrings.byte_hasher()(data, begin, end)
+        monkeypatch.setattr(substrings, "PIECE_BYTES", 7)
+        assert substrings.byte_hasher()(data, begin, end).tolist() == whole.tolist()
+        monkeypatch.undo()
+        assert len(set(whole.tolist())) == len({w.rstrip(b"\0") for w in words})
+
+
+def test_repeated_windows_of_packed_strings():
+    """Words that differ only by trailing zero bytes may share a hash; the windows are compared in full."""
+    rng = random.Random(5)
+    for _ in range(30):
+        window = rng.choice([1, 2, 3, 5])
+        strings = [(rng.randrange(5), rng.randrange(9), [rng.choice([b"a", b"b", b"a\0", b"\0", b"zz"])
+                                                        for _ in range(rng.randrange(window, 12))]) for _ in range(20)]
+        cut = rng.randrange(1, 19)
+        parts = [strings[:cut], strings[cut:]]
+        string, offset = substrings.repeats(
+            [b" ".join(b" ".join(ws) for _, _, ws in p) for p in parts], [np.array([len(ws) for _, _, ws in p]) for p in parts],
+            np.array([i for i, _, _ in strings]), np.array([s for _, s, _ in strings]), window)
+        places = {}
+        for i, start, ws in strings:
+            for k in range(len(ws) - window + 1):
+                places.setdefault(tuple(ws[k:k + window]), []).append((i, start + k))
+        assert set(zip(string.tolist(), offset.tolist())) == {
+            (at, k) for at, (i, start, ws) in enumerate(strings) for k in range(len(ws) - window + 1)
+            if (i, start + k) != min(places[tuple(ws[k:k + window])])}
+
+
 def test_word_scores(docs, rows):
     words = {i: (t or "").encode().lower().split() + [b"\n"] for i, (_, t) in enumerate(rows)}
     held = {i: zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0 for i, (d, _) in enumerate(rows)}
