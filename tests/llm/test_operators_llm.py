@@ -221,19 +221,41 @@ def test_secret_spans(docs, rows):
 def test_guess_cost_is_the_cheapest_cut():
     ranks = secrets.read_words()
 
+    def piece_cost(piece, char):
+        """By the definition of each class, for a piece that is one segment."""
+        low, costs = piece.lower(), []
+        if len(piece) >= 3 and (word := secrets.word_cost(piece, ranks)) is not None:
+            costs.append(word)
+        if any(form.fullmatch(piece) for form in secrets.DATES):
+            costs.append(math.log10(365 * 60 if len(piece) > 4 else 60))
+        if len(piece) >= 4 and all(map(secrets.adjacent, low, low[1:])):
+            places = [secrets.PLACES[c] for c in low]
+            steps = [(r - q, b - a) for (q, a), (r, b) in zip(places, places[1:])]
+            turns = 1 + sum(x != y for x, y in zip(steps, steps[1:]))
+            costs.append(math.log10(len(secrets.PLACES)) + turns * math.log10(6) + math.log10(len(low)))
+        for unit in range(1, len(low) // 2 + 1):
+            if len(low) >= 3 and len(low) % unit == 0 and low == low[:unit] * (len(low) // unit):
+                costs.append(unit * char + math.log10(len(low) // unit))
+        return min(costs, default=math.inf) + secrets.SEGMENT
+
     def cheapest(value):
         char = math.log10(max(10, secrets.alphabet(value)))
         best = [0.0] + [math.inf] * len(value)
         for end in range(1, len(value) + 1):
-            best[end] = best[end - 1] + char
-            for start in range(max(0, end - 24), end - 2):
-                cost = secrets.word_cost(value[start:end], ranks)
-                if cost is not None:
-                    best[end] = min(best[end], best[start] + cost + secrets.SEGMENT)
+            best[end] = min([best[end - 1] + char] + [best[s] + piece_cost(value[s:end], char) for s in range(end)])
         return best[-1]
 
-    for value in ("password", "xkq7!", "CorrectHorse", "p4ssw0rd", "zvqj"):
-        assert secrets.guess_cost(value, ranks) <= cheapest(value) + 1e-9
+    long_word = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    ranks[long_word] = len(ranks) + 1
+    rng, parts = random.Random(6), ("password", "Dragon", "qwert", "asdfgfd", "1q2w3e", "19870412", "4/7/2011", "2020", "aaaa",
+                                    "abcde" * 3, "xyxyxyx", "Zk", "!", "p4ss", "9", "ß", "İx", "\u3042\u3042\u3042", "lkjh")
+    values = ["", "x", "password", "xkq7!", "CorrectHorse", "zvqj", "abcdeabcdeabcde", long_word, long_word.upper() + "1",
+              "qwertyuiop[]", "aabaabaabaab", "a" * 60, "asasasasdfdfdf"]
+    values += ["".join(rng.choices(parts, k=rng.randrange(1, 6))) for _ in range(60)]
+    values += ["".join(rng.choices("abqw12", k=rng.randrange(1, 16))) for _ in range(60)]
+    for value in values:
+        assert secrets.guess_cost(value, ranks) == pytest.approx(cheapest(value)), value
+    assert secrets.guess_cost(long_word, ranks) < 6 and secrets.guess_cost("abcdeabcdeabcde", ranks) < secrets.STRONG
     cost = lambda v: secrets.guess_cost(v, ranks)
     assert cost("qwertyuiop") < cost("qmwnebrvtc") and cost("aaaaaaaaaa") < cost("axqzkvbwjp")
     assert cost("19870412") < cost("83650917") and cost("password1") < 5 < cost("Zx8kQ2vLw9")
