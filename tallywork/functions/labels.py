@@ -3,6 +3,7 @@
 REJECT_ORDER = (
     "MISSING_TRANSACTION_ID", "DUPLICATE_TRANSACTION_ID", "INVALID_CUSTOMER_ID", "INVALID_TRANSACTION_DATE",
     "PARTIAL_COVERAGE_PERIOD", "DATE_OUTSIDE_WINDOW", "MISSING_OR_INVALID_AMOUNT", "NEGATIVE_AMOUNT", "ZERO_AMOUNT",
+    "AMOUNT_OUT_OF_RANGE",
 )
 
 # (exclusive upper edge, label); the last edge is open.

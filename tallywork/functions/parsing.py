@@ -38,13 +38,17 @@ def parse_hhmmss(text: Column) -> Column:
 
 
 def to_money(text: Column) -> Column:
-    """Money as written, with up to 18 places, so 0.004 is not zero. What does not fit ``MONEY`` is NULL."""
-    clean = F.trim(text)
-    raw = clean.try_cast(RAW_MONEY)
-    return F.when(clean.rlike(NUMBER) & raw.try_cast(MONEY).isNotNull(), raw)
+    """Money as written, with up to 20 digits before the point and 18 after, so 0.004 is not zero. A longer one is NULL,
+    but still a number to ``is_number``."""
+    return F.when(is_number(text), F.trim(text).try_cast(RAW_MONEY))
+
+
+def is_number(text: Column) -> Column:
+    return F.coalesce(F.trim(text).rlike(NUMBER), F.lit(False))
 
 
 def rounded_money(value: Column) -> Column:
+    """Money as it is kept and summed; NULL where it does not fit ``MONEY``."""
     return value.try_cast(MONEY)
 
 

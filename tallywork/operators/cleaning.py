@@ -53,9 +53,10 @@ def rules(p: Params) -> list[tuple[str, Column]]:
         "INVALID_TRANSACTION_DATE": day.isNull(),
         "PARTIAL_COVERAGE_PERIOD": (day > F.lit(p.window_end)) & (day <= F.lit(p.extract_end)),
         "DATE_OUTSIDE_WINDOW": ~day.between(F.lit(p.window_start), F.lit(p.window_end)),
-        "MISSING_OR_INVALID_AMOUNT": amount.isNull(),
+        "MISSING_OR_INVALID_AMOUNT": amount.isNull() & ~P.is_number(c("transaction_amount")),
         "NEGATIVE_AMOUNT": amount < 0,
         "ZERO_AMOUNT": amount == 0,
+        "AMOUNT_OUT_OF_RANGE": P.rounded_money(amount).isNull(),  # a number, but more than can be kept
     }
     return [(reason, failed[reason]) for reason in REJECT_ORDER]
 
@@ -112,7 +113,7 @@ def mark_copies(store: Store, rows: DataFrame) -> DataFrame:
 
 
 def waterfall(classified: DataFrame) -> DataFrame:
-    """Raw rows, minus each present reject in rule order, to clean rows. One pass; at most ten counts."""
+    """Raw rows, minus each present reject in rule order, to clean rows. One pass; one count a reason."""
     counts = classified.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
     place = F.array_position(F.array(*[F.lit(r) for r in REJECT_ORDER]), F.col("reject_reason"))
     reasons = F.sort_array(F.collect_list(F.when(F.col("reject_reason").isNotNull(), F.struct(

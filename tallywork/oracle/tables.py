@@ -40,7 +40,7 @@ def dmy(x: str, pivot: int) -> str:
 
 def money(x: str) -> str:
     return (f"CASE WHEN regexp_full_match(trim({x}), '-?\\d+(\\.\\d+)?([eE][-+]?\\d+)?') "
-            f"THEN TRY_CAST(trim({x}) AS DECIMAL(18,2)) END")
+            f"THEN TRY_CAST(trim({x}) AS DECIMAL(38,2)) END")
 
 
 def known_rank(fn: str, x: str, order: str = "") -> str:
@@ -97,12 +97,14 @@ TABLES["classified"] = f"""
    WHEN txn_date IS NULL THEN 'INVALID_TRANSACTION_DATE'
    WHEN txn_date > {D(P.window_end)} AND txn_date <= {D(P.extract_end)} THEN 'PARTIAL_COVERAGE_PERIOD'
    WHEN txn_date < {D(P.window_start)} OR txn_date > {D(P.window_end)} THEN 'DATE_OUTSIDE_WINDOW'
-   WHEN amount IS NULL THEN 'MISSING_OR_INVALID_AMOUNT'
-   WHEN amount < 0 THEN 'NEGATIVE_AMOUNT' WHEN amount = 0 THEN 'ZERO_AMOUNT' END AS reject_reason
+   WHEN transaction_amount IS NULL OR NOT regexp_full_match(trim(transaction_amount), '-?\\d+(\\.\\d+)?([eE][-+]?\\d+)?')
+     THEN 'MISSING_OR_INVALID_AMOUNT'
+   WHEN amount < 0 THEN 'NEGATIVE_AMOUNT' WHEN amount = 0 THEN 'ZERO_AMOUNT'
+   WHEN TRY_CAST(amount AS DECIMAL(18,2)) IS NULL THEN 'AMOUNT_OUT_OF_RANGE' END AS reject_reason
  FROM typed t"""
 TABLES["tidy"] = f"""
  SELECT src_row, txn_id AS transaction_id, CAST(substr(txn_id, 2) AS BIGINT) AS txn_seq, cust_id AS customer_id, txn_date,
-   txn_sec, amount, CASE WHEN balance_parsed >= 0 THEN balance_parsed END AS balance,
+   txn_sec, CAST(amount AS DECIMAL(18,2)) AS amount, TRY_CAST(CASE WHEN balance_parsed >= 0 THEN balance_parsed END AS DECIMAL(18,2)) AS balance,
    CASE WHEN dob_parsed BETWEEN {D(P.min_dob)} AND txn_date THEN dob_parsed END AS dob,
    CASE upper(trim(cust_gender)) WHEN 'M' THEN 'M' WHEN 'F' THEN 'F' ELSE 'Unknown' END AS gender,
    coalesce(CASE WHEN regexp_full_match(location_norm, 'NATON (\\d|1\\d|2[0-4])') THEN replace(location_norm, 'NATON', 'NATION')

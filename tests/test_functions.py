@@ -30,7 +30,8 @@ def test_parse_hhmmss(spark, text, expected):
     assert one(spark, text, P.parse_hhmmss) == expected
 
 
-@pytest.mark.parametrize("text, expected", [("1.5E3", 1500), ("-5", -5), ("", None), ("1,000", None), (" 2.50 ", 2.5)])
+@pytest.mark.parametrize("text, expected", [("1.5E3", 1500), ("-5", -5), ("", None), ("1,000", None), (" 2.50 ", 2.5),
+                                            ("12345678901234567", 12345678901234567), ("1" * 20, int("1" * 20)), ("1" * 21, None)])
 def test_to_money(spark, text, expected):
     assert one(spark, text, P.to_money) == expected
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywork.functions import parsing, scalars
 from tallywork.operators import cleaning, cluster_metrics, stats
+from tallywork.functions import parsing
 from tallywork.operators import ranks as R
 from tallywork.operators.skew import lookup_join
 from tallywork.params import Params
@@ -101,9 +102,16 @@ def test_reject_rules_in_order(spark):
     """A zero amount in the sparse tail counts as tail."""
     import datetime as dt
     p = Params()
-    row = spark.createDataFrame([("T1", "C1", dt.date(2016, 9, 20), 0.0, False)],
-                                "txn_id string, cust_id string, txn_date date, amount double, is_repeat boolean")
-    assert row.select(cleaning.first_failing(cleaning.rules(p)).alias("r")).first().r == "PARTIAL_COVERAGE_PERIOD"
+    rows = [(dt.date(2016, 9, 20), "0", "PARTIAL_COVERAGE_PERIOD"), (dt.date(2016, 9, 1), "0", "ZERO_AMOUNT"),
+            (dt.date(2016, 9, 1), "1,000", "MISSING_OR_INVALID_AMOUNT"), (dt.date(2016, 9, 1), None, "MISSING_OR_INVALID_AMOUNT"),
+            (dt.date(2016, 9, 1), "-1", "NEGATIVE_AMOUNT"), (dt.date(2016, 9, 1), "9" * 16, None),
+            (dt.date(2016, 9, 1), "1" * 17, "AMOUNT_OUT_OF_RANGE"), (dt.date(2016, 9, 1), "1" * 20, "AMOUNT_OUT_OF_RANGE"),
+            (dt.date(2016, 9, 1), "1" * 30, "AMOUNT_OUT_OF_RANGE"), (dt.date(2016, 9, 1), "-" + "1" * 20, "NEGATIVE_AMOUNT")]
+    table = spark.createDataFrame([("T1", "C1", *r, False) for r in rows],
+                                  "txn_id string, cust_id string, txn_date date, transaction_amount string, expected string, is_repeat boolean")
+    typed = table.withColumn("amount", parsing.to_money(F.col("transaction_amount")))
+    got = typed.select("expected", cleaning.first_failing(cleaning.rules(p)).alias("r")).collect()
+    assert [g.r for g in got] == [g.expected for g in got]
 
 
 def test_adjusted_rand_and_scatter(spark):
@@ -155,7 +163,8 @@ def test_mann_whitney_p(spark, store, u, expected):
     assert 0 <= p <= 1 and (p == 1.0 if expected == 1.0 else p < 0.05)
 
 
-@pytest.mark.parametrize("text, expected", [("0.004", "0.004"), ("10.005", "10.005"), ("1e-3", "0.001"), ("12345678901234567890", None),
+@pytest.mark.parametrize("text, expected", [("0.004", "0.004"), ("10.005", "10.005"), ("1e-3", "0.001"), ("12345678901234567890", "12345678901234567890"),
+                                            ("123456789012345678901", None),
                                             (" 7 ", "7"), ("x", None)])
 def test_money_is_read_as_written(spark, text, expected):
     got = spark.createDataFrame([(text,)], "t string").select(parsing.to_money(F.col("t"))).first()[0]
