@@ -2,42 +2,44 @@
 
 Line rules (a line without words always stays):
 
-* punctuation: the line must end with terminal punctuation, closing quotes and brackets aside;
-* navigation: a line with three or more separators between items is a menu or a table row;
+* punctuation: the line must end with terminal punctuation, closing quotes and brackets aside; not so a paragraph, which is
+  a line of over ``PARAGRAPH`` code points;
+* navigation: a line with three or more separators between items, and one a hundred code points, is a menu or a table row;
 * symbols: a line in which over a tenth of the characters are symbols is markup or noise;
 * shouting: a line of five or more letters without a lower-case one;
-* boilerplate: licence, cookie, script, login and sharing phrases.
+* boilerplate: licence, cookie, script, login and sharing phrases, as a fixed list of English ones. Of a paragraph only the
+  sentences with such a phrase go.
 
 Document rules come before (fewer than 50 words; over half of the words in repeated three-word windows) and after
-(``LOST`` of the word characters were in removed lines). Repeated lines are only counted.
+(``LOST`` of the word characters were in removed lines and sentences). Repeated lines are only counted.
 
 Defined cases: a NULL text has no words and is rejected. An empty table gives an empty result. Each row is judged alone,
-so repeated rows get equal verdicts. Other columns, whatever their names, pass through ``cleaned`` unchanged.
+so repeated rows get equal verdicts. A text of any length is judged whole. Other columns, whatever their names, pass through ``cleaned`` unchanged.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MIN_WORDS, REPEATED_PERCENT = 50, 50
+MIN_WORDS, REPEATED_PERCENT, PARAGRAPH, SEPARATOR_CHARS = 50, 50, 400, 100
 LOST, SEPARATORS, SYMBOL_SHARE, SHOUTED_LETTERS = 0.3, 3, 0.1, 5
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 CLOSING, TERMINAL = "\"')]}”’»", tuple(".!?:;…。！？؟।")
-SEPARATOR = re.compile(r"[|¦»•·]| [>/] ")
-SYMBOL = re.compile(r"[#*$%&|<>]")
-# Phrases of web boilerplate.
-BOILERPLATE = re.compile(
-    r"all rights reserved|licensed under|terms of use|terms of service|privacy policy|cookie policy|we use cookies|"
-    r"accept cookies|accept all cookies|enable javascript|click here|sign in to|log in to|subscribe now|"
-    r"subscribe to our|copyright \(c\)|copyright ©|lorem ipsum|skip to content|skip to main content|share this|"
-    r"read more", re.IGNORECASE)
+SEPARATOR, SEPARATOR_MARKS = re.compile(r"[|¦»•·]| [>/] "), (*"|¦»•·", " > ", " / ")
+SENTENCE = re.compile(r"[^.!?…。！？؟।]*[.!?…。！？؟।]*")
+# Phrases of web boilerplate, in lower case.
+BOILERPLATE = (
+    "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy",
+    "we use cookies", "accept cookies", "accept all cookies", "enable javascript", "click here", "sign in to", "log in to",
+    "subscribe now", "subscribe to our", "copyright (c)", "copyright ©", "lorem ipsum", "skip to content",
+    "skip to main content", "share this", "read more")
 
 VERDICT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("word_chars", T.LongType()),
@@ -47,38 +49,71 @@ VERDICT = T.StructType([
     T.StructField("kept", T.BooleanType())])
 
 
+def boilerplate(text: str) -> bool:
+    low = text.lower()
+    return any(phrase in low for phrase in BOILERPLATE)
+
+
+def separated(line: str) -> bool:
+    """Whether a line has ``SEPARATORS`` separators or more, and one a ``SEPARATOR_CHARS`` code points."""
+    least = max(SEPARATORS, len(line) / SEPARATOR_CHARS)
+    if sum(map(line.count, SEPARATOR_MARKS)) < least:  # never fewer than the pattern finds
+        return False
+    return len(SEPARATOR.findall(line)) >= least
+
+
 def line_fails(line: str) -> bool:
     """For a line with words, without white space at its ends."""
-    if not line.rstrip(CLOSING).endswith(TERMINAL):
+    paragraph = len(line) > PARAGRAPH
+    if not paragraph and not line.rstrip(CLOSING).endswith(TERMINAL):
         return True
-    if len(SEPARATOR.findall(line)) >= SEPARATORS or len(SYMBOL.findall(line)) > SYMBOL_SHARE * len(line):
+    if sum(map(line.count, SYMBOLS)) > SYMBOL_SHARE * len(line) or separated(line):
         return True
     if line.isupper() and sum(map(str.isalpha, line)) >= SHOUTED_LETTERS:
         return True
-    return BOILERPLATE.search(line) is not None
+    return not paragraph and boilerplate(line)
+
+
+def sentences_left(line: str) -> str:
+    """A paragraph without its sentences of boilerplate."""
+    if not boilerplate(line):
+        return line
+    return "".join(s for s in SENTENCE.findall(line) if not boilerplate(s)).strip(SPACE)
+
+
+def word_characters(text: str) -> int:
+    return len(text) - sum(map(text.count, SPACE))
 
 
 def repeated_words(words: list[bytes]) -> int:
     """Words in three-word windows that occur twice or more."""
-    windows = list(zip(words, words[1:], words[2:]))
-    counts = Counter(windows)
-    if len(counts) == len(windows):
+    known: dict[bytes, int] = {}
+    number = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    if len(words) < 4:
+        return 0
+    pairs, base = number[:-1] * len(known) + number[1:], len(known)
+    if base >= 1 << 21:  # three numbers would not fit 63 bits
+        pairs = np.unique(pairs, return_inverse=True)[1].ravel()
+    windows = pairs[:-1] * base + number[2:]
+    order = np.argsort(windows)
+    same = windows[order[1:]] == windows[order[:-1]]
+    if not same.any():
         return 0
-    covered, upto = 0, 0
-    for at, window in enumerate(windows):
-        if counts[window] > 1:
-            covered += at + 3 - max(at, upto)
-            upto = at + 3
-    return covered
+    again = np.zeros(len(windows), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    covered = np.zeros(len(words), bool)
+    for shift in range(3):
+        covered[shift:shift + len(windows)] |= again
+    return int(covered.sum())
 
 
 def judge(data: bytes | None) -> tuple[tuple, str]:
     """The values of ``VERDICT`` for a UTF-8 text, and the text without its failing lines."""
     data = data or b""
     text, words = data.decode("utf-8", "replace"), data.split()
-    word_chars = len(text) - sum(map(text.count, SPACE))
+    word_chars = word_characters(text)
     symbols = sum(map(text.count, SYMBOLS))
-    seen, stays, repeats, lost = set(), [], 0, 0
+    seen, stays, repeats, lost, removed = set(), [], 0, 0, 0
     lines = text.split("\n")
     for line in lines:
         core = line.strip(SPACE)
@@ -86,13 +121,16 @@ def judge(data: bytes | None) -> tuple[tuple, str]:
             repeats += line in seen
             seen.add(line)
             if line_fails(core):
-                lost += len(core) - sum(map(core.count, SPACE))
+                lost, removed = lost + word_characters(core), removed + 1
                 continue
+            if len(core) > PARAGRAPH and (left := sentences_left(core)) is not core:
+                lost += word_characters(core) - word_characters(left)
+                line = left
         stays.append(line)
     again = repeated_words(words)
     failed = len(words) < MIN_WORDS or 100 * again > REPEATED_PERCENT * len(words)
     kept = not failed and lost <= LOST * word_chars
-    return (len(words), word_chars, symbols, repeats, again, failed, len(lines), len(lines) - len(stays), kept), \
+    return (len(words), word_chars, symbols, repeats, again, failed, len(lines), removed, kept), \
         "\n".join(stays)
 
 

@@ -59,16 +59,18 @@ line AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM doc),
 core AS (SELECT r, l, regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS c FROM line),
 judged AS (
   SELECT r, l, c, c <> '' AND (
-    NOT regexp_matches(c, '[.!?:;…。！？؟।]["'')\]}”’»]*$')
-    OR len(regexp_extract_all(c, '[|¦»•·]| [>/] ')) >= 3
+    len(c) <= 400 AND NOT regexp_matches(c, '[.!?:;…。！？؟।]["'')\]}”’»]*$')
+    OR len(regexp_extract_all(c, '[|¦»•·]| [>/] ')) >= greatest(3, len(c) / 100)
     OR len(regexp_extract_all(c, '[#*$%&|<>]')) > 0.1::DOUBLE * len(c)
     OR (upper(c) = c AND lower(c) <> c AND len(regexp_replace(c, '[^\pL]', '', 'g')) >= 5)
-    OR regexp_matches(lower(c), 'all rights reserved|licensed under|terms of use|terms of service|privacy policy|cookie policy|we use cookies|accept cookies|accept all cookies|enable javascript|click here|sign in to|log in to|subscribe now|subscribe to our|copyright \(c\)|copyright ©|lorem ipsum|skip to content|skip to main content|share this|read more')
-  ) AS bad FROM core),
+    OR len(c) <= 400 AND regexp_matches(lower(c), 'all rights reserved|licensed under|terms of use|terms of service|privacy policy|cookie policy|we use cookies|accept cookies|accept all cookies|enable javascript|click here|sign in to|log in to|subscribe now|subscribe to our|copyright \(c\)|copyright ©|lorem ipsum|skip to content|skip to main content|share this|read more')
+  ) AS bad, CASE WHEN len(c) <= 400 THEN 0 ELSE len(regexp_replace(array_to_string(list_filter(
+    regexp_extract_all(c, '[^.!?…。！？؟।]*[.!?…。！？؟।]*'), lambda s: regexp_matches(lower(s), 'all rights reserved|licensed under|terms of use|terms of service|privacy policy|cookie policy|we use cookies|accept cookies|accept all cookies|enable javascript|click here|sign in to|log in to|subscribe now|subscribe to our|copyright \(c\)|copyright ©|lorem ipsum|skip to content|skip to main content|share this|read more')), ''), '[\x20\x09-\x0D]', '', 'g')) END AS part
+  FROM core),
 lines AS (
   SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_removed,
          count(*) FILTER (c <> '') - count(DISTINCT l) FILTER (c <> '') AS n_dup,
-         coalesce(sum(len(regexp_replace(c, '[\x20\x09-\x0D]', '', 'g'))) FILTER (bad), 0) AS lost
+         sum(CASE WHEN bad THEN len(regexp_replace(c, '[\x20\x09-\x0D]', '', 'g')) ELSE part END) AS lost
   FROM judged GROUP BY r),
 counted AS (
   SELECT doc.*, n_lines, n_removed, n_dup, lost, coalesce(rep.n, 0) AS again,

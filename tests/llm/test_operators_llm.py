@@ -465,6 +465,33 @@ def test_quality_lines():
     assert quality.judge(None)[0][-1] is False
 
 
+def test_quality_paragraphs():
+    """A paragraph loses its sentences of boilerplate only, needs no final stop and may hold some separators."""
+    words = [f"word{i}" for i in range(150)]
+    plain = " ".join(words[:75]) + ". Then " + " ".join(words[75:])
+    verdict, text = quality.judge(plain.encode())
+    assert verdict[-1] and text == plain and verdict[-2] == 0
+    offending = " ".join(words[:75]) + ". Click here to read more! Then " + " ".join(words[75:])
+    verdict, text = quality.judge(offending.encode())
+    assert verdict[-1] and text == plain and verdict[-2] == 0
+    some = plain.replace("word10 ", "a | b | c | ")
+    assert quality.judge(some.encode())[1] == some
+    menu = " | ".join(words)
+    assert quality.judge((menu + "\n" + plain).encode())[1] == plain
+    mostly = plain + ". " + "Read more here" + " about that" * 90 + "."
+    assert not quality.judge(mostly.encode())[0][-1]
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 40])
+def test_repeated_words(most):
+    rng = random.Random(most)
+    for _ in range(200):
+        words = [b"w%d" % rng.randrange(most) for _ in range(rng.randrange(0, 40))]
+        windows = list(zip(words, words[1:], words[2:]))
+        covered = {at + k for at, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+        assert quality.repeated_words(words) == len(covered)
+
+
 def test_pipeline(spark, folder, rows):
     """The stages against their brute-force versions, each on its own input."""
     docs, out = spark.read.parquet(f"{folder}/documents.parquet"), None
