@@ -79,7 +79,7 @@ def customer_base(store: Store, fact: DataFrame, customers: DataFrame, p: Params
     """Features with demographics, before anything that needs a rank. Both sides have one row per customer."""
     people = customers.select("customer_id", "age", "age_group", "age_known", "gender", "location_key", "clean_city",
                               "city_tier")
-    return store.save("customer_base", derived(base(fact, p), p).join(people, "customer_id"))
+    return store.save_by("customer_id", "customer_base", derived(base(fact, p), p).join(people, "customer_id"))
 
 
 def thresholds(dist: Saved, amounts: Saved) -> DataFrame:
@@ -103,7 +103,7 @@ def customer_ranks(store: Store, base_df: DataFrame, dist: Saved) -> Saved:
     seen = R.ranked(base_df, "customer_id", RANKED[:-1], dist, wanted)
     # Customers whose balance is unknown are placed by value alone.
     both = 0.5 * F.col("pct_avg_balance") + 0.5 * F.col("pct_total_value")
-    return store.save("customer_ranks", seen.withColumn("composite", F.coalesce(both, F.col("pct_total_value"))))
+    return store.save_by("customer_id", "customer_ranks", seen.withColumn("composite", F.coalesce(both, F.col("pct_total_value"))))
 
 
 def customer_360(store: Store, base_df: DataFrame, ranks: DataFrame, cuts: DataFrame, p: Params) -> Saved:
@@ -121,4 +121,4 @@ def customer_360(store: Store, base_df: DataFrame, ranks: DataFrame, cuts: DataF
         "is_high_value": F.coalesce(c("latest_balance").cast("double") >= cut("latest_balance_p90"), F.lit(False))
         | (c("total_txn_value").cast("double") >= cut("total_txn_value_p90")),
         "is_low_engagement": c("engagement_score") < cut("engagement_p25")})
-    return store.save("customer_360", full.drop("_pct", "composite"))
+    return store.save_by("customer_id", "customer_360", full.drop("_pct", "composite"))

@@ -125,7 +125,7 @@ def dim_customer(store: Store, rows: DataFrame, locations: Saved, p: Params) ->
     # ``txns`` bounds the customers of a city from above, so it still finds every hot city.
     places = locations.of(locations.df.select("clean_city", "location_key", "city_tier", "txns"))
     joined = lookup_join(shaped, places, ["clean_city"], "txns", c("customer_id"))
-    return store.save("dim_customer", joined.where(c("location_key").isNotNull()))
+    return store.save_by("customer_id", "dim_customer", joined.where(c("location_key").isNotNull()))
 
 
 def key_violations(df: DataFrame, key: str) -> DataFrame:

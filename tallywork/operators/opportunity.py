@@ -98,7 +98,7 @@ def prioritised(store: Store, customers: Saved, p: Params) -> DataFrame:
     numbered = R.row_numbers(store, "priority_sorted", keys, order, "priority_rank")
     total = customers.df.agg(F.count(F.lit(1))).scalar()
     placed = numbered.select("customer_id", "priority_rank", tier_of(F.col("priority_rank"), total, p).alias("tier"))
-    return scored.join(placed, "customer_id")
+    return scored.join(store.save_by("customer_id", "priority_places", placed).df, "customer_id")
 
 
 def opportunity(store: Store, customers: Saved, p: Params) -> Saved:
@@ -112,7 +112,7 @@ def opportunity(store: Store, customers: Saved, p: Params) -> Saved:
     for t in THEMES:
         per_theme += [signals[f"sig_{t}"].alias(f"sig_{t}"), c(f"fit_{t}"),
                       S.fixed(theme_score(weights, c(f"fit_{t}"), p), 3, inner=10).alias(f"os_{t}")]
-    return store.save("customer_opportunity", rows.select(
+    return store.save_by("customer_id", "customer_opportunity", rows.select(
         "customer_id", S.mask_id(c("customer_id")).alias("masked_id"), *per_theme, count.alias("signal_count"),
         (count > 0).alias("any_signal"), S.fixed(c("_score"), 3, inner=10).alias("overall_score"), "driving_theme",
         label.alias("driving_theme_label"), "priority_rank", "tier", "evidence_level",

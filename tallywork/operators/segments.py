@@ -73,7 +73,7 @@ def fit_prep(store: Store, name: str, customers: DataFrame, p: Params, use_age:
     prep = Prep(features, fill, low, high, mean, scale)
     scaled = capped.select("customer_id", "value_score",
                            *[((F.col(f) - mean[f]) / scale[f]).alias(f) for f in features])
-    return prep, store.save(f"{name}_scaled", scaled).df
+    return prep, store.save_by("customer_id", f"{name}_scaled", scaled).df
 
 
 def assembled(scaled: DataFrame, features) -> DataFrame:
@@ -164,7 +164,7 @@ def segment(store: Store, customers: DataFrame, config: dict, definitions: DataF
     rows = (customers.select("customer_id", layer.alias("layer")).join(keyed, "customer_id")
             .join(F.broadcast(names), "cluster_key", "left")  # k rows of configuration
             .withColumn("method", F.lit(f"{config['design']} KMeans")))
-    return store.save("customer_segment", rows), fits, scaled_rows
+    return store.save_by("customer_id", "customer_segment", rows), fits, scaled_rows
 
 
 def missing_definitions(segments: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ class Workspace:
     def view(self) -> DataFrame:
         """Features, segment and opportunity of each customer, written once for all reports."""
         joined = publish.customer_view(self.customer_360, self.customer_segment, self.opportunity)
-        return self.store.save("customer_view", joined).df
+        return self.store.save_by("customer_id", "customer_view", joined).df
 
     @cached_property
     def agg_daily_city(self) -> DataFrame:
