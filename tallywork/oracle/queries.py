@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions import labels as L
-from ..operators import opportunity as O
-from ..sources.fixture import PARAMS as P
-from ..sources.staging import RAW_COLUMNS
+from itertools import combinations
+
 from . import tables as T
+from .fixed import CHECKS, CORRELATED, L, P, RAW_COLUMNS, SCENARIOS
 from .tables import bands, BAL_BAND, D, FEATS, best, div, fix, mean, pct
 
 Q: dict[str, tuple[str, str]] = {}
@@ -294,7 +293,6 @@ _DQ = {
 
 
 def _checks() -> str:
-    from ..operators.quality import CHECKS
     rows = []
     for i, (check, dimension, limit, rule) in enumerate(CHECKS, 1):
         n, bad = _DQ[i]
@@ -392,7 +390,7 @@ def _scenario(name: str, w: dict[str, float]) -> str:
 
 
 Q["l09_d14_sensitivity"] = (f"scenario w_V:d w_E:d w_Fit:d w_R:d top{_TOP}_overlap_pct:d spearman_vs_base:d",
-                            "SELECT *, overlap AS " + f"top{_TOP}_overlap_pct FROM (" + " UNION ALL ".join(_scenario(n, w) for n, w in O.scenarios(P)) + ")")
+                            "SELECT *, overlap AS " + f"top{_TOP}_overlap_pct FROM (" + " UNION ALL ".join(_scenario(n, w) for n, w in SCENARIOS) + ")")
 _ADDR = "sum(latest_balance) FILTER (WHERE any_signal)"
 Q["l10_addressable_balance"] = ("tier addressable_balance:d", f"SELECT tier, {_ADDR} AS addressable_balance FROM view GROUP BY 1")
 
@@ -580,9 +578,6 @@ def _pair(a: str, b: str) -> str:
 
 
 def _pairs() -> str:
-    from itertools import combinations
-
-    from ..operators.stats import CORRELATED
     return " UNION ALL ".join(_pair(a, b) for a, b in combinations(CORRELATED, 2))
 
 

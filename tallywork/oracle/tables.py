@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions import labels as L
-from ..sources.fixture import PARAMS as P
+from .fixed import L, P
 
 TYPES = {"i": "BIGINT", "d": "DOUBLE", "s": "VARCHAR", "b": "BOOLEAN"}
 

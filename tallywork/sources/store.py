@@ -24,8 +24,12 @@ class Saved:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; without it the warehouse, which executors share too."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that ``spark.checkpoint.dir`` names. A local session may do without it and takes its warehouse; on a
+    cluster that folder could be the driver's own disk."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def spread(df: DataFrame) -> DataFrame:
