@@ -4,7 +4,8 @@ The index is cut by documents: each segment holds the postings of a bounded amou
 counts, and the delta-coded positions of every token. Segments are built and searched where they lie, so no posting
 crosses a shuffle and the list of a very frequent term is spread over all segments.
 
-The test items are turned into windows and taken in blocks of bounded size, each sent to all tasks. Terms are ordered
+The test items are cut into windows by Spark tasks and written in blocks of bounded size, however long one item is; each
+block is sent to all tasks in turn. Terms are ordered
 by their count in the whole corpus. A segment starts with the list of a window's rarest term, shifted by its place in
 the window, and intersects it with the shifted lists of the next rarer terms; all windows advance together, one sorted
 search per rank. What is left after the last term are exact phrases. The same lists give proximity matches: all terms
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..sources.store import Store
@@ -30,6 +31,7 @@ from .packing import pack, pack_text, ranges, record_batch, starts_of, text_bloc
 
 WINDOW, SLOP = 10, 5
 BLOCK_WINDOWS = 200_000  # windows that are sent to the tasks at once
+WORD_SIZE = 6  # bytes of a word and a space, to foresee the number of windows
 # A byte belongs to a word if it is a digit, a letter (lower-cased here) or part of a code point beyond ASCII.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
                    for b in range(256))
@@ -41,6 +43,9 @@ HITS = pa.schema([("segment", pa.int64()), ("doc_no", pa.int32()), ("starts", pa
                   ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
 HITS_DDL = ("segment bigint, doc_no int, starts array<int>, ends array<int>, items array<string>, "
             "near_items array<string>")
+BLOCK = pa.schema([("vocabulary", pa.binary()), ("terms", pa.binary()), ("items", pa.list_(pa.string())),
+                   ("item_of", pa.binary())])
+BLOCK_DDL = "vocabulary binary, terms binary, items array<string>, item_of binary"
 
 
 def words_of(data: bytes | None) -> list[bytes]:
@@ -91,25 +96,24 @@ class Windows:
     order: np.ndarray | None = None
 
 
-def window_blocks(items: Iterator[tuple[str, bytes]], size: int, limit: int) -> Iterator[Windows]:
-    """Cuts the items into windows and the windows into blocks. Equal windows of one item are kept once."""
-    seen: set[tuple] = set()
-    rows: list[tuple[str, tuple]] = []
-    for name, text in items:
-        words = words_of(text)
-        for at in range(max(1, len(words) - size + 1) if words else 0):
-            row = (name, tuple(words[at:at + size]))
-            if row not in seen:
-                seen.add(row)
-                rows.append(row)
-        if len(rows) >= limit:
-            yield _windows(rows, size)
-            rows, seen = [], set()
-    if rows:
-        yield _windows(rows, size)
-
-
-def _windows(rows: list[tuple[str, tuple]], size: int) -> Windows:
+def _cut(size: int, limit: int):
+    """Cuts items into windows and the windows into blocks. Equal windows of one item are kept once in a block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple[str, tuple], None] = {}
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words_of(text.as_py())
+                for at in range(max(1, len(words) - size + 1) if words else 0):
+                    rows[name, tuple(words[at:at + size])] = None
+                    if len(rows) == limit:
+                        yield _packed(list(rows), size)
+                        rows = {}
+        if rows:
+            yield _packed(list(rows), size)
+    return run
+
+
+def _packed(rows: list[tuple[str, tuple]], size: int) -> pa.RecordBatch:
     vocabulary = sorted({w for _, words in rows for w in words})
     place = {w: i for i, w in enumerate(vocabulary)}
     names = sorted({n for n, _ in rows})
@@ -117,8 +121,23 @@ def _windows(rows: list[tuple[str, tuple]], size: int) -> Windows:
     terms = np.full((len(rows), size), -1, np.int32)
     for i, (_, words) in enumerate(rows):
         terms[i, :len(words)] = [place[w] for w in words]
-    return Windows(vocabulary, terms, (terms >= 0).sum(1).astype(np.int32), names,
-                   np.array([name_at[n] for n, _ in rows], np.int32))
+    return record_batch(BLOCK, [[pack_text(b" ".join(vocabulary))], [pack(terms, np.int32)], [names],
+                                [pack([name_at[n] for n, _ in rows], np.int32)]])
+
+
+def window_blocks(items: DataFrame, size: int, limit: int, store: Store) -> DataFrame:
+    """The written blocks: one row per block of at most ``limit`` windows."""
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"),
+                         F.col("text").cast("binary").alias("text"))
+    foreseen = (named.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (WORD_SIZE * limit) + 1
+    cut = named.repartition(foreseen).mapInArrow(_cut(size, limit), BLOCK_DDL)
+    return store.save("window_blocks", cut.select(F.monotonically_increasing_id().alias("block"), "*")).df
+
+
+def windows_of(row: Row, size: int) -> Windows:
+    terms = unpack(row.terms, np.int32).reshape(-1, size)
+    return Windows(unpack_text(row.vocabulary).split(b" "), terms, (terms >= 0).sum(1).astype(np.int32), row.items_,
+                   unpack(row.item_of, np.int32))
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
@@ -142,6 +161,7 @@ def order_by_rarity(index: DataFrame, block: Windows) -> Windows:
     counts = np.zeros(len(block.vocabulary), np.int64)
     for r in partial.groupBy("term").agg(F.sum("n").alias("n")).collect():
         counts[r.term] = r.n
+    vocabulary.destroy()
     rarity = np.where(block.terms >= 0, counts[np.maximum(block.terms, 0)], np.iinfo(np.int64).max)
     block.order = np.argsort(rarity, axis=1, kind="stable").astype(np.int32)
     return block
@@ -279,13 +299,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     spark = docs.sparkSession
     store = store or Store(spark)
     index = build_index(docs, store)
-    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"),
-                         F.col("text").cast("binary").alias("text"))
-    stream = ((r.name, bytes(r.text) if r.text is not None else b"") for r in named.toLocalIterator())
+    blocks = window_blocks(items, window, block_windows, store).withColumnRenamed("items", "items_")
     found = None
-    for block in window_blocks(stream, window, block_windows):
+    for number in [r.block for r in blocks.select("block").collect()]:  # one number a block
+        block = windows_of(blocks.where(F.col("block") == number).first(), window)
         sent = spark.sparkContext.broadcast(vars(order_by_rarity(index, block)))
         part = store.save("phrase_hits", index.mapInArrow(_search(sent, slop), HITS_DDL)).df
+        sent.destroy()
         found = part if found is None else found.unionByName(part)
     all_docs = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("doc_no", "doc"))
     base = all_docs.select("segment", "doc_no", F.col("doc.doc_ids").alias("doc_id"),
