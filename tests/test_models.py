@@ -54,6 +54,20 @@ def test_batch_fits_equal_plain_ones(spark):
         assert m.squares.sum() == pytest.approx((whole ** 2).sum(), rel=1e-6)
 
 
+def test_labels_of_many_models_add_up_exactly():
+    """All models of one k in two products: the same integers as one by one, ties to the first centre, at one core's cost."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(0, 3, (700, 3)))  # on a lattice, so some points are equally near to two centres
+    centers = [x[rng.choice(len(x), 4)] for _ in range(9)] + [np.repeat(x[:1], 4, 0)]
+    added = np.column_stack([np.ones(len(x)), np.rint((x * x).sum(1) * 2.0 ** 30), np.rint(x * 2.0 ** 30)])
+    (_, k, weights), = B._together([B.Model(0, 4, 1, i, c) for i, c in enumerate(centers)])
+    totals = np.zeros((len(weights), 5), np.int64)
+    B.adder(200)(x, added, k, weights, totals)
+    for i, own in enumerate(centers):
+        label = ((own * own).sum(1) - 2 * x @ own.T).argmin(1)
+        assert totals[i::10].tolist() == [added[label == j].sum(0).astype(int).tolist() for j in range(4)]
+
+
 def test_grid_measures(spark):
     x = blobs()
     points, width = B.stacked([(frame(spark, x), NAMES)])
