@@ -77,3 +77,9 @@ def test_attributes_sort_each_row_once(spark):
                     values[r[a]] = (n + 1, max(last, moment(r)) if n else moment(r))
             best = max(values, key=values.get) if values else None
             assert (got[one][a], got[one][f"{a}_values"]) == (None if best is None else str(best), len(values))
+
+
+def test_customer_joins_send_no_table_to_the_driver(spark):
+    one = lambda *names: spark.range(50).select(F.col("id").cast("string").alias("customer_id"), *[F.lit(1).alias(n) for n in names])
+    joined = publish.customer_view(one("txn_count", "evidence_level"), one("cluster_key", "segment_id", "segment_name", "layer"), one("evidence_level", "tier"))
+    assert "Broadcast" not in plan_of(joined) and joined.count() == 50
