@@ -83,3 +83,14 @@ def test_customer_joins_send_no_table_to_the_driver(spark):
     one = lambda *names: spark.range(50).select(F.col("id").cast("string").alias("customer_id"), *[F.lit(1).alias(n) for n in names])
     joined = publish.customer_view(one("txn_count", "evidence_level"), one("cluster_key", "segment_id", "segment_name", "layer"), one("evidence_level", "tier"))
     assert "Broadcast" not in plan_of(joined) and joined.count() == 50
+
+
+def test_few_values_are_placed_by_many_tasks(spark, tmp_path):
+    """Positions of a small distribution come from as many ranges as a shuffle has partitions; before, from one."""
+    store = Store(spark, str(tmp_path))
+    placed = R._placed(store, "few", spark.range(5000).select((F.col("id") * 7 % 5000).alias("v")).repartition(4), [F.col("v")])
+    assert placed.select("_part").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dist = R.distribution(store, "few", spark.range(5000).select((F.col("id") % 1000).alias("v")), ["v"]).df
+    assert all((r.first, r.last, r.total) == (5 * r.value + 1, 5 * r.value + 5, 5000) for r in dist.collect()) and dist.count() == 1000
+    numbers = R.row_numbers(store, "rows", store.save("r", spark.range(3000)), [F.desc("id")], "no")
+    assert all(r.no == 3000 - r.id for r in numbers.collect())
