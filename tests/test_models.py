@@ -61,9 +61,10 @@ def test_labels_of_many_models_add_up_exactly():
     centers = [x[rng.choice(len(x), 4)] for _ in range(9)] + [np.repeat(x[:1], 4, 0)]
     added = np.column_stack([np.ones(len(x)), np.rint((x * x).sum(1) * 2.0 ** 30), np.rint(x * 2.0 ** 30)])
     (_, k, weights), = B._together([B.Model(0, 4, 1, i, c) for i, c in enumerate(centers)])
-    totals = np.zeros((len(weights), 5), np.int64)
-    B.adder(200)(x, added, k, weights, totals)
+    totals, costs = np.zeros((len(weights), 5), np.int64), np.zeros(10, np.int64)
+    B.adder(2.0 ** 30, 200)(x, added, k, weights, totals, costs)
     for i, own in enumerate(centers):
+        assert costs[i] == ((x[:, None] - own[None]) ** 2).sum(2).min(1).sum() * 2 ** 30
         label = ((own * own).sum(1) - 2 * x @ own.T).argmin(1)
         assert totals[i::10].tolist() == [added[label == j].sum(0).astype(int).tolist() for j in range(4)]
 
